@@ -22,7 +22,7 @@ class Encoder:
     The kept pieces are bounded in number and length.
     """
 
-    KEPT, LONGEST = 150_000, 64
+    KEPT, LONGEST = 500_000, 64
     _touching = re.compile(r"\s \s?|  | \s")
 
     def __init__(self, vocabulary: str = DEFAULT_VOCABULARY) -> None:
@@ -32,6 +32,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[-1]
+        self.marks = dict(zip(".,", self._fresh([".", ","]), strict=True))
         self.kept: dict[str, bytes] = {}
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
@@ -56,6 +57,18 @@ class Encoder:
         out.update(zip(rest, self._fresh([f" {w}" for w in rest]), strict=True))
         return [out[w] for w in words]
 
+    def _fresh_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """A mark after a letter is a piece of its own for the pre-tokenizer, so ``word,`` is ``word`` and then ``,``."""
+        kept, marked = self.kept, {}
+        for x in pieces:
+            if x[-1:] in self.marks and x[-2:-1].isalpha():
+                marked[x] = x[:-1]
+        bare = {y for y in marked.values() if y not in kept}
+        bare |= pieces.difference(marked)
+        fresh = dict(zip(bare, self._fresh_words(list(bare)), strict=True))
+        fresh.update((x, (kept.get(y) or fresh[y]) + self.marks[x[-1]]) for x, y in marked.items())
+        return fresh
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         whole, pieces, missing, kept = {}, {}, set(), self.kept
@@ -67,20 +80,25 @@ class Encoder:
             else:
                 first, *rest = text.split(" ")
                 pieces[k] = (first, rest)
-                missing.update(x for x in rest if x not in kept)
+                missing |= set(rest).difference(kept)
         ask = [x for x in whole.values() if x] + [first for first, _ in pieces.values()]
         told = iter(self._fresh(ask))
         whole = {k: next(told) if x else b"" for k, x in whole.items()}
         heads = {k: next(told) for k in pieces}
-        asked = list(missing)
-        kept.update(zip(asked, self._fresh_words(asked), strict=True))
-        out = [whole[k] if k in whole else heads[k] + b"".join(map(kept.__getitem__, pieces[k][1])) for k in range(len(texts))]
-        if len(kept) > self.KEPT:
-            kept.clear()
-        else:
-            for x in asked:
-                if len(x) > self.LONGEST:
-                    del kept[x]
+        fresh = self._fresh_pieces(missing)
+        if len(kept) < self.KEPT:  # the frequent words come early; the later, rare ones are not worth their room
+            kept.update((x, ids) for x, ids in fresh.items() if len(x) <= self.LONGEST)
+        out = []
+        for k in range(len(texts)):
+            if k in whole:
+                out.append(whole[k])
+                continue
+            rest = pieces[k][1]
+            try:
+                ids = b"".join(map(kept.__getitem__, rest))
+            except KeyError:
+                ids = b"".join([kept.get(x) or fresh.get(x, b"") for x in rest])
+            out.append(heads[k] + ids)
         return out
 
 
