@@ -117,6 +117,34 @@ class WordHasher:
         out = [self._some(part) for part in _parts(data, self.CHUNK)]
         return np.concatenate(out) if len(out) > 1 else out[0]
 
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, one text after the other, and where each text's words begin (one more at the end)."""
+        if not texts:
+            return np.empty(0, np.uint64), np.zeros(1, np.int64)
+        out, counts, some, size = [], [], [], 0
+
+        def flush() -> None:
+            raw = np.frombuffer(b"\n".join(some), np.uint8)
+            inside = ~self.space[raw]
+            begins = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+            starts = np.cumsum([0, *(len(t) + 1 for t in some)])
+            counts.append(np.diff(np.searchsorted(begins, starts)))
+            out.append(self._some(raw.tobytes()))
+
+        for t in texts:
+            if size + len(t) + 1 > self.CHUNK and some:
+                flush()
+                some, size = [], 0
+            if len(t) >= self.CHUNK:
+                out.append(self.words(t))
+                counts.append([len(out[-1])])
+                continue
+            some.append(t)
+            size += len(t) + 1
+        if some:
+            flush()
+        return np.concatenate(out), np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int64)
+
     def _some(self, data: bytes) -> np.ndarray:
         if len(data) > self.CHUNK:  # one word longer than a chunk
             return self._long(data)

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from .media import op3_media_columns
 from .packing import op6_best_fit_packing
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_counts import op9_token_counts
 from .token_files import op7_token_planes
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_media_columns": op3_media_columns,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_planes": op7_token_planes,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
+}
