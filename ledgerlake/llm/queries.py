@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .media import op3_media_columns
+from .near_dedup import OP8_SQL, op8_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_counts import op9_token_counts
@@ -13,9 +14,11 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_planes": op7_token_planes,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op8_minhash_near_dedup": OP8_SQL,
 }
