@@ -5,6 +5,7 @@ from __future__ import annotations
 from .media import op3_media_columns
 from .near_dedup import OP8_SQL, op8_minhash_near_dedup
 from .packing import op6_best_fit_packing
+from .secrets import op5_secret_scan, op5_sql
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_counts import op9_token_counts
 from .token_files import op7_token_planes
@@ -12,6 +13,7 @@ from .token_files import op7_token_planes
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_media_columns": op3_media_columns,
+    "op5_secret_scan": op5_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_planes": op7_token_planes,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
@@ -20,5 +22,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op5_secret_scan": op5_sql(),
     "op8_minhash_near_dedup": OP8_SQL,
 }
