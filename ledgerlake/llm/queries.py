@@ -9,10 +9,12 @@ from .secrets import op5_secret_scan, op5_sql
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_counts import op9_token_counts
 from .token_files import op7_token_planes
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_media_columns": op3_media_columns,
+    "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_planes": op7_token_planes,
