@@ -5,6 +5,7 @@ from __future__ import annotations
 from .media import op3_media_columns
 from .near_dedup import OP8_SQL, op8_minhash_near_dedup
 from .packing import op6_best_fit_packing
+from .pii import op10_personal_data
 from .secrets import op5_secret_scan, op5_sql
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_counts import op9_token_counts
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_token_planes": op7_token_planes,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {
