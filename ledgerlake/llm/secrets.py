@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 
 @dataclass(frozen=True)
@@ -96,12 +96,14 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
         blobs = blobs.withColumns({"done": F.array().cast("array<string>"), "before": F.array().cast(SPAN)})
     blobs = blobs.withColumns({"done": F.coalesce("done", F.array().cast("array<string>")), "before": F.coalesce("before", F.array().cast(SPAN))})
     scanned = [F.when(~F.array_contains("done", r.kind), _spans(F.col("text"), r, k)).alias(r.kind) for k, r in enumerate(rules)]
-    by_rule = blobs.select("blob", "before", *scanned)
-    found = by_rule.select("blob", F.sort_array(F.concat("before", *[F.coalesce(r.kind, F.array().cast(SPAN)) for r in rules])).alias("spans"))
+    # written, so that a rerun finds what was scanned, and the join below deals both of its sides anew and can split a hot blob
+    by_rule = written(blobs.select("blob", "before", *scanned), "scanned")
+    none = F.array().cast(SPAN)
+    found = by_rule.select("blob", F.sort_array(F.concat("before", *[F.coalesce(r.kind, none) for r in rules])).alias("spans"))
     entries = by_rule.select("blob", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules])).alias("e"))
     entries = entries.select("blob", "e.kind", "e.version", "e.spans").where("spans IS NOT NULL")
     hits = found.where(F.size("spans") > 0)
-    return paths.select("doc_id", "blob").join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")), entries
+    return paths.select("doc_id", "blob").join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), entries
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
