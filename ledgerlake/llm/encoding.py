@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from contextlib import suppress
 from functools import cache
 
 import numpy as np
@@ -14,6 +15,14 @@ DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = (0).to_bytes(4, "little")
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins that byte-level vocabularies use, each with its byte: printable Latin-1 characters stand
+    for themselves, the other bytes follow from code point 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Encodes texts; ids of space-separated pieces are kept, as most words come again.
 
@@ -27,10 +36,15 @@ class Encoder:
 
     def __init__(self, vocabulary: str = DEFAULT_VOCABULARY) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        #: the same model, fed words in its own alphabet
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
+        self.gap, self.line = self.alphabet[32], self.alphabet[10]
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[-1]
         self.marks = dict(zip(".,", self._fresh([".", ","]), strict=True))
         self.kept: dict[str, bytes] = {}
@@ -40,13 +54,17 @@ class Encoder:
         return [array("I", x.ids).tobytes() for x in found]
 
     def _fresh_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word with a space in front. Words without line breaks are encoded as lines of a few long texts,
-        which are cut at the line break's id; that costs far less than an encoding object for each."""
-        plain = [w for w in words if "\n" not in w]
+        """The ids of each word with a space in front.
+
+        A word of letters alone is one piece for the pre-tokenizer, so many of them go to the library's model at once,
+        spelt in the byte alphabet, with line breaks between them at whose id the result is cut.
+        """
+        plain = [w for w in words if w.isalpha()]
         out: dict[str, bytes] = {}
-        for k in range(0, len(plain), 4096):
-            some = plain[k : k + 4096]
-            ids = np.frombuffer(self._fresh(["".join(f" {w}\n" for w in some)])[0], np.uint32)
+        for k in range(0, len(plain), 256):
+            some = plain[k : k + 256]
+            spelt = f" {self.line} {self.gap}".join(w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet) for w in some)
+            ids = np.array(self.letters.encode_batch_fast([f"{self.gap}{spelt} {self.line}"], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(ids == self.line_break)
             if len(ends) == len(some):
                 raw, begin = ids.tobytes(), 0
@@ -71,35 +89,34 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
-        whole, pieces, missing, kept = {}, {}, set(), self.kept
+        out: list[list | bytes] = []
+        whole: list[tuple[int, str]] = []  # texts, or their first pieces, that the library sees as they are
+        holes: list[tuple[int, int, str]] = []
+        kept = self.kept
         for k, text in enumerate(texts):
-            if not text:
-                whole[k] = b""
-            elif self._touching.search(text):
-                whole[k] = text
-            else:
-                first, *rest = text.split(" ")
-                pieces[k] = (first, rest)
-                missing |= set(rest).difference(kept)
-        ask = [x for x in whole.values() if x] + [first for first, _ in pieces.values()]
-        told = iter(self._fresh(ask))
-        whole = {k: next(told) if x else b"" for k, x in whole.items()}
-        heads = {k: next(told) for k in pieces}
-        fresh = self._fresh_pieces(missing)
+            if not text or self._touching.search(text):
+                out.append([b""])
+                whole.append((k, text or ""))
+                continue
+            pieces = text.split(" ")
+            whole.append((k, pieces[0]))
+            pieces[0] = ""
+            found = list(map(kept.get, pieces))
+            found[0] = b""
+            at = 0
+            with suppress(ValueError):  # no hole is left
+                while True:
+                    at = found.index(None, at + 1)
+                    holes.append((k, at, pieces[at]))
+            out.append(found)
+        fresh = self._fresh_pieces({x for _, _, x in holes})
+        for k, at, x in holes:
+            out[k][at] = fresh[x]
+        for (k, _), ids in zip(whole, self._fresh([x for _, x in whole]), strict=True):
+            out[k][0] = ids
         if len(kept) < self.KEPT:  # the frequent words come early; the later, rare ones are not worth their room
             kept.update((x, ids) for x, ids in fresh.items() if len(x) <= self.LONGEST)
-        out = []
-        for k in range(len(texts)):
-            if k in whole:
-                out.append(whole[k])
-                continue
-            rest = pieces[k][1]
-            try:
-                ids = b"".join(map(kept.__getitem__, rest))
-            except KeyError:
-                ids = b"".join([kept.get(x) or fresh.get(x, b"") for x in rest])
-            out.append(heads[k] + ids)
-        return out
+        return [b"".join(x) for x in out]
 
 
 @cache

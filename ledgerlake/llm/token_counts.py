@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, per_row, table
-from .encoding import DEFAULT_VOCABULARY
+from .encoding import DEFAULT_VOCABULARY, byte_alphabet
 
 
 class LongestMatch:
@@ -89,14 +89,6 @@ class _Counts(dict):
         return n
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins that byte-level vocabularies use, each with its byte: printable Latin-1 characters stand
-    for themselves, the other bytes follow from code point 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 @cache
 def automaton(vocabulary: str = DEFAULT_VOCABULARY) -> LongestMatch:
     """The automaton of a byte-level vocabulary file; one for each worker process."""
