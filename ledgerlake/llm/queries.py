@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op2_decontamination
 from .media import op3_media_columns
 from .near_dedup import OP8_SQL, op8_minhash_near_dedup
 from .packing import op6_best_fit_packing
@@ -14,6 +15,7 @@ from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_media_columns": op3_media_columns,
     "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
