@@ -1,16 +1,19 @@
 """MinHash near-dedup by an inverted join of signature coordinates.
 
-Each distinct shingle set is signed with COORDINATES minima. Two sets with at least THRESHOLD equal coordinates have one of
-the first COORDINATES - THRESHOLD + 1 in common (the prefix), so documents are posted under those coordinate-value pairs
-only, and collisions are counted for documents that meet in a list. A pair of similarity 0.75 falls below the threshold
-with a chance of about 10^-8. Pairs above it are confirmed on their full shingle sets.
+Each distinct shingle set is signed with COORDINATES minima. A document is posted under its coordinate-value pairs, TOGETHER of
+them at a time: a list holds the documents that collide in all of a group's coordinates, which is what merging those pairs'
+lists would leave, so the long lists of widespread passages are skipped rather than merged. Collisions over the whole
+signature are then counted for documents that meet in a list, and pairs with THRESHOLD of them or more are confirmed on
+their full shingle sets. At a similarity of 0.75 the chance that two sets meet in no list is 3 * 10^-10, and that they fall
+below the threshold 3 * 10^-11.
 
 What is asked for is components, so a list need not be expanded into its pairs:
 
 - Round one compares each document of a list with the list's least one alone. Lists of copies end there.
-- Round two looks at lists that still hold several components, and compares only documents of different ones. The largest
-  component of a list is cut into parts; the others go along with each part. Lists with many of the others are first split
-  by further coordinates, of which a pair above the threshold has to share one again (this skips the long merge).
+- Round two looks at lists that still hold several components, and compares only documents of different ones, each pair in
+  the first list that it shares. The largest component of a list is cut into parts, the others into blocks; each task gets
+  one of either with signatures and texts, counts, confirms, and gives out links alone. So a list never becomes pairs, and
+  a link that joins what the task has joined before is not looked for again.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, arrow_rows, bounded_batches, table, written
+from .common import WordHasher, arrow_rows, bounded_batches, mix, table, written
 from .components import components
 
-SHINGLE, COORDINATES, THRESHOLD = 5, 64, 26
-PREFIX = COORDINATES - THRESHOLD + 1
-#: Round two: documents of a part, and others that go along with each part or are compared in one task.
-PART, OTHERS, SPLITS = 4000, 1000, 3
+SHINGLE, COORDINATES, TOGETHER, THRESHOLD = 5, 120, 3, 54
+GROUPS = COORDINATES // TOGETHER
+#: Round two: shingles of a part of the largest component, and of a block of the others, that one task gets.
+PART, OTHERS = 400_000, 200_000
 HASHER = WordHasher(5, fold_case=True)
 _rng = np.random.default_rng(17)
 _FACTORS, _TERMS = (_rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -81,15 +84,20 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _posted(signed: DataFrame) -> DataFrame:
-    """(key, doc) for each coordinate of the prefix."""
+    """(key, doc, n) for each group of coordinates; the key hashes the group's values and ends in the group's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = _matrix(b.column("signature"))[:, :PREFIX].astype(np.int64)
-            keys = np.arange(PREFIX, dtype=np.int64)[None, :] << 32 | values
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("doc").to_numpy(), PREFIX))], ["key", "doc"])
+            values = _matrix(b.column("signature")).reshape(-1, GROUPS, TOGETHER).astype(np.uint64)
+            number = np.broadcast_to(np.arange(GROUPS, dtype=np.uint64), values.shape[:2])
+            keys = number
+            for k in range(TOGETHER):
+                keys = mix(keys * _FACTORS[k] + values[:, :, k])
+            keys = keys & ~np.uint64(63) | number
+            columns = [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(b.column(c).to_numpy(), GROUPS)) for c in ("doc", "n"))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "n"])
 
-    return signed.select("doc", "signature").mapInArrow(run, "key long, doc long")
+    return signed.select("doc", "n", "signature").mapInArrow(run, "key long, doc long, n long")
 
 
 def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -104,8 +112,8 @@ def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have the similarity asked for.
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have the similarity asked for, from texts (doc, text).
 
     The text of b, which many pairs may share, is joined first; where one b is hot, the join's skew is split, as the other
     side has one row of it.
@@ -113,82 +121,78 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            theirs: dict[str, np.ndarray] = {}
-            tb = batch.column("tb").to_pylist()
-            distinct = list(dict.fromkeys(tb))
-            theirs = dict(zip(distinct, shingle_sets(distinct), strict=True))
-            for x, y in zip(shingle_sets(batch.column("ta").to_pylist()), tb, strict=True):
-                y = theirs[y]
+            keep, theirs = [], batch.column("tb").to_pylist()
+            distinct = list(dict.fromkeys(theirs))
+            sets = dict(zip(distinct, shingle_sets(distinct), strict=True))
+            for x, y in zip(shingle_sets(batch.column("ta").to_pylist()), map(sets.__getitem__, theirs), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    joined = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _sided(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Posts (key, doc, comp) of lists that hold several components, split into lists with few others and with many; with
-    main (is it of the list's largest component?) and the list's n_main and n_other."""
-    sizes = posts.groupBy("key", "comp").agg(F.count("*").alias("n"))
+def _sided(posts: DataFrame) -> DataFrame:
+    """Posts (key, doc, comp, n) of the lists that hold several components, with main (is it of the list's largest
+    component?) and into how many parts and blocks its list is cut."""
+    sizes = posts.groupBy("key", "comp").agg(F.sum("n").alias("n"))
     lists = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("n_comps"))
-    sided = posts.join(lists.where("n_comps > 1"), "key").withColumn("main", F.col("comp") == F.col("top")).withColumn("n_other", F.col("n_all") - F.col("n_main"))
-    sided = sided.select("key", "doc", "comp", "main", "n_main", "n_other")
-    return sided.where(F.col("n_other") <= OTHERS), sided.where(F.col("n_other") > OTHERS)
+    sided = posts.join(lists.where("n_comps > 1"), "key")
+    parts, blocks = F.ceil(F.col("n_main") / PART), F.ceil((F.col("n_all") - F.col("n_main")) / OTHERS)
+    return sided.select("key", "doc", "comp", (F.col("comp") == F.col("top")).alias("main"), parts.cast("int").alias("parts"), blocks.cast("int").alias("blocks"))
 
 
-def _deeper(posts: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
-    """Long lists split by a further coordinate: of the others after its own, a close pair shares one of PREFIX again."""
+def _linked(sided: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v) between different components of a list; in each task no more than join them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig, key = _matrix(b.column("signature")).astype(np.uint64), b.column("key").to_numpy().astype(np.uint64)
-            mine = (b.column("first").to_numpy()[:, None] + 1 + np.arange(PREFIX)[None, :]) % COORDINATES
-            values = np.take_along_axis(sig, mine, 1)
-            keys = (key[:, None] * _FACTORS[depth] + (mine.astype(np.uint64) << np.uint64(32) | values)) * _FACTORS[depth + 8]
-            keys ^= keys >> np.uint64(29)
-            n = PREFIX
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column("doc").to_numpy(), n)), pa.array(np.repeat(b.column("comp").to_numpy(), n)), pa.array(mine.ravel().astype(np.int64))],
-                ["key", "doc", "comp", "first"],
-            )
-
-    return posts.join(signed.select("doc", "signature"), "doc").select("key", "doc", "comp", "first", "signature").mapInArrow(run, "key long, doc long, comp long, first long")
-
-
-def _counted(posts: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in a list with at least THRESHOLD equal coordinates.
-
-    A list's largest component is cut into parts, the others into blocks; a task gets one part or block with one block of
-    others, so neither side is ever whole in one place.
+    A task is part x of the largest component with block y of the others, or (x below 0) block -1 - x of the others with y.
     """
-    dealt = posts.withColumns({"parts": F.ceil(F.col("n_main") / PART).cast("int"), "blocks": F.ceil(F.col("n_other") / OTHERS).cast("int")})
     mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    own = dealt.where("main").select("key", "doc", "comp", "main", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
-    along = dealt.where("NOT main").select("key", "doc", "comp", "main", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"), mine.alias("y"))
-    #: others among themselves: block i meets block j as x = -1 - i, y = j, for i <= j
-    cross = dealt.where("NOT main").withColumn("mine", mine)
-    first = cross.select("key", "doc", "comp", F.lit(True).alias("main"), (-1 - F.col("mine")).alias("x"), F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1)).alias("y"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = sided.where("main").select("key", "doc", "comp", "main", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("x"), F.explode(upto(F.col("blocks"))).alias("y"))
+    others = sided.where("NOT main").withColumn("mine", mine)
+    along = others.select("key", "doc", "comp", "main", F.explode(upto(F.col("parts"))).alias("x"), F.col("mine").alias("y"))
+    first = others.select("key", "doc", "comp", F.lit(True).alias("main"), (-1 - F.col("mine")).alias("x"), F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1)).alias("y"))
     back = F.sequence(F.lit(-1), -1 - F.col("mine"), F.lit(-1))
-    second = cross.select("key", "doc", "comp", F.lit(False).alias("main"), F.explode(back).alias("x"), F.col("mine").alias("y"))
-    rows = own.unionByName(along).unionByName(first).unionByName(second).join(signed.select("doc", "signature"), "doc")
+    second = others.select("key", "doc", "comp", F.lit(False).alias("main"), F.explode(back).alias("x"), F.col("mine").alias("y"))
+    rows = own.unionByName(along).unionByName(first).unionByName(second).join(met, "doc")
 
     def run(group: pa.Table) -> pa.Table:
-        main = group.column("main").to_numpy()
-        doc, comp = group.column("doc").to_numpy(), group.column("comp").to_numpy()
-        sig = _matrix(group.column("signature"))
+        main, group_no = group.column("main").to_numpy(), group.column("key")[0].as_py() & 63
+        doc, comp, text = (group.column(c).to_pylist() for c in ("doc", "comp", "text"))
+        sig = _matrix(group.column("signature")).reshape(-1, GROUPS, TOGETHER)
         left, right = np.flatnonzero(main), np.flatnonzero(~main)
+        sets: dict[int, set[int]] = {}
+        root: dict[int, int] = {}
         found = []
-        for k in right.tolist():
-            near = left[(sig[left] == sig[k]).sum(1) >= THRESHOLD]
-            near = near[comp[near] != comp[k]]
-            found += [(max(int(doc[j]), int(doc[k])), min(int(doc[j]), int(doc[k]))) for j in near]
-        a, b = zip(*set(found), strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+        def of(k: int) -> set[int]:
+            if doc[k] not in sets:
+                sets[doc[k]] = set(shingle_sets([text[k]])[0].tolist())
+            return sets[doc[k]]
+
+        def top(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        for k in right.tolist():
+            same = sig[left] == sig[k]
+            near = left[(same.sum((1, 2)) >= THRESHOLD) & (same.all(2).argmax(1) == group_no)]
+            for j in near.tolist():
+                a, b = top(comp[j]), top(comp[k])
+                if a == b:
+                    continue
+                x, y = of(j), of(k)
+                both = len(x & y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    root[max(a, b)] = min(a, b)
+                    found.append((max(doc[j], doc[k]), min(doc[j], doc[k])))
+        u, v = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return rows.groupBy("key", "x", "y").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -204,37 +208,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = written(named.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n")), "classes")
     one = F.struct("doc_id", "set_id")
     reps = named.join(classes.where("n > 0").select(F.struct(F.col("doc").alias("doc_id"), "set_id").alias("one")), one == F.col("one"), "left_semi")
-    reps = written(reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "signature"), "representatives")
+    reps = written(reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "signature"), "representatives")
 
     posts = _posted(reps)
-    lists = posts.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
+    lists = posts.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("size")).where("size > 1")
     posts = written(posts.join(lists.select("key", "least"), "key"), "posts")
-    first = _close(posts.where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")).distinct(), reps)
-    edges = written(_confirmed(first, docs, percent), "links")
+    # of the documents that meet another in some list, signatures and texts; all that follows joins with these
+    met = posts.groupBy("doc").agg(F.lit(1).alias("one")).select("doc")
+    met = written(met.join(reps.drop("n"), "doc").join(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc"), "met")
+    signatures, texts = met.select("doc", "signature"), met.select("doc", "text")
+    first = _close(posts.where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")).distinct(), signatures)
+    edges = written(_confirmed(first, texts, percent), "links")
     comps = written(components(edges), "components")
 
-    labelled = posts.join(comps.withColumnRenamed("node", "doc"), "doc", "left")
-    todo = written(labelled.select("key", "doc", F.coalesce("component", "doc").alias("comp"), F.shiftright("key", 32).alias("first")), "labelled")
-    pairs = None
-    for depth in range(SPLITS + 1):
-        few, many = _sided(todo)
-        if depth == SPLITS:
-            few = few.unionByName(many)
-        found = _counted(few, reps)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if depth == SPLITS or not many.select("key").take(1):
-            break
-        todo = written(_deeper(many.join(todo.select("key", "doc", "first").distinct(), ["key", "doc"]).select("key", "doc", "comp", "first"), reps, depth).distinct(), "deeper")
-    second = written(_confirmed(pairs.distinct(), docs, percent), "links")
+    labelled = posts.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+    sided = written(_sided(labelled), "sided")
+    second = written(_linked(sided, met, percent), "links")
     if second.take(1):
-        joined = edges.unionByName(second)
-        comps = written(components(joined), "components")
+        comps = written(components(edges.unionByName(second)), "components")
     of_class = classes.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("set_id", F.coalesce("component", "doc").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs, all columns, less the rows that are not the least of their component; repeated rows of one doc_id stay together.
+
+    Only the ids to drop are joined, so rows are compared by doc_id alone; rows of null doc_id stay.
+    """
+    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
