@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from contextlib import suppress
 from functools import cache
@@ -31,8 +30,7 @@ class Encoder:
     The kept pieces are bounded in number and length.
     """
 
-    KEPT, LONGEST = 500_000, 64
-    _touching = re.compile(r"\s \s?|  | \s")
+    KEPT, LONGEST = 800_000, 64
 
     def __init__(self, vocabulary: str = DEFAULT_VOCABULARY) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -94,20 +92,21 @@ class Encoder:
         holes: list[tuple[int, int, str]] = []
         kept = self.kept
         for k, text in enumerate(texts):
-            if not text or self._touching.search(text):
-                out.append([b""])
-                whole.append((k, text or ""))
-                continue
-            pieces = text.split(" ")
-            whole.append((k, pieces[0]))
-            pieces[0] = ""
-            found = list(map(kept.get, pieces))
+            pieces = (text or "").split(" ")
+            head, pieces[0] = pieces[0], ""
+            found, mine, at = list(map(kept.get, pieces)), [], 0
             found[0] = b""
-            at = 0
             with suppress(ValueError):  # no hole is left
                 while True:
                     at = found.index(None, at + 1)
-                    holes.append((k, at, pieces[at]))
+                    mine.append((k, at, pieces[at]))
+            # spaces touch no other white space where no piece is empty or has any at an end; none such is ever kept
+            if head.rstrip() == head and all(x and x.strip() == x for _, _, x in mine):
+                whole.append((k, head))
+                holes += mine
+            else:
+                found = [b""]
+                whole.append((k, text))
             out.append(found)
         fresh = self._fresh_pieces({x for _, _, x in holes})
         for k, at, x in holes:
