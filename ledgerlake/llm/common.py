@@ -169,7 +169,7 @@ class WordHasher:
             part = int((self.table[raw] * self.powers[: len(raw)]).sum(dtype=np.uint64))
             value = (value + part * factor) & _M64
             factor = factor * int(self.powers[len(raw) - 1]) & _M64
-        value = (value * int(self.inverses[0]) * self.base * int(self.inverses[0]) + len(word)) & _M64
+        value = (value * self.inverse + len(word)) & _M64  # powers begin at the first, not the zeroth
         return int(mix(np.array([value], np.uint64))[0])
 
     def windows(self, words: np.ndarray, width: int) -> np.ndarray:

@@ -52,6 +52,12 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+def _stretches(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of one value in an ascending array of non-negative integers."""
+    edges = np.flatnonzero(np.diff(values, prepend=-1))
+    return list(zip(edges, np.append(edges[1:], len(values)), strict=True)) if len(edges) else []
+
+
 class _Block:
     """The documents of one block in ascending doc_id order, and their windows."""
 
@@ -77,8 +83,7 @@ class _Block:
 
     def by_bucket(self, found: np.ndarray) -> list[tuple[int, slice]]:
         bucket = (found >> np.uint64(32)).astype(np.int64)
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-        return [(int(bucket[a]), slice(a, b)) for a, b in zip(edges, [*edges[1:], len(found)], strict=True)]
+        return [(int(bucket[a]), slice(a, b)) for a, b in _stretches(bucket)]
 
 
 def _keys(found: np.ndarray) -> bytes:
@@ -122,9 +127,8 @@ def _by_row(bucket: int, blocks: np.ndarray, row: np.ndarray, keys: np.ndarray,
     order = np.argsort(row, kind="stable")
     row, keys = row[order], keys[order]
     checks = checks[keep][order] if checks is not None else None
-    edges = np.flatnonzero(np.diff(row, prepend=-1))
     out = []
-    for a, b in zip(edges, [*edges[1:], len(row)], strict=True):
+    for a, b in _stretches(row):
         out.append((int(blocks[row[a]]), bucket, keys[a:b].tobytes(), checks[a:b].tobytes() if checks is not None else b""))
     return _table(out, REPLY)
 

@@ -52,7 +52,7 @@ def decode_block(data: bytes) -> np.ndarray:
     if width == 8:
         return np.ascontiguousarray(np.stack(rows, 1)).view("<u4").ravel()
     bits = np.unpackbits(np.stack(rows), axis=1, count=n, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").ravel()
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u4").ravel()
 
 
 #: A row is one block of a shard: its place, the planes, and which documents' ids it holds from where.

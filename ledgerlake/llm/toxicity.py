@@ -152,6 +152,8 @@ class Model:
         """The part of the weight of the neighbours, by the inverse of their distance, that is toxic; the prior without any."""
         w = np.where(where >= 0, near / (1.05 - near), 0)
         total = w.sum(1)
+        if not len(self.toxic):
+            return np.full(len(w), self.prior)
         return np.where(total > 0, (w * self.toxic[where]).sum(1) / np.maximum(total, 1e-9), self.prior)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
