@@ -98,13 +98,17 @@ def epoch_partitions(manifest_partitions: DataFrame) -> DataFrame:
 
 
 def data_files(changes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """The planned files, one for each epoch, relation and source bucket."""
-    bucketed = changes.withColumn("source_bucket", hashing.bucket(F.col("source_id"), buckets))
-    keys = ["epoch_id", "relation", "source_bucket"]
-    one = bucketed.groupBy(*keys, *TRANSACTION).agg(F.count("*").alias("n"), F.first("envelope_checksum").alias("sum"), F.first("commit_lsn").alias("commit_lsn"))
-    files = one.groupBy(*keys).agg(
-        F.array_join(F.sort_array(F.collect_set("source_id")), ",").alias("source_ids"), F.count("*").alias("transaction_count"), F.sum("n").alias("change_count"), F.bit_xor("sum").alias("checksum_rollup"), *lsn_window()
-    )
+    """The planned files, one for each epoch, relation and source bucket.
+
+    Three levels: transactions, then sources, then buckets; the bucket's hash is computed for sources only, not for changes.
+    """
+    keys = ["epoch_id", "relation"]
+    one = changes.groupBy(*keys, *TRANSACTION).agg(F.count("*").alias("n"), F.first("envelope_checksum").alias("sum"), F.first("commit_lsn").alias("commit_lsn"))
+    per = one.groupBy(*keys, "source_id").agg(F.count("*").alias("t"), F.sum("n").alias("n"), F.bit_xor("sum").alias("sum"), *lsn_window(), F.min("lsn").alias("low"), F.max("lsn").alias("high"))
+    files = per.withColumn("source_bucket", hashing.bucket(F.col("source_id"), buckets)).groupBy(*keys, "source_bucket").agg(
+        F.array_join(F.sort_array(F.collect_set("source_id")), ",").alias("source_ids"), F.sum("t").alias("transaction_count"), F.sum("n").alias("change_count"), F.bit_xor("sum").alias("checksum_rollup"),
+        F.min_by("first_lsn", "low").alias("first_lsn"), F.max_by("last_lsn", "high").alias("last_lsn"),
+    )
     table = names.identifier(F.col("relation"))
     key = F.concat(F.lit("raw/"), table, F.lit("/"), F.col("epoch_id"), F.lit("/bucket-"), F.lpad(F.col("source_bucket").cast("string"), 4, "0"), F.lit(".parquet"))
     return files.withColumn("object_key", key)
