@@ -97,7 +97,7 @@ def epoch_partitions(manifest_partitions: DataFrame) -> DataFrame:
     )
 
 
-def data_files(changes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def data_files(changes: DataFrame, dataset: str = "retail", buckets: int = BUCKETS) -> DataFrame:
     """The planned files, one for each epoch, relation and source bucket.
 
     Three levels: transactions, then sources, then buckets; the bucket's hash is computed for sources only, not for changes.
@@ -109,8 +109,9 @@ def data_files(changes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("source_id")), ",").alias("source_ids"), F.sum("t").alias("transaction_count"), F.sum("n").alias("change_count"), F.bit_xor("sum").alias("checksum_rollup"),
         F.min_by("first_lsn", "low").alias("first_lsn"), F.max_by("last_lsn", "high").alias("last_lsn"),
     )
-    table = names.identifier(F.col("relation"))
-    key = F.concat(F.lit("raw/"), table, F.lit("/"), F.col("epoch_id"), F.lit("/bucket-"), F.lpad(F.col("source_bucket").cast("string"), 4, "0"), F.lit(".parquet"))
+    part = lambda k: names.identifier(F.split_part("relation", F.lit("."), F.lit(k)))
+    table = F.concat_ws("__", names.identifier(F.lit(dataset)), part(1), part(2), F.lit("raw_cdc"))
+    key = F.concat(table, F.lit("/epoch_id="), F.col("epoch_id"), F.lit("/source_bucket="), F.lpad(F.col("source_bucket").cast("string"), 4, "0"), F.lit("/part-00000.parquet"))
     return files.withColumn("object_key", key)
 
 
@@ -142,7 +143,7 @@ def completeness_counts(sources: DataFrame) -> DataFrame:
 
 
 def epoch_state(missing: Column, quarantined: Column, policy: Column) -> Column:
-    """quarantined before complete; a gap by the straggler policy: wait_all, publish_with_gaps or quarantine_on_gap."""
+    """quarantined before complete; a gap by the straggler policy: wait_all_required, publish_with_gaps or quarantine_on_gap."""
     gap = F.when(policy == "publish_with_gaps", "complete_with_gaps").when(policy == "quarantine_on_gap", "quarantined").otherwise("open")
     return F.when(quarantined > 0, "quarantined").when(missing == 0, "complete").otherwise(gap)
 
@@ -178,28 +179,40 @@ def quarantine_rows(sources: DataFrame, epoch_id: str) -> DataFrame:
     return sources.where("state = 'quarantined'").select(F.lit(epoch_id).alias("epoch_id"), "source_id", reason.alias("reason"))
 
 
-def deterministic_epoch_id(dataset: str, policy: str, grace_ms: int, required: DataFrame, windows: DataFrame) -> DataFrame:
-    """epoch-{slug}-{16 digits}, over length-prefixed fields; independent of the rows' order.
+def deterministic_epoch_id(dataset: str, policy: str, required: DataFrame, windows: DataFrame) -> DataFrame:
+    """epoch-{slug}-{16 digits}: a digest of length-prefixed fields of the dataset, the policy and every source.
 
-    required has source_id; windows source_id, start_lsn, end_lsn. Their size is that of the configuration.
+    policy is wait_all_required, publish_with_gaps:{grace_ms} or quarantine_on_gap; required has source_id, windows
+    source_id, start_lsn and end_lsn, a source at most once. Rows number the configured sources, in any order.
     """
     field = lambda name, v: F.concat(F.lit(f"{name}:"), F.octet_length(v).cast("string"), F.lit(":"), v, F.lit("\n"))
-    need = required.select("source_id").union(windows.select("source_id")).distinct().agg(F.array_join(F.array_sort(F.collect_list(field("source", F.col("source_id")))), "").alias("need"))
-    spans = windows.agg(F.array_join(F.array_sort(F.collect_list(F.concat(field("window", F.col("source_id")), field("start", F.col("start_lsn")), field("end", F.col("end_lsn"))))), "").alias("spans"))
-    head = F.concat(field("dataset", F.lit(dataset)), field("policy", F.lit(policy)), field("grace", F.lit(str(grace_ms))))
-    digest = F.sha2(F.concat(head, "need", "spans"), 256)
-    return need.crossJoin(spans).select(F.concat(F.lit("epoch-"), names.slug(F.lit(dataset)), F.lit("-"), F.substring(digest, 1, 16)).alias("epoch_id"))
+    both = required.select("source_id", F.lit("true").alias("required")).join(windows, "source_id", "full_outer")
+    held = lambda c: F.coalesce(F.col(c), F.lit("<none>"))
+    block = F.concat(field("source", F.col("source_id")), field("required", F.coalesce("required", F.lit("false"))), field("start_lsn", held("start_lsn")), field("end_lsn", held("end_lsn")))
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("source_id", block.alias("block")))), lambda x: x["block"])
+    text = F.concat(field("dataset", F.lit(dataset)), field("policy", F.lit(policy)), F.array_join(blocks, ""))
+    slug = F.trim(names.slug(F.lit(dataset)), F.lit("-"))
+    return both.agg(F.concat(F.lit("epoch-"), F.when(slug == "", "dataset").otherwise(slug), F.lit("-"), F.substring(F.sha2(text, 256), 1, 16)).alias("epoch_id"))
 
 
 def manifest_digest(sources: DataFrame, tables: DataFrame, partitions: DataFrame) -> DataFrame:
-    """SHA-256 over the sorted ledger lines of an epoch; the lines number sources, tables and partitions, not changes."""
-    line = lambda kind, df, *cols: df.select("epoch_id", F.concat_ws("|", F.lit(kind), *[F.col(c).cast("string") for c in cols]).alias("line"))
-    lines = (
-        line("source", sources, "source_id", "transaction_count", "change_count", "checksum_rollup")
-        .unionByName(line("table", tables, "relation", "transaction_count", "change_count", "checksum_rollup"))
-        .unionByName(line("partition", partitions, "source_id", "partition_id", "transaction_count", "event_count", "checksum_rollup"))
+    """SHA-256 over the ledger lines of an epoch: sources, tables, then partitions, each in the order of its key.
+
+    The lines number sources, tables and partitions, not changes.
+    """
+
+    def lines(rank: int, kind: str, df: DataFrame, key: str, *rest: str) -> DataFrame:
+        number = F.col("partition_id").cast("int") if kind == "partition" else F.lit(0)
+        line = F.concat(F.lit(f"{kind}="), F.concat_ws("|", "epoch_id", key, *[F.col(c).cast("string") for c in rest]), F.lit("\n"))
+        return df.select("epoch_id", F.struct(F.lit(rank).alias("rank"), F.col(key).alias("key"), number.alias("number"), line.alias("line")).alias("line"))
+
+    every = (
+        lines(0, "source", sources, "source_id", "first_lsn", "last_lsn", "transaction_count", "change_count", "checksum_rollup")
+        .unionByName(lines(1, "table", tables, "relation", "transaction_count", "change_count", "checksum_rollup"))
+        .unionByName(lines(2, "partition", partitions, "source_id", "partition_id", "first_lsn", "last_lsn", "transaction_count", "event_count", "checksum_rollup"))
     )
-    return lines.groupBy("epoch_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("manifest_digest"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["line"]), "")
+    return every.groupBy("epoch_id").agg(F.sha2(F.concat(F.lit("raw_cdc_epoch_manifest_v1\n"), text), 256).alias("manifest_digest"))
 
 
 # -- gates ----------------------------------------------------------------------------------------

@@ -117,6 +117,28 @@ def boundary_status(flows: DataFrame) -> DataFrame:
 
 
 def health_violations(states: DataFrame) -> DataFrame:
-    """Combinations of phase, readiness and accepting_work that a runtime may not be in."""
-    code = F.when(F.col("accepting_work") & (F.col("phase") != "running"), "accepting_outside_running").when((F.col("readiness") == "ready") & F.col("phase").isin("starting", "stopped", "failed"), "ready_outside_service")
-    return states.withColumn("violation", code).where("violation IS NOT NULL")
+    """Health reports (phase, readiness, accepting_work, reason_code) that no runtime may give: states that don't go
+    together, malformed reasons, and missing ones where readiness asks for one."""
+    phase, ready, accepting = F.col("phase"), F.col("readiness"), F.col("accepting_work")
+    running = F.when(ready.isin("ready", "degraded"), accepting).when(ready.isin("backpressured", "blocked"), ~accepting).otherwise(False)
+    valid = F.when(phase == "running", running).when(phase == "failed", (ready == "blocked") & ~accepting).otherwise((ready == "not_ready") & ~accepting)
+    needs = ready.isin("degraded", "backpressured", "blocked") & F.col("reason_code").isNull()
+    found = F.array_compact(F.array(F.when(~valid, F.lit("state")), F.when(~F.col("reason_code").rlike("^[a-z0-9_]+$"), F.lit("reason_code")), F.when(needs, F.lit("missing_reason"))))
+    return states.select("*", F.explode(found).alias("violation"))
+
+
+#: Kinds of schema change by what they mean for replay. Compatible ones need a configured table.
+COMPATIBLE = ("add_nullable_column", "widen_type", "increase_varchar")
+MAPPED = ("rename_column", "rename_table", "unknown")
+
+
+def ddl_compatibility(kind: Column, configured: Column, allow_unknown: Column) -> Column:
+    known = F.when(configured, "compatible").otherwise("blocked_by_policy")
+    return F.when(kind.isin(*COMPATIBLE), known).when(kind == "add_table", F.when(allow_unknown, "compatible").otherwise("blocked_by_policy")).when(kind.isin(*MAPPED), "requires_mapping").otherwise("destructive_or_ambiguous")
+
+
+def ddl_decision(mode: Column, compatibility: Column) -> Column:
+    """What a plan does with a change: policy blocks come first, then compatible changes by mode; review mode blocks nothing else."""
+    by_mode = F.when(mode == "auto_safe", "auto_apply").when(mode == "staged_rollout", "stage_then_apply").otherwise("manual_review")
+    rest = F.when((mode == "manual_review") | (compatibility == "requires_mapping"), "manual_review").otherwise("block")
+    return F.when(compatibility == "blocked_by_policy", "block").when(compatibility == "compatible", by_mode).otherwise(rest)

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: States that a snapshot run may go to from each state.
+#: States that a snapshot run may go to from each state, besides staying there.
 SNAPSHOT_MOVES = {
-    "planned": ("exporting", "failed", "cancelled"), "exporting": ("copying", "failed", "cancelled"), "copying": ("copied", "failed", "cancelled"), "copied": ("handing_off", "failed", "cancelled"),
-    "handing_off": ("streaming", "failed", "cancelled"), "streaming": ("complete", "failed"), "complete": (), "failed": ("planned",), "cancelled": (),
-}
+    "planned": ("slot_created",),
+    "slot_created": ("snapshot_exported", "copying_table", "failed_recoverable"),
+    "snapshot_exported": ("copying_table", "failed_recoverable"),
+    "copying_table": ("copy_complete", "failed_recoverable"),
+    "copy_complete": ("stream_handoff_ready", "failed_recoverable"),
+    "stream_handoff_ready": ("streaming", "verified", "failed_recoverable"),
+    "streaming": ("verified", "failed_recoverable"),
+    "verified": ("failed_recoverable",),
+    "failed_recoverable": ("planned", "slot_created", "snapshot_exported", "copying_table"),
+}
 
 
 def merge_checkpoints(updates: DataFrame) -> DataFrame:
@@ -94,7 +101,7 @@ def snapshot_violations(runs: DataFrame) -> DataFrame:
     """Steps (run_id, seq, state, copied_rows, consistent_lsn) that the state machine forbids."""
     by = Window.partitionBy("run_id").orderBy("seq")
     prev = lambda c: F.lag(c).over(by)
-    allowed = F.create_map(*[x for k, v in SNAPSHOT_MOVES.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if v else F.array().cast("array<string>"))])
+    allowed = F.create_map(*[x for k, v in SNAPSHOT_MOVES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     rows = runs.withColumns({"was": prev("state"), "was_rows": prev("copied_rows"), "was_lsn": prev("consistent_lsn")})
     codes = F.array_compact(F.array(
         F.when((F.col("was") != F.col("state")) & ~F.array_contains(F.element_at(allowed, F.col("was")), F.col("state")), F.lit("transition")),

@@ -35,7 +35,7 @@ def merge_current(target: DataFrame, changes: DataFrame, honor_truncate: bool =
     out = kept.where("row IS NOT NULL").select(*KEY, "row.*")
     if honor_truncate:
         cut = changes.where("operation = 'truncate'").groupBy("source_id", "relation").agg(F.max(F.struct("lsn", "total_order")).alias("cut"))
-        out = out.join(F.broadcast(cut), ["source_id", "relation"], "left").where("cut IS NULL OR struct(lsn, total_order) > cut").drop("cut")
+        out = out.join(cut, ["source_id", "relation"], "left").where("cut IS NULL OR struct(lsn, total_order) > cut").drop("cut")
     return out
 
 

@@ -35,7 +35,7 @@ INPUTS = {
     "acks": """SELECT concat('consumer-', CAST(user_id % 4 AS STRING)) AS consumer, event_type AS topic, event_id AS seq,
         CAST(row_number() OVER (PARTITION BY user_id % 4, event_type ORDER BY event_id) AS BIGINT) - 1 - CASE WHEN event_id % 31 = 0 THEN 2 ELSE 0 END + CASE WHEN event_id % 101 = 0 THEN 3 ELSE 0 END AS "offset" FROM {events}""".replace('"offset"', "offset_"),
     "snapshot_runs": """SELECT concat('run-', CAST(c_custkey AS STRING)) AS run_id, n_nationkey AS seq,
-        CASE WHEN n_nationkey = 0 THEN 'planned' WHEN n_nationkey = 1 THEN 'exporting' WHEN n_nationkey = 2 THEN CASE WHEN c_custkey % 11 = 0 THEN 'streaming' ELSE 'copying' END WHEN n_nationkey = 3 THEN 'copying' WHEN n_nationkey = 4 THEN 'copied' ELSE 'handing_off' END AS state,
+        CASE WHEN n_nationkey = 0 THEN 'planned' WHEN n_nationkey = 1 THEN 'slot_created' WHEN n_nationkey = 2 THEN CASE WHEN c_custkey % 11 = 0 THEN 'streaming' ELSE 'copying_table' END WHEN n_nationkey = 3 THEN 'copying_table' WHEN n_nationkey = 4 THEN 'copy_complete' ELSE 'stream_handoff_ready' END AS state,
         CAST(n_nationkey * 100 - CASE WHEN c_custkey % 13 = 0 AND n_nationkey = 3 THEN 250 ELSE 0 END AS BIGINT) AS copied_rows, CAST(7 + CASE WHEN c_custkey % 17 = 0 AND n_nationkey >= 4 THEN 1 ELSE 0 END AS BIGINT) AS consistent_lsn
         FROM {customer} JOIN {nation} ON n_nationkey < 6""",
     "barrier_acks": """SELECT concat('barrier-', CAST(s_suppkey AS STRING)) AS barrier_id, CASE n_nationkey WHEN 0 THEN 'target_postgres' WHEN 1 THEN 'raw_cdc_lake' ELSE 'spark_views' END AS sink,
@@ -73,7 +73,12 @@ INPUTS = {
         FROM (SELECT concat(l_returnflag, l_linestatus) AS l_shipmode_like, l_suppkey, l_partkey, l_orderkey FROM {lineitem}) t GROUP BY l_shipmode_like, l_suppkey""",
     "lsn_texts": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN commit_lsn WHEN 1 THEN concat('0000', commit_lsn) WHEN 2 THEN lower(commit_lsn) WHEN 3 THEN 'nonsense' WHEN 4 THEN '1/' WHEN 5 THEN CAST(NULL AS STRING) ELSE commit_lsn END AS text, lsn
         FROM (SELECT CAST(substr(transaction_id, 4) AS BIGINT) AS event_id, commit_lsn, lsn FROM {changes} WHERE relation = 'public.events') t""",
-    "runtime": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'starting' WHEN 1 THEN 'running' WHEN 2 THEN 'draining' WHEN 3 THEN 'stopped' ELSE 'failed' END AS phase, CASE event_id % 3 WHEN 0 THEN 'ready' ELSE 'not_ready' END AS readiness, event_id % 2 = 0 AS accepting_work FROM {events}""",
+    "runtime": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'starting' WHEN 1 THEN 'running' WHEN 2 THEN 'draining' WHEN 3 THEN 'stopped' ELSE 'failed' END AS phase,
+        CASE user_id % 5 WHEN 0 THEN 'ready' WHEN 1 THEN 'degraded' WHEN 2 THEN 'backpressured' WHEN 3 THEN 'blocked' ELSE 'not_ready' END AS readiness, event_id % 2 = 0 AS accepting_work,
+        CASE event_id % 3 WHEN 0 THEN 'lag_high' WHEN 1 THEN 'Bad Code' ELSE CAST(NULL AS STRING) END AS reason_code FROM {events}""",
+    "ddl_plan": """SELECT event_id, CASE event_id % 12 WHEN 0 THEN 'add_nullable_column' WHEN 1 THEN 'add_table' WHEN 2 THEN 'widen_type' WHEN 3 THEN 'increase_varchar' WHEN 4 THEN 'drop_column' WHEN 5 THEN 'rename_column'
+        WHEN 6 THEN 'rename_table' WHEN 7 THEN 'narrow_type' WHEN 8 THEN 'change_primary_key' WHEN 9 THEN 'change_partition_key' WHEN 10 THEN 'add_not_null_column' ELSE 'unknown' END AS kind,
+        user_id % 2 = 0 AS configured, user_id % 3 = 0 AS allow_unknown, CASE user_id % 4 WHEN 0 THEN 'auto_safe' WHEN 1 THEN 'staged_rollout' WHEN 2 THEN 'manual_review' ELSE 'other' END AS apply_mode FROM {events}""",
     "subtransactions": """SELECT concat('ord-', CAST(l_orderkey AS STRING)) AS transaction_id, l_linenumber * 10 + 0 AS total_order, CAST(l_suppkey % 3 AS INT) AS subtransaction_id, l_partkey AS payload FROM (SELECT l_orderkey, l_suppkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS l_linenumber FROM {lineitem}) t""",
     "commits": "SELECT concat('ord-', CAST(o_orderkey AS STRING)) AS transaction_id FROM {orders} WHERE o_orderkey % 10 <> 0",
     "aborted": """SELECT concat('ord-', CAST(o_orderkey AS STRING)) AS transaction_id, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE CAST(NULL AS INT) END AS subtransaction_id FROM {orders} WHERE o_orderkey % 9 = 0 OR o_orderkey % 11 = 0""",

@@ -47,7 +47,7 @@ def _(t):
 
 FNV = """list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(0, strlen(source_id)), lambda k: CAST(ascii(source_id[k + 1]) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"""
 FILES = f"""SELECT epoch_id, relation, CAST(bucket AS INTEGER) AS source_bucket, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS source_ids, count(*) AS transaction_count, CAST(sum(n) AS BIGINT) AS change_count, bit_xor(sum) AS checksum_rollup,
-  arg_min(commit_lsn, lsn) AS first_lsn, arg_max(commit_lsn, lsn) AS last_lsn, 'raw/' || replace(relation, '.', '_') || '/' || epoch_id || '/bucket-' || lpad(CAST(bucket AS VARCHAR), 4, '0') || '.parquet' AS object_key
+  arg_min(commit_lsn, lsn) AS first_lsn, arg_max(commit_lsn, lsn) AS last_lsn, 'retail__' || replace(relation, '.', '__') || '__raw_cdc/epoch_id=' || epoch_id || '/source_bucket=' || lpad(CAST(bucket AS VARCHAR), 4, '0') || '/part-00000.parquet' AS object_key
   FROM (SELECT *, {FNV} % 16 AS bucket FROM ({BY_TABLE})) GROUP BY epoch_id, relation, bucket"""
 
 
@@ -120,9 +120,9 @@ def _summary_sql(quarantined: str, policy: str) -> str:
     FROM ({TOTALS}) e CROSS JOIN {{required}} r LEFT JOIN (SELECT DISTINCT epoch_id, source_id FROM {{changes}}) s ON s.epoch_id = e.epoch_id AND s.source_id = r.source_id LEFT JOIN {{{quarantined}}} q ON q.source_id = r.source_id GROUP BY ALL))"""
 
 
-@query("r25_epoch_state", _summary_sql("quarantined", "wait_all"))
+@query("r25_epoch_state", _summary_sql("quarantined", "wait_all_required"))
 def _(t):
-    return lake.epoch_summary(t("changes"), t("required"), t("quarantined"), "wait_all")
+    return lake.epoch_summary(t("changes"), t("required"), t("quarantined"), "wait_all_required")
 
 
 @query("r28_epoch_summary", _summary_sql("nobody", "publish_with_gaps"))
@@ -176,25 +176,25 @@ def _(t):
     return t("changes").where("dataset_id = 'retail'").join(scope, "source_id", "left_semi").groupBy("source_id").agg(F.count("*").alias("in_scope"))
 
 
-LINES = f"""SELECT epoch_id, 'source|' || source_id || '|' || transaction_count || '|' || change_count || '|' || checksum_rollup AS line FROM ({SOURCES})
-  UNION ALL SELECT epoch_id, 'table|' || relation || '|' || transaction_count || '|' || change_count || '|' || checksum_rollup FROM ({TABLES})
-  UNION ALL SELECT epoch_id, 'partition|' || source_id || '|' || partition_id || '|' || transaction_count || '|' || event_count || '|' || checksum_rollup FROM ({PARTITIONS})"""
+LINES = f"""SELECT epoch_id, 0 AS rank, source_id AS key, 0 AS number, 'source=' || concat_ws('|', epoch_id, source_id, first_lsn, last_lsn, transaction_count, change_count, checksum_rollup) || chr(10) AS line FROM ({SOURCES})
+  UNION ALL SELECT epoch_id, 1, relation, 0, 'table=' || concat_ws('|', epoch_id, relation, transaction_count, change_count, checksum_rollup) || chr(10) FROM ({TABLES})
+  UNION ALL SELECT epoch_id, 2, source_id, partition_id, 'partition=' || concat_ws('|', epoch_id, source_id, partition_id, first_lsn, last_lsn, transaction_count, event_count, checksum_rollup) || chr(10) FROM ({PARTITIONS})"""
 
 
-@query("r30_epoch_manifest_digest", f"SELECT epoch_id, sha256(string_agg(line, chr(10) ORDER BY line)) AS manifest_digest FROM ({LINES}) GROUP BY ALL")
+@query("r30_epoch_manifest_digest", f"SELECT epoch_id, sha256('raw_cdc_epoch_manifest_v1' || chr(10) || string_agg(line, '' ORDER BY rank, key, number)) AS manifest_digest FROM ({LINES}) GROUP BY ALL")
 def _(t):
     return lake.manifest_digest(lake.epoch_sources(t("changes")), lake.epoch_tables(t("changes")), lake.epoch_partitions(t("manifest_partitions")))
 
 
 _F = lambda n, v: f"'{n}:' || strlen({v}) || ':' || {v} || chr(10)"
+_BLOCK = f"{_F('source', 's')} || {_F('required', 'r')} || {_F('start_lsn', 'a')} || {_F('end_lsn', 'b')}"
 
 
-@query("r29_deterministic_epoch_id", f"""SELECT 'epoch-retail-' || substr(sha256({_F("dataset", "'retail'")} || {_F("policy", "'wait_all'")} || {_F("grace", "'30000'")} || need || spans), 1, 16) AS epoch_id
-  FROM (SELECT string_agg(x, '' ORDER BY x) AS need FROM (SELECT {_F("source", "source_id")} AS x FROM (SELECT source_id FROM {{required}} UNION SELECT source_id FROM {{changes}})))
-  CROSS JOIN (SELECT string_agg(x, '' ORDER BY x) AS spans FROM (SELECT {_F("window", "source_id")} || {_F("start", "first_lsn")} || {_F("end", "last_lsn")} AS x FROM ({OBSERVED})))""")
+@query("r29_deterministic_epoch_id", f"""SELECT 'epoch-retail-' || substr(sha256({_F("dataset", "'retail'")} || {_F("policy", "'publish_with_gaps:30000'")} || string_agg({_BLOCK}, '' ORDER BY s)), 1, 16) AS epoch_id
+  FROM (SELECT coalesce(q.source_id, o.source_id) AS s, CASE WHEN q.source_id IS NULL THEN 'false' ELSE 'true' END AS r, coalesce(first_lsn, '<none>') AS a, coalesce(last_lsn, '<none>') AS b FROM {{required}} q FULL JOIN ({OBSERVED}) o ON o.source_id = q.source_id)""")
 def _(t):
     windows = lake.epoch_sources(t("changes").where(F.col("epoch_id") == EPOCHS[0])).select("source_id", F.col("first_lsn").alias("start_lsn"), F.col("last_lsn").alias("end_lsn"))
-    return lake.deterministic_epoch_id("retail", "wait_all", 30000, t("required"), windows)
+    return lake.deterministic_epoch_id("retail", "publish_with_gaps:30000", t("required"), windows)
 
 
 RAW = """SELECT source_id, relation, transaction_id, upper(to_hex((lsn - 8) >> 32)) || '/' || upper(to_hex((lsn - 8) & 4294967295)) AS begin_lsn, commit_lsn, total_order, operation, record_key, idempotency_key, envelope_checksum, CAST(partition_id AS VARCHAR) AS partition_key,
@@ -309,12 +309,12 @@ def _(t):
     return rows.groupBy("relation", "operation").agg(F.count("*").alias("n"))
 
 
-@query("r27_plan_raw_cdc_epoch", f"""SELECT f.epoch_id, relation, source_bucket, f.transaction_count, f.change_count, f.checksum_rollup, state FROM ({FILES}) f JOIN ({_summary_sql('nobody', 'wait_all')}) s ON s.epoch_id = f.epoch_id""")
+@query("r27_plan_raw_cdc_epoch", f"""SELECT f.epoch_id, relation, source_bucket, f.transaction_count, f.change_count, f.checksum_rollup, state FROM ({FILES}) f JOIN ({_summary_sql('nobody', 'wait_all_required')}) s ON s.epoch_id = f.epoch_id""")
 def _(t):
     first = lake.admitted(t("arrivals")).select("source_id", "transaction_id", "lsn", "envelope_checksum")
     changes = t("changes").join(first, ["source_id", "transaction_id", "lsn", "envelope_checksum"], "left_semi")
-    s = lake.epoch_summary(changes, t("required"), t("nobody"), "wait_all").select("epoch_id", "state")
-    return lake.data_files(changes).join(F.broadcast(s), "epoch_id").select("epoch_id", "relation", "source_bucket", "transaction_count", "change_count", "checksum_rollup", "state")
+    s = lake.epoch_summary(changes, t("required"), t("nobody"), "wait_all_required").select("epoch_id", "state")
+    return lake.data_files(changes).join(s, "epoch_id").select("epoch_id", "relation", "source_bucket", "transaction_count", "change_count", "checksum_rollup", "state")
 
 
 @query("f7_fnv_bucket", f"SELECT source_id, CAST({FNV} AS BIGINT) AS fnv, CAST({FNV} % 16 AS INTEGER) AS bucket FROM (SELECT DISTINCT source_id FROM {{changes}})")

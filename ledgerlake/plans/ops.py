@@ -115,20 +115,21 @@ def _(t):
     return t("txns").agg(F.min("transaction_id").alias("transaction_id"))
 
 
-@query("r42_runtime_health", "SELECT event_id, CASE WHEN accepting_work AND phase <> 'running' THEN 'accepting_outside_running' ELSE 'ready_outside_service' END AS violation FROM {runtime} WHERE (accepting_work AND phase <> 'running') OR (readiness = 'ready' AND phase IN ('starting', 'stopped', 'failed'))")
-def _(t):
-    return ops.health_violations(t("runtime")).select("event_id", "violation")
+_VALID = "CASE phase WHEN 'running' THEN (readiness IN ('ready', 'degraded') AND accepting_work) OR (readiness IN ('backpressured', 'blocked') AND NOT accepting_work) WHEN 'failed' THEN readiness = 'blocked' AND NOT accepting_work ELSE readiness = 'not_ready' AND NOT accepting_work END"
 
 
-_COMPAT = "CASE WHEN kind = 'add_column' THEN 'additive' WHEN kind = 'drop_column' THEN 'breaking' WHEN kind = 'rename' THEN 'breaking' WHEN kind = 'alter_type' THEN 'review' ELSE 'unknown' END"
+@query("r42_runtime_health", f"""SELECT event_id, 'state' AS violation FROM {{runtime}} WHERE NOT ({_VALID}) UNION ALL SELECT event_id, 'reason_code' FROM {{runtime}} WHERE reason_code = 'Bad Code'
+  UNION ALL SELECT event_id, 'missing_reason' FROM {{runtime}} WHERE reason_code IS NULL AND readiness IN ('degraded', 'backpressured', 'blocked')""")
+def _(t):
+    return ops.health_violations(t("runtime")).select("event_id", "violation")
 
 
-@query("r15_ddl_plan_decision", f"SELECT transaction_id, total_order, c AS compatibility, CASE c WHEN 'additive' THEN CASE WHEN auto THEN 'auto' ELSE 'stage' END WHEN 'review' THEN 'manual' ELSE 'block' END AS decision FROM (SELECT *, {_COMPAT} AS c FROM {{ddl}})")
+@query("r15_ddl_plan_decision", """SELECT event_id, c AS compatibility, CASE WHEN c = 'blocked_by_policy' THEN 'block' WHEN c = 'compatible' AND apply_mode = 'auto_safe' THEN 'auto_apply' WHEN c = 'compatible' AND apply_mode = 'staged_rollout' THEN 'stage_then_apply' WHEN c = 'compatible' OR apply_mode = 'manual_review' OR c = 'requires_mapping' THEN 'manual_review' ELSE 'block' END AS decision
+  FROM (SELECT *, CASE WHEN kind IN ('add_nullable_column', 'widen_type', 'increase_varchar') THEN CASE WHEN configured THEN 'compatible' ELSE 'blocked_by_policy' END WHEN kind = 'add_table' THEN CASE WHEN allow_unknown THEN 'compatible' ELSE 'blocked_by_policy' END
+    WHEN kind IN ('rename_column', 'rename_table', 'unknown') THEN 'requires_mapping' ELSE 'destructive_or_ambiguous' END AS c FROM {ddl_plan})""")
 def _(t):
-    table = t.spark.createDataFrame([("add_column", "additive"), ("drop_column", "breaking"), ("rename", "breaking"), ("alter_type", "review")], "kind string, compatibility string")
-    joined = t("ddl").join(F.broadcast(table), "kind", "left").withColumn("compatibility", F.coalesce("compatibility", F.lit("unknown")))
-    decision = F.when(F.col("compatibility") == "additive", F.when(F.col("auto"), "auto").otherwise("stage")).when(F.col("compatibility") == "review", "manual").otherwise("block")
-    return joined.select("transaction_id", "total_order", "compatibility", decision.alias("decision"))
+    rows = t("ddl_plan").withColumn("compatibility", ops.ddl_compatibility(F.col("kind"), F.col("configured"), F.col("allow_unknown")))
+    return rows.select("event_id", "compatibility", ops.ddl_decision(F.col("apply_mode"), F.col("compatibility")).alias("decision"))
 
 
 # -- scalar functions -----------------------------------------------------------------------------

@@ -19,10 +19,10 @@ def _(t):
     return recovery.scenarios(t.spark, t("changes").select("epoch_id").distinct())
 
 
-@query("r35_recovery_guidance", f"SELECT epoch_id, state, 'explicit_gap_acceptance_required' AS code FROM ({_summary_sql('nobody', 'publish_with_gaps')}) UNION ALL SELECT epoch_id, state, 'epoch_not_sealed' FROM ({_summary_sql('nobody', 'wait_all')}) UNION ALL SELECT epoch_id, state, 'quarantine_repair_required' FROM ({_summary_sql('quarantined', 'wait_all')})")
+@query("r35_recovery_guidance", f"SELECT epoch_id, state, 'explicit_gap_acceptance_required' AS code FROM ({_summary_sql('nobody', 'publish_with_gaps')}) UNION ALL SELECT epoch_id, state, 'epoch_not_sealed' FROM ({_summary_sql('nobody', 'wait_all_required')}) UNION ALL SELECT epoch_id, state, 'quarantine_repair_required' FROM ({_summary_sql('quarantined', 'wait_all_required')})")
 def _(t):
     out = None
-    for bad, policy in (("nobody", "publish_with_gaps"), ("nobody", "wait_all"), ("quarantined", "wait_all")):
+    for bad, policy in (("nobody", "publish_with_gaps"), ("nobody", "wait_all_required"), ("quarantined", "wait_all_required")):
         s = lake.epoch_summary(t("changes"), t("required"), t(bad), policy).select("epoch_id", "state", recovery.guidance(F.col("state")).alias("code"))
         out = s if out is None else out.unionByName(s)
     return out

@@ -15,7 +15,7 @@ def frame(messages: DataFrame, depths: DataFrame | None = None) -> DataFrame:
     Bodies over LONGEST are an error. Offsets are counted in a topic's order, so one topic is one ordered partition.
     """
     at = F.row_number().over(Window.partitionBy("topic").orderBy("seq")) - 1
-    rows = messages if depths is None else messages.join(F.broadcast(depths), "topic", "left")
+    rows = messages if depths is None else messages.join(depths, "topic", "left")
     base = F.lit(0) if depths is None else F.coalesce("depth", F.lit(0))
     body = F.when(F.octet_length("body") > LONGEST, F.raise_error(F.lit("message body over the limit")).cast("string")).otherwise(F.col("body"))
     return rows.select("topic", (base + at).cast("long").alias("offset"), "key", body.alias("body"), F.crc32(F.col("body").cast("binary")).alias("crc"))
@@ -31,7 +31,7 @@ def depths(log: DataFrame) -> DataFrame:
 
 def consume(log: DataFrame, cursors: DataFrame) -> DataFrame:
     """Messages past each topic's cursor, all of a topic without one."""
-    return log.join(F.broadcast(cursors), "topic", "left").where("cursor IS NULL OR offset > cursor").drop("cursor")
+    return log.join(cursors, "topic", "left").where("cursor IS NULL OR offset > cursor").drop("cursor")
 
 
 def damage(log: DataFrame) -> DataFrame:

@@ -50,4 +50,4 @@ class ManifestTable:
         """Rows of published commits, with their commit id."""
         data = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/*")
         published = self.spark.read.parquet(f"{self.path}/manifest/*").select(F.col("commit_id").alias("commit"))
-        return data.withColumn("commit", F.col("commit").cast("string")).join(F.broadcast(published), "commit", "left_semi")
+        return data.withColumn("commit", F.col("commit").cast("string")).join(published, "commit", "left_semi")

@@ -28,7 +28,7 @@ def ids(spark, names):
     return spark.createDataFrame([(n,) for n in names], "source_id string")
 
 
-@pytest.mark.parametrize(("online", "policy", "want"), [(12, "wait_all", "complete"), (9, "publish_with_gaps", "complete_with_gaps"), (9, "wait_all", "open"), (9, "quarantine_on_gap", "quarantined")])
+@pytest.mark.parametrize(("online", "policy", "want"), [(12, "wait_all_required", "complete"), (9, "publish_with_gaps", "complete_with_gaps"), (9, "wait_all_required", "open"), (9, "quarantine_on_gap", "quarantined")])
 def test_fleet_fan_in(spark, online, policy, want):
     got = lake.epoch_summary(fleet(spark, STORES[:online]), ids(spark, STORES), ids(spark, []), policy).first()
     assert (got["state"], got["complete_source_count"], got["missing_source_count"], got["transaction_count"]) == (want, online, 12 - online, online)
@@ -39,7 +39,7 @@ def test_late_stores_replays_and_conflicts(spark):
     first, late = fleet(spark, STORES[:9]), fleet(spark, STORES[9:])
     arrivals = first.unionByName(late).unionByName(fleet(spark, STORES, seq=100)).unionByName(fleet(spark, STORES, seq=200))
     got = lake.admitted(arrivals)
-    assert lake.epoch_summary(got, ids(spark, STORES), ids(spark, []), "wait_all").first()["state"] == "complete"
+    assert lake.epoch_summary(got, ids(spark, STORES), ids(spark, []), "wait_all_required").first()["state"] == "complete"
     assert lake.epoch_totals(got).first() == lake.epoch_totals(first.unionByName(late)).first()
     assert lake.conflicting_keys(arrivals).count() == 0
     evidence = lake.replay_evidence(arrivals.unionByName(fleet(spark, STORES[:2], seq=300, checksum=9))).first()
@@ -49,8 +49,8 @@ def test_late_stores_replays_and_conflicts(spark):
 def test_epoch_identity_depends_on_windows_not_on_order(spark):
     rows = [("a", "0/16B6C00", "0/16B6C50"), ("b", "0/16B6D00", "0/16B6D20")]
     windows = lambda r: spark.createDataFrame(r, "source_id string, start_lsn string, end_lsn string")
-    one = lambda r, policy="wait_all": lake.deterministic_epoch_id("retail", policy, 30000, ids(spark, ["a", "b"]), windows(r)).first()[0]
-    assert one(rows) == one(rows[::-1]) != one(rows, "publish_with_gaps")
+    one = lambda r, policy="wait_all_required": lake.deterministic_epoch_id("retail", policy, ids(spark, ["a", "b"]), windows(r)).first()[0]
+    assert one(rows) == one(rows[::-1]) != one(rows, "publish_with_gaps:5")
     assert one(rows) != one([rows[0], ("b", "0/16B6D00", "0/16B6D21")]) and one(rows).startswith("epoch-retail-")
 
 

@@ -76,16 +76,16 @@ def test_truncate_is_ignored_unless_asked_for(spark):
     assert state(views.merge_current(empty_state(spark), cut, honor_truncate=True)) == []
 
 
-def epochs(spark, state, policy="wait_all"):
+def epochs(spark, state, policy="wait_all_required"):
     return spark.createDataFrame([(EPOCH, state, policy)], "epoch_id string, state string, policy string")
 
 
 @pytest.mark.parametrize(
     ("state", "policy", "status", "times", "gaps", "unsafe", "ready"),
     [
-        ("complete", "wait_all", "match", 1, False, False, True), ("complete", "wait_all", "pending", 1, False, False, False), ("complete", "wait_all", "match", 2, False, False, False),
+        ("complete", "wait_all_required", "match", 1, False, False, True), ("complete", "wait_all_required", "pending", 1, False, False, False), ("complete", "wait_all_required", "match", 2, False, False, False),
         ("complete_with_gaps", "publish_with_gaps", "match", 1, False, False, False), ("complete_with_gaps", "publish_with_gaps", "match", 1, True, False, True),
-        ("complete_with_gaps", "wait_all", "match", 1, True, False, False), ("open", "wait_all", "pending", 1, False, True, True), ("quarantined", "wait_all", "match", 1, True, False, False),
+        ("complete_with_gaps", "wait_all_required", "match", 1, True, False, False), ("open", "wait_all_required", "pending", 1, False, True, True), ("quarantined", "wait_all_required", "match", 1, True, False, False),
     ],
 )
 def test_gate(spark, state, policy, status, times, gaps, unsafe, ready):
