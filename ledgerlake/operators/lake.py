@@ -77,7 +77,9 @@ def epoch_totals(changes: DataFrame) -> DataFrame:
 
 
 def epoch_sources(changes: DataFrame) -> DataFrame:
-    one = changes.groupBy("epoch_id", *TRANSACTION).agg(F.count("*").alias("n"), F.first("envelope_checksum").alias("sum"), F.first("commit_lsn").alias("commit_lsn"))
+    """Per source: transactions, changes, checksum rollup and LSN window. An envelope has one spelling of its LSN, so that
+    is part of the key, and the level that reads all changes is a hash aggregate without strings to carry."""
+    one = changes.groupBy("epoch_id", *TRANSACTION, "commit_lsn").agg(F.count("*").alias("n"), F.first("envelope_checksum").alias("sum"))
     return one.groupBy("epoch_id", "source_id").agg(F.count("*").alias("transaction_count"), F.sum("n").alias("change_count"), F.bit_xor("sum").alias("checksum_rollup"), *lsn_window())
 
 
@@ -103,7 +105,7 @@ def data_files(changes: DataFrame, dataset: str = "retail", buckets: int = BUCKE
     Three levels: transactions, then sources, then buckets; the bucket's hash is computed for sources only, not for changes.
     """
     keys = ["epoch_id", "relation"]
-    one = changes.groupBy(*keys, *TRANSACTION).agg(F.count("*").alias("n"), F.first("envelope_checksum").alias("sum"), F.first("commit_lsn").alias("commit_lsn"))
+    one = changes.groupBy(*keys, *TRANSACTION, "commit_lsn").agg(F.count("*").alias("n"), F.first("envelope_checksum").alias("sum"))
     per = one.groupBy(*keys, "source_id").agg(F.count("*").alias("t"), F.sum("n").alias("n"), F.bit_xor("sum").alias("sum"), *lsn_window(), F.min("lsn").alias("low"), F.max("lsn").alias("high"))
     files = per.withColumn("source_bucket", hashing.bucket(F.col("source_id"), buckets)).groupBy(*keys, "source_bucket").agg(
         F.array_join(F.sort_array(F.collect_set("source_id")), ",").alias("source_ids"), F.sum("t").alias("transaction_count"), F.sum("n").alias("change_count"), F.bit_xor("sum").alias("checksum_rollup"),
