@@ -16,6 +16,8 @@ A bucket and 32 bits find a window, 64 more verify it: over 100 bits at 10^6 win
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -217,14 +219,20 @@ def _in_pairs(found: np.ndarray, checks: np.ndarray, told: np.ndarray, told_chec
     return out
 
 
-def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, int]:
+def _growth(total: int) -> int:
+    """How many times larger blocks are than at 4 GB: as the root of the corpus, 32 at most. A block sends a row to each bucket
+    that it has windows of, so in a large corpus larger blocks and buckets keep rows from holding a key or two each."""
+    return min(32, max(1, math.isqrt(total >> 32)))
+
+
+def in_blocks(docs: DataFrame, block_chars: int | None = None) -> tuple[DataFrame, int]:
     """(block, doc_id, text) and all texts' characters. A row's block follows from its content, so a rerun task deals alike."""
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
+    n = max(1, -(-total // (block_chars or BLOCK_CHARS * _growth(total))))
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text"), total
 
 
-def remove_repeats(docs: DataFrame, index: DataFrame | None = None, width: int = WIDTH, buckets: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def remove_repeats(docs: DataFrame, index: DataFrame | None = None, width: int = WIDTH, buckets: int | None = None, block_chars: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept (its words left, joined by one space) and removed word ranges.
 
     A word goes where a window of ``width`` words covers it whose word sequence starts earlier: in a smaller doc_id,
@@ -235,7 +243,7 @@ def remove_repeats(docs: DataFrame, index: DataFrame | None = None, width: int =
     bounded_batches(docs.sparkSession)
     blocks, total = in_blocks(docs, block_chars)
     if buckets is None:
-        buckets = max(1, -(-total // 6 // BUCKET_WINDOWS))
+        buckets = max(1, -(-total // 6 // (BUCKET_WINDOWS * min(8, _growth(total)))))
     runs = blocks.groupBy("block").applyInArrow(lambda t: _runs(t, buckets, width), RUN_SQL)
     if index is not None:
         runs = runs.unionByName(index.select("bucket", F.lit(HISTORY).cast("long").alias("block"), "keys"))
@@ -249,7 +257,7 @@ def remove_repeats(docs: DataFrame, index: DataFrame | None = None, width: int =
     return blocks.groupBy("block").cogroup(owned.groupBy("block")).applyInArrow(lambda t, r: _kept(t, r, buckets, width), KEPT_SQL)
 
 
-def fingerprints(docs: DataFrame, buckets: int, width: int = WIDTH, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def fingerprints(docs: DataFrame, buckets: int, width: int = WIDTH, block_chars: int | None = None) -> DataFrame:
     """Runs of a batch for an index of so many buckets: (bucket, keys, checks), sorted within a row."""
     blocks, _ = in_blocks(docs, block_chars)
 
