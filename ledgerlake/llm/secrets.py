@@ -77,6 +77,33 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
+def _scanned(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """A written table with a row for each distinct text: blob, the ledger's spans before, and a column of spans for each
+    rule, null where the ledger had it."""
+    blobs = docs.groupBy("blob").agg(F.first("text").alias("text"))
+    none, nothing = F.array().cast(SPAN), F.array().cast("array<string>")
+    if ledger is None:
+        blobs = blobs.withColumns({"done": nothing, "before": none})
+    else:
+        versions = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
+        current = ledger.where(F.coalesce(F.element_at(versions, F.col("kind")) == F.col("version"), F.lit(False)))
+        current = current.groupBy("blob").agg(F.collect_set("kind").alias("done"), F.flatten(F.collect_list("spans")).alias("before"))
+        blobs = blobs.join(current, "blob", "left").withColumns({"done": F.coalesce("done", nothing), "before": F.coalesce("before", none)})
+    found = [F.when(~F.array_contains("done", r.kind), _spans(F.col("text"), r, k)).alias(r.kind) for k, r in enumerate(rules)]
+    # written, so that a rerun finds what was scanned, and joins with it deal both of their sides anew and can split a hot blob
+    return written(blobs.select("blob", "before", *found), "scanned")
+
+
+def _hits(scanned: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    none = F.array().cast(SPAN)
+    spans = F.sort_array(F.concat("before", *[F.coalesce(r.kind, none) for r in rules]))
+    return scanned.select("blob", spans.alias("spans")).where(F.size("spans") > 0)
+
+
+def _blob(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """(findings, entries) of docs (doc_id, text).
 
@@ -85,48 +112,34 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     Null texts count as empty. A blob's text is aggregated in the map tasks first, so copies of one text, however many, send
     one row a task. Rows of equal doc_id are paths of their own. An empty table gives no rows.
     """
-    paths = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    blobs = paths.groupBy("blob").agg(F.first("text").alias("text"))
-    versions = {r.kind: r.version for r in rules}
-    if ledger is not None:
-        known = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in versions.items() for x in kv]), F.col("kind")) == F.col("version"), F.lit(False))
-        current = ledger.where(known).groupBy("blob").agg(F.collect_set("kind").alias("done"), F.flatten(F.collect_list("spans")).alias("before"))
-        blobs = blobs.join(current, "blob", "left")
-    else:
-        blobs = blobs.withColumns({"done": F.array().cast("array<string>"), "before": F.array().cast(SPAN)})
-    blobs = blobs.withColumns({"done": F.coalesce("done", F.array().cast("array<string>")), "before": F.coalesce("before", F.array().cast(SPAN))})
-    scanned = [F.when(~F.array_contains("done", r.kind), _spans(F.col("text"), r, k)).alias(r.kind) for k, r in enumerate(rules)]
-    # written, so that a rerun finds what was scanned, and the join below deals both of its sides anew and can split a hot blob
-    by_rule = written(blobs.select("blob", "before", *scanned), "scanned")
-    none = F.array().cast(SPAN)
-    found = by_rule.select("blob", F.sort_array(F.concat("before", *[F.coalesce(r.kind, none) for r in rules])).alias("spans"))
-    entries = by_rule.select("blob", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules])).alias("e"))
-    entries = entries.select("blob", "e.kind", "e.version", "e.spans").where("spans IS NOT NULL")
-    hits = found.where(F.size("spans") > 0)
-    return paths.select("doc_id", "blob").join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), entries
+    paths = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", _blob(F.col("text")))
+    scanned = _scanned(paths, ledger, rules)
+    each = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules])
+    entries = scanned.select("blob", F.explode(each).alias("e")).select("blob", "e.kind", "e.version", "e.spans").where("spans IS NOT NULL")
+    found = paths.select("doc_id", "blob").join(_hits(scanned, rules), "blob", "left")
+    return found.select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")), entries
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs, all columns, with each secret in text replaced by <SECRET:kind> and n_chars, where there is one, brought up to date.
 
     Each distinct text is scanned once, as in scan; only texts with findings are rewritten. Of overlapping spans the
-    earliest, then the longest, is replaced; what others cover beyond it goes with it. Null texts stay null.
+    earliest, then the first rule's, is replaced; what others cover beyond it goes with it. Null texts stay null.
     """
     text = F.col("text")
-    blob = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
-    found, _ = scan(docs.select(F.lit(0).alias("doc_id"), "text").distinct(), rules=rules)
-    hits = found.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).distinct()
+    scanned = _scanned(docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", _blob(text)), None, rules)
+    hits = _hits(scanned, rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
 
     def step(acc: Column, s: Column) -> Column:
-        over = s["start"] < acc["at"]
         mark = F.concat(F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("<SECRET:"), s["kind"], F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(over, acc["out"]).otherwise(F.concat(acc["out"], mark)).alias("out"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], mark)).alias("out"))
 
     clean = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    joined = docs.withColumn("__blob", blob).join(hits, "__blob", "left")
-    fixed = joined.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(clean))
+    hit = F.col("__spans").isNotNull()
+    joined = docs.withColumn("__blob", _blob(text)).join(hits, "__blob", "left")
+    fixed = joined.withColumn("text", F.when(hit, clean).otherwise(text))
     if "n_chars" in docs.columns:
-        fixed = fixed.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        fixed = fixed.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return fixed.select(*docs.columns)
 
 
