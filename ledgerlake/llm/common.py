@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -58,6 +60,49 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+# -- memory of reused workers ---------------------------------------------------------------------
+
+_kept: dict[str, Callable[[], None]] = {}
+_current: str | None = None
+
+
+def keeps(name: str, drop: Callable[[], None]) -> None:
+    """Declare what a module keeps in a worker between tasks, and how to drop it."""
+    _kept[name] = drop
+
+
+def begin(name: str | None = None) -> None:
+    """A task of name begins: a worker that served another operator before drops what that one kept."""
+    global _current
+    if name != _current:
+        for other, drop in _kept.items():
+            if other != name:
+                drop()
+        _current = name
+        _trim()
+
+
+def _trim() -> None:
+    """Give freed memory back to the system: workers are reused, and an idle one should not hold its last task's peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def task(run: Callable[[Batches], Batches], name: str | None = None) -> Callable[[Batches], Batches]:
+    """run as a mapInArrow function that begins as name and trims the worker's memory when it ends."""
+
+    def wrapped(batches: Batches) -> Batches:
+        begin(name)
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
 def arrow_rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -71,7 +116,7 @@ def per_row(schema: pa.Schema, one: Callable[..., tuple], *names: str) -> Callab
             columns = [batch.column(n).to_pylist() for n in names]
             yield arrow_rows(schema, [one(*values) for values in zip(*columns, strict=True)])
 
-    return run
+    return task(run)
 
 
 # -- vectorised hashing -------------------------------------------------------------------------

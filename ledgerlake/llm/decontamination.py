@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, arrow_rows, bounded_batches, table
+from .common import WordHasher, arrow_rows, bounded_batches, keeps, table, task
 
 WIDTH, SHORTEST, COVERED, AGREEING = 8, 4, 0.5, 0.8
 #: Benchmark words sent to the executors at once, at 40 bytes each or less; a larger benchmark takes several passes.
@@ -74,6 +74,7 @@ class _Templates(dict):
 
 
 _templates = _Templates()
+keeps("templates", _templates.clear)
 
 
 def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -211,7 +212,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in batches:
                 yield arrow_rows(HELD, [(d, *held) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for held in items.held_by(t)])
 
-        part = rows.mapInArrow(run, HELD_SQL)
+        part = rows.mapInArrow(task(run, "templates"), HELD_SQL)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -225,7 +226,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in batches:
                 yield b.filter(pa.array([not items.held_by(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(task(run, "templates"), docs.schema)
     return docs
 
 

@@ -10,6 +10,8 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 
+from .common import keeps
+
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = (0).to_bytes(4, "little")
 
@@ -118,6 +120,9 @@ class Encoder:
         return [b"".join(x) for x in out]
 
 
+keeps("encoder", lambda: encoder.cache_clear())
+
+
 @cache
 def encoder(vocabulary: str = DEFAULT_VOCABULARY) -> Encoder:
     """One encoder for each worker process."""

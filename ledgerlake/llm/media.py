@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_batches, per_row, table, written
+from .common import arrow_rows, bounded_batches, per_row, table, task, written
 
 #: Boxes that hold boxes; stsd, dref and meta have a header of their own before theirs.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf"}
@@ -212,7 +212,7 @@ def media_columns(df: DataFrame, content: str, key: str) -> DataFrame:
             schema = pa.schema([b.schema.field("key"), *FEATURES])
             yield arrow_rows(schema, [(k, *features(c)) for k, c in zip(b.column("key").to_pylist(), b.column("content").to_pylist(), strict=True)])
 
-    return rows.mapInArrow(run, f"key {kind}, {FEATURES_SQL}").withColumnRenamed("key", key)
+    return rows.mapInArrow(task(run), f"key {kind}, {FEATURES_SQL}").withColumnRenamed("key", key)
 
 
 def padded(text: str | None) -> bytes:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, arrow_rows, bounded_batches, mix, table, written
+from .common import WordHasher, arrow_rows, begin, bounded_batches, mix, table, task, written
 from .components import components
 
 SHINGLE, COORDINATES, TOGETHER, THRESHOLD = 5, 120, 3, 54
@@ -76,7 +76,7 @@ def sign(docs: DataFrame) -> DataFrame:
             yield arrow_rows(SIGNED, rows)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary"), "signed")
+    return written(rows.mapInArrow(task(run), "doc_id long, n_shingles long, set_id binary, signature binary"), "signed")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -97,7 +97,7 @@ def _posted(signed: DataFrame) -> DataFrame:
             columns = [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(b.column(c).to_numpy(), GROUPS)) for c in ("doc", "n"))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "n"])
 
-    return signed.select("doc", "n", "signature").mapInArrow(run, "key long, doc long, n long")
+    return signed.select("doc", "n", "signature").mapInArrow(task(run), "key long, doc long, n long")
 
 
 def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(near))
 
     joined = pairs.join(signed.select(F.col("doc").alias("b"), F.col("signature").alias("sb")), "b").join(signed.select(F.col("doc").alias("a"), F.col("signature").alias("sa")), "a")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(task(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -130,7 +130,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return joined.select("a", "b", "ta", "tb").mapInArrow(task(run), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _sided(posts: DataFrame) -> DataFrame:
@@ -159,6 +159,7 @@ def _linked(sided: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     rows = own.unionByName(along).unionByName(first).unionByName(second).join(met, "doc")
 
     def run(group: pa.Table) -> pa.Table:
+        begin()
         main, group_no = group.column("main").to_numpy(), group.column("key")[0].as_py() & 63
         doc, comp, text = (group.column(c).to_pylist() for c in ("doc", "comp", "text"))
         sig = _matrix(group.column("signature")).reshape(-1, GROUPS, TOGETHER)

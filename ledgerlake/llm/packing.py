@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_batches, table, written
+from .common import arrow_rows, bounded_batches, table, task, written
 from .encoding import DEFAULT_VOCABULARY, END, encoder
 
 CAPACITY = 2048
@@ -141,7 +141,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, capacity:
                     seen[n] += 1
             yield arrow_rows(PIECES, rows)
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, PIECES_SQL), "pieces")
+    return written(docs.select("doc_id", "text").mapInArrow(task(run, "encoder"), PIECES_SQL), "pieces")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -170,7 +170,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequences[at] + (key - keys[at])), pa.array(offsets[at])], names)
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("local_rank") + F.col("before")).alias("rank")).mapInArrow(place, out)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("local_rank") + F.col("before")).alias("rank")).mapInArrow(task(place), out)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
-from .common import arrow_rows, bounded_batches, table
+from .common import arrow_rows, bounded_batches, table, task
 
 KINDS = ("email", "ip", "card", "phone", "ssn")
 BASE_KINDS = KINDS[:4]
@@ -271,7 +271,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, [{"start": s, "rank": r, "end": e, "kind": KINDS[r], "base": own} for (s, r, e), own in spans]))
             yield arrow_rows(FOUND, rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND_SQL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task(run), FOUND_SQL)
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in BASE_KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -291,4 +291,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((doc_id, *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(t for _, _, t in told)))
             yield arrow_rows(DIGEST, rows)
 
-    return found.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.mapInArrow(task(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, per_row, table
+from .common import arrow_rows, bounded_batches, keeps, table, task
 from .encoding import DEFAULT_VOCABULARY, byte_alphabet
 
 
@@ -89,6 +89,9 @@ class _Counts(dict):
         return n
 
 
+keeps("automaton", lambda: automaton.cache_clear())
+
+
 @cache
 def automaton(vocabulary: str = DEFAULT_VOCABULARY) -> LongestMatch:
     """The automaton of a byte-level vocabulary file; one for each worker process."""
@@ -117,10 +120,11 @@ def token_counts(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
             found = list(map(counts, raw.split()))
             return doc_id, len(text or ""), len(raw), len(found), sum(found), max(found, default=0)
 
-        return per_row(ROW, one, "doc_id", "text")(batches)
+        for b in batches:
+            yield arrow_rows(ROW, [one(d, t) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_chars long, n_bytes long, n_words long, n_tokens long, longest_word_tokens long")
+    return rows.mapInArrow(task(run, "automaton"), "doc_id long, n_chars long, n_bytes long, n_words long, n_tokens long, longest_word_tokens long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

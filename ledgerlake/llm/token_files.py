@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_batches, shuffle_partitions, table, written
+from .common import arrow_rows, bounded_batches, shuffle_partitions, table, task, written
 from .encoding import DEFAULT_VOCABULARY, END, encoder
 
 MAGIC, BLOCK_IDS, LEVEL = b"PLN1", 1 << 16, 3
@@ -101,7 +101,7 @@ def write_token_files(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, blo
     spark = docs.sparkSession
     bounded_batches(spark)
     ordered = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    return written(ordered.mapInArrow(lambda it: _blocks(it, vocabulary, block_ids, planes), BLOCKS_SQL), "token-blocks")
+    return written(ordered.mapInArrow(task(lambda it: _blocks(it, vocabulary, block_ids, planes), "encoder"), BLOCKS_SQL), "token-blocks")
 
 
 def crc_combine(first: int, second: int, n_second: int) -> int:
@@ -161,9 +161,9 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
                 rows.append((r["doc_id"], r["parts"][0]["start"], sum(p["n"] for p in r["parts"]), crc))
             yield arrow_rows(READ, rows)
 
-    spans = blocks.mapInArrow(decode, "shard int, ordinal long, doc_id long, start long, n long, crc long")
+    spans = blocks.mapInArrow(task(decode), "shard int, ordinal long, doc_id long, start long, n long, crc long")
     parts = spans.groupBy("shard", "ordinal", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n", "crc"))).alias("parts"))
-    return parts.select("doc_id", "parts").mapInArrow(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.select("doc_id", "parts").mapInArrow(task(join), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

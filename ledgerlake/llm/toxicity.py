@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_batches, table
+from .common import arrow_rows, bounded_batches, table, task
 
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 128, 15, 128
 STEMS = range(3, 9)
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, example
             yield arrow_rows(schema, [(w, y, n) for w, (n, y) in items[k : k + 50_000]])
 
     picked = picked.withColumn("toxic", F.col("toxic").cast("int"))
-    counted = picked.mapInArrow(terms_of, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = picked.mapInArrow(task(terms_of), "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     n1, n0 = min(examples, sizes.get(1, 0)), min(examples, sizes.get(0, 0))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     c, d = n1 - a, n0 - b
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, example
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["term", "n"])
 
     df = np.zeros(len(index) + 1)
-    for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(task(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r["term"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.01
 
@@ -254,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, example
                 rows.append((r["doc_id"], r["toxic"], [t for t, _ in found], [n for _, n in found]))
             yield arrow_rows(schema, rows)
 
-    rows = picked.mapInArrow(vectors, "doc_id long, toxic int, at array<int>, n array<int>").collect() if index else []
+    rows = picked.mapInArrow(task(vectors), "doc_id long, toxic int, at array<int>, n array<int>").collect() if index else []
     counts = np.zeros((len(rows), len(index)), np.float32)
     for k, r in enumerate(rows):
         counts[k, r["at"]] = r["n"]
@@ -301,7 +301,7 @@ def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
             shown = [[{"doc_id": int(model.ids[p]), "similarity": float(s), "toxic": int(model.toxic[p])} for p, s in zip(ps, ss, strict=True) if p >= 0] for ps, ss in zip(where[:, :evidence], near[:, :evidence], strict=True)]
             yield arrow_rows(SCORED, list(zip(b.column("doc_id").to_pylist(), scores.tolist(), shown, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED_SQL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task(run), SCORED_SQL)
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -312,7 +312,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
         for b in batches:
             yield b.filter(pa.array(model.score(b.column("text").to_pylist())[0] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task(run), docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
