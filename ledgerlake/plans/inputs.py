@@ -73,6 +73,10 @@ INPUTS = {
         FROM (SELECT concat(l_returnflag, l_linestatus) AS l_shipmode_like, l_suppkey, l_partkey, l_orderkey FROM {lineitem}) t GROUP BY l_shipmode_like, l_suppkey""",
     "lsn_texts": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN commit_lsn WHEN 1 THEN concat('0000', commit_lsn) WHEN 2 THEN lower(commit_lsn) WHEN 3 THEN 'nonsense' WHEN 4 THEN '1/' WHEN 5 THEN CAST(NULL AS STRING) ELSE commit_lsn END AS text, lsn
         FROM (SELECT CAST(substr(transaction_id, 4) AS BIGINT) AS event_id, commit_lsn, lsn FROM {changes} WHERE relation = 'public.events') t""",
+    "epoch_rows": """SELECT concat('epoch-', CAST(c_custkey AS STRING)) AS epoch_id, 10 AS required_source_count, 10 - m - q + CASE WHEN c_custkey % 17 = 0 THEN 1 ELSE 0 END AS complete_source_count, m AS missing_source_count, q AS quarantined_source_count,
+        policy, CASE WHEN c_custkey % 7 = 0 THEN 'complete' WHEN q > 0 THEN 'quarantined' WHEN m = 0 THEN 'complete' WHEN policy = 'publish_with_gaps' THEN 'complete_with_gaps' ELSE 'open' END AS state, c_custkey % 11 AS transaction_count,
+        c_custkey * 1000003 AS checksum_rollup, CASE WHEN c_custkey % 13 = 0 THEN 'mismatch' ELSE 'match' END AS checksum_status, c_custkey % 19 = 0 AS misnamed
+        FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END AS m, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS q, CASE WHEN c_custkey % 2 = 0 THEN 'publish_with_gaps' ELSE 'wait_all_required' END AS policy FROM {customer}) t""",
     "runtime": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'starting' WHEN 1 THEN 'running' WHEN 2 THEN 'draining' WHEN 3 THEN 'stopped' ELSE 'failed' END AS phase,
         CASE user_id % 5 WHEN 0 THEN 'ready' WHEN 1 THEN 'degraded' WHEN 2 THEN 'backpressured' WHEN 3 THEN 'blocked' ELSE 'not_ready' END AS readiness, event_id % 2 = 0 AS accepting_work,
         CASE event_id % 3 WHEN 0 THEN 'lag_high' WHEN 1 THEN 'Bad Code' ELSE CAST(NULL AS STRING) END AS reason_code FROM {events}""",

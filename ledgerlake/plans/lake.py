@@ -135,9 +135,29 @@ def _(t):
     return lake.epoch_summary(t("changes"), t("required"), t("nobody"), "quarantine_on_gap")
 
 
-@query("r24_consumer_gate", f"SELECT epoch_id, state, 'hold' AS decision, 'gaps_not_accepted' AS reason FROM ({_summary_sql('nobody', 'publish_with_gaps')})")
+_EXPECTED = "CASE WHEN quarantined_source_count > 0 THEN 'quarantined' WHEN missing_source_count = 0 THEN 'complete' WHEN policy = 'publish_with_gaps' THEN 'complete_with_gaps' ELSE 'open' END"
+
+
+def _decision_sql(accept: bool) -> str:
+    gaps = "" if accept else "WHEN state = 'complete_with_gaps' THEN 'gaps_not_accepted' "
+    return f"""SELECT epoch_id, CASE reason WHEN 'none' THEN 'consume' ELSE 'hold' END AS decision, reason FROM (SELECT epoch_id, CASE WHEN misnamed THEN 'verification_identity' WHEN complete_source_count + missing_source_count + quarantined_source_count <> required_source_count THEN 'rollup'
+      WHEN state = 'complete' AND missing_source_count > 0 THEN 'completeness' WHEN state <> {_EXPECTED} THEN 'state' WHEN transaction_count = 0 THEN 'empty' WHEN state NOT IN ('complete', 'complete_with_gaps') THEN 'not_consumable_state' {gaps}WHEN checksum_status <> 'match' THEN 'verification' ELSE 'none' END AS reason FROM {{epoch_rows}})"""
+
+
+def _decided(t, accept: bool):
+    right = lake.verification_id(F.lit("retail"), F.col("epoch_id"), F.col("checksum_rollup"))
+    rows = t("epoch_rows").withColumn("verification_id", F.when(F.col("misnamed"), F.concat(right, F.lit("0"))).otherwise(right))
+    return lake.consumer_decision(rows, accept_gaps=accept).select("epoch_id", "decision", "reason")
+
+
+@query("r24_consumer_gate", _decision_sql(False))
+def _(t):
+    return _decided(t, False)
+
+
+@query("r24_consumer_gate_with_gaps", _decision_sql(True))
 def _(t):
-    return lake.consumer_decision(lake.epoch_summary(t("changes"), t("required"), t("nobody"), "publish_with_gaps")).select("epoch_id", "state", "decision", "reason")
+    return _decided(t, True)
 
 
 @query("r31_quarantine_rows", f"SELECT '{EPOCHS[0]}' AS epoch_id, source_id, CASE WHEN transaction_count = 0 THEN 'source_gap_quarantined' ELSE 'source_evidence_quarantined' END AS reason FROM ({COMPLETION}) WHERE state = 'quarantined'")

@@ -237,6 +237,11 @@ def _(t):
     return t("orders").select("o_orderkey", names.ratio_bp(F.col("o_custkey"), F.col("o_orderkey") % 7).alias("ratio"))
 
 
+@query("f21_parse_lsn_or_raise_error", "SELECT transaction_id, lsn AS number FROM {txns}")
+def _(t):
+    return t("txns").select("transaction_id", lsn.parse_strict(F.col("commit_lsn")).cast("long").alias("number"))
+
+
 @query("f22_idempotency_key", "SELECT idempotency_key FROM {changes}")
 def _(t):
     return t("changes").select(names.idempotency_key(F.col("source_id"), F.col("commit_lsn"), F.col("transaction_id"), F.col("total_order")).alias("idempotency_key"))
