@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from contextlib import suppress
 from functools import cache
@@ -33,6 +34,7 @@ class Encoder:
     """
 
     KEPT, LONGEST = 800_000, 64
+    _touching = re.compile(r" \s|\s ")
 
     def __init__(self, vocabulary: str = DEFAULT_VOCABULARY) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,32 +91,35 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
-        out: list[list | bytes] = []
-        whole: list[tuple[int, str]] = []  # texts, or their first pieces, that the library sees as they are
-        holes: list[tuple[int, int, str]] = []
+        out: list[list] = []
+        whole: list[str] = []  # the texts, or their first pieces, that the library sees as they are
+        holes: list[tuple[list, list[int], list[str]]] = []
+        new: set[str] = set()
         kept = self.kept
-        for k, text in enumerate(texts):
+        for text in texts:
             pieces = (text or "").split(" ")
             head, pieces[0] = pieces[0], ""
-            found, mine, at = list(map(kept.get, pieces)), [], 0
+            found, places, at = list(map(kept.get, pieces)), [], 0
             found[0] = b""
             with suppress(ValueError):  # no hole is left
                 while True:
                     at = found.index(None, at + 1)
-                    mine.append((k, at, pieces[at]))
+                    places.append(at)
+            words = [pieces[k] for k in places]
             # spaces touch no other white space where no piece is empty or has any at an end; none such is ever kept
-            if head.rstrip() == head and all(x and x.strip() == x for _, _, x in mine):
-                whole.append((k, head))
-                holes += mine
-            else:
-                found = [b""]
-                whole.append((k, text))
+            if self._touching.search(f"{head} {' '.join(words)} .") and (words or head != head.rstrip()):
+                found, head = [b""], text
+            elif words:
+                holes.append((found, places, words))
+                new.update(words)
+            whole.append(head)
             out.append(found)
-        fresh = self._fresh_pieces({x for _, _, x in holes})
-        for k, at, x in holes:
-            out[k][at] = fresh[x]
-        for (k, _), ids in zip(whole, self._fresh([x for _, x in whole]), strict=True):
-            out[k][0] = ids
+        fresh = self._fresh_pieces(new)
+        for found, places, words in holes:
+            for k, x in zip(places, words, strict=True):
+                found[k] = fresh[x]
+        for found, ids in zip(out, self._fresh(whole), strict=True):
+            found[0] = ids
         if len(kept) < self.KEPT:  # the frequent words come early; the later, rare ones are not worth their room
             kept.update((x, ids) for x, ids in fresh.items() if len(x) <= self.LONGEST)
         return [b"".join(x) for x in out]

@@ -170,7 +170,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequences[at] + (key - keys[at])), pa.array(offsets[at])], names)
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("local_rank") + F.col("before")).alias("rank")).mapInArrow(task(place), out)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("local_rank") + F.col("before")).alias("rank")).mapInArrow(task(place, "encoder"), out)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

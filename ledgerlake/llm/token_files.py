@@ -153,17 +153,21 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                crc = r["parts"][0]["crc"]
-                for p in r["parts"][1:]:
-                    crc = crc_combine(crc, p["crc"], 4 * p["n"])
-                rows.append((r["doc_id"], r["parts"][0]["start"], sum(p["n"] for p in r["parts"]), crc))
-            yield arrow_rows(READ, rows)
-
-    spans = blocks.mapInArrow(task(decode), "shard int, ordinal long, doc_id long, start long, n long, crc long")
+            parts = batch.column("parts")
+            if not len(parts):
+                continue
+            begin = np.concatenate(([0], np.cumsum(parts.value_lengths().to_numpy())))
+            start, n, crc = (parts.flatten().field(c).to_numpy() for c in ("start", "n", "crc"))
+            whole = crc[begin[:-1]].copy()
+            for k in np.flatnonzero(np.diff(begin) > 1).tolist():  # the few documents that straddle blocks
+                for p in range(begin[k] + 1, begin[k + 1]):
+                    whole[k] = crc_combine(int(whole[k]), int(crc[p]), 4 * int(n[p]))
+            columns = [batch.column("doc_id"), start[begin[:-1]], np.add.reduceat(n, begin[:-1]), whole]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if isinstance(c, np.ndarray) else c for c in columns], schema=READ)
+
+    spans = blocks.mapInArrow(task(decode, "encoder"), "shard int, ordinal long, doc_id long, start long, n long, crc long")
     parts = spans.groupBy("shard", "ordinal", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n", "crc"))).alias("parts"))
-    return parts.select("doc_id", "parts").mapInArrow(task(join), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.select("doc_id", "parts").mapInArrow(task(join, "encoder"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
