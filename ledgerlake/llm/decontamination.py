@@ -147,8 +147,8 @@ class Items:
                     met[int(items[j])].append((int(at[k]) - int(places[j]), int(places[j]), width))
         out = []
         for item, windows in sorted(met.items()):
-            if len(windows) + windows[0][2] - 1 < COVERED * len(self.values[item]):
-                continue  # too few windows to cover enough, wherever they are
+            if len(windows) * windows[0][2] < COVERED * len(self.values[item]):
+                continue  # too few windows to cover enough, even if no two share a word
             if row := self._agreeing(item, windows, words):
                 out.append(row)
         return out
@@ -158,7 +158,7 @@ class Items:
         values, kinds = self.values[item], self.kinds[item]
         best = None
         for offset, n in Counter(w[0] for w in windows).most_common():
-            if best and n + WIDTH - 1 <= best[1]:
+            if best and n * WIDTH <= best[1]:
                 break
             covered = sorted({p + k for o, p, width in windows if o == offset for k in range(width)})
             theirs = {p: _value(words[p + offset]) for p in covered}

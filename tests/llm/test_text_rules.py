@@ -126,6 +126,12 @@ def test_templates(text, held, unchanged):
         assert found[0][0] == 7 and found[0][3] == unchanged
 
 
+def test_scattered_edits_leave_windows_apart():
+    words = [f"word{chr(97 + k // 6)}{chr(97 + k % 6)}" for k in range(36)]
+    edited = [f"other{w}" if k % 9 == 8 else w for k, w in enumerate(words)]
+    assert [h[:3] for h in decontamination.Items.of([(7, " ".join(words))]).held_by(" ".join(edited))] == [(7, 32, 36)]
+
+
 def test_slots_that_disagree_are_no_match():
     item = "Anna met Ben and Anna saw Ben while Anna heard Ben as Anna left Ben"
     other = "Clara met Otto and Paul saw Emil while Hugo heard Karl as Rosa left Fritz"
