@@ -5,11 +5,17 @@ capitalised word <name>, others their lower case; what is punctuation alone is l
 of the benchmark are hashed and joined with those of every document, so a question whose numbers, names or units were
 changed still meets its template. Slots then have to agree: within an item, one value stands for one value throughout, and
 the other way round. A document holds an item where windows with agreeing slots cover COVERED of the item's words.
+
+Words may be put in or left out: stretches of windows are chained over increasing places, and runs of numbers or of names
+also count as one, so that one name may stand for two. Windows of items under 3 * WIDTH words are a third of the item, SHORTEST
+words at least, and have to cover WIDTH words (the item, if it has fewer) together. Case doesn't decide: a third reading takes capitalised words as
+literals. Items of fewer than SHORTEST template words are held where all their words follow each other unchanged.
 """
 
 from __future__ import annotations
 
 import string
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,9 +29,11 @@ from pyspark.sql import functions as F
 from .common import WordHasher, arrow_rows, bounded_batches, keeps, table, task
 
 WIDTH, SHORTEST, COVERED, AGREEING = 8, 4, 0.5, 0.8
-#: Benchmark words sent to the executors at once, at 40 bytes each or less; a larger benchmark takes several passes.
+#: Benchmark words sent to the executors at once, at about 100 bytes each; a larger benchmark takes several passes.
 AT_ONCE = 400_000
 KEPT = 300_000
+#: Characters of the texts that are read together.
+TOGETHER = 1 << 16
 
 #: Words read as numbers, and as units after a number.
 NUMBER_WORDS = frozenset(
@@ -74,24 +82,77 @@ class _Templates(dict):
 
 
 _templates = _Templates()
-keeps("templates", _templates.clear)
+
+
+class _Folded(dict):
+    """Templates of capitalised words as if they were not: the first, frequent ones are kept."""
+
+    def __missing__(self, word: str) -> int:
+        code = _code(_value(word))
+        if len(self) < KEPT and len(word) <= 64:
+            self[word] = code
+        return code
+
+
+_folded = _Folded()
+
+
+def _drop() -> None:
+    _templates.clear()
+    _folded.clear()
+
+
+keeps("templates", _drop)
+
+#: Readings of a text: word by word; runs of numbers and of names as one each; the same with capitalised words as literals;
+#: word by word with capitalised words as literals, for items too short for a template.
+WORDS, RUNS, FOLDED, WHOLE = range(4)
+
+
+class Template:
+    """The template words of some texts, one text after the other, without punctuation words."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        words: list[str] = []
+        starts = [0]
+        for text in texts:
+            words += (text or "").split()
+            starts.append(len(words))
+        codes, bounds = np.fromiter(map(_templates.__getitem__, words), np.uint64, len(words)), np.array(starts)
+        if len(codes) and not codes.all():
+            there = np.flatnonzero(codes)
+            words, codes, bounds = [words[k] for k in there.tolist()], codes[there], np.searchsorted(there, bounds)
+        kinds = (codes & np.uint64(3)).astype(np.int8)
+        first = np.zeros(len(words) + 1, bool)
+        first[bounds] = True
+        units = np.flatnonzero(kinds == UNIT)
+        if len(units):
+            after = units[(units > 0) & (kinds[units - 1] == NUMBER) & ~first[units]]
+            codes[after] = _SLOTS[UNIT] | UNIT
+            kinds[np.setdiff1d(units, after)] = LITERAL
+        self.words, self.codes, self.kinds = words, codes, kinds
+        #: where each text's words begin, one more at the end, and whether a word is the first of its text
+        self.bounds, self.first = bounds, first[:-1]
+
+    def reading(self, how: int) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, where each begins and, one more, where the last ends)."""
+        codes, slots = self.codes, (NUMBER, NAME)
+        if how in (FOLDED, WHOLE):
+            names = np.flatnonzero(self.kinds == NAME)
+            codes, slots = codes.copy(), (NUMBER,)
+            codes[names] = np.fromiter(map(_folded.__getitem__, map(self.words.__getitem__, names.tolist())), np.uint64, len(names))
+        begin = np.arange(len(codes))
+        if how in (RUNS, FOLDED) and len(codes):
+            new = np.ones(len(codes), bool)
+            new[1:] = (self.kinds[1:] != self.kinds[:-1]) | ~np.isin(self.kinds[1:], slots) | self.first[1:]
+            begin = np.flatnonzero(new)
+        return codes[begin], np.append(begin, len(codes))
 
 
 def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(words, codes, kinds) of a text, without punctuation words."""
-    words = (text or "").split()
-    codes = np.fromiter(map(_templates.__getitem__, words), np.uint64, len(words))
-    if len(codes) and not codes.all():
-        there = np.flatnonzero(codes)
-        words, codes = [words[k] for k in there.tolist()], codes[there]
-    kinds = (codes & np.uint64(3)).astype(np.int8)
-    units = np.flatnonzero(kinds == UNIT)
-    if len(units):
-        after = units[(units > 0) & (kinds[units - 1] == NUMBER)]
-        codes = codes.copy()
-        codes[after] = _SLOTS[UNIT] | UNIT
-        kinds[np.setdiff1d(units, after)] = LITERAL
-    return words, codes, kinds
+    t = Template([text])
+    return t.words, t.codes, t.kinds
 
 
 def _value(word: str) -> str:
@@ -100,6 +161,44 @@ def _value(word: str) -> str:
 
 _HASHER = WordHasher(41)
 
+#: A template word of an item and the one of a document that stands for it: first and past the last word there, and here.
+Pair = tuple[int, int, int, int]
+
+
+@dataclass
+class Windows:
+    """Item windows of one reading and width: sorted hashes, their items, first words and words, and a filter over 18 bits."""
+
+    hashes: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
+    words: np.ndarray
+    sieve: np.ndarray
+
+    SIEVE = np.uint64((1 << 18) - 1)
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray, int]], width: int) -> Windows:
+        hashes = np.concatenate([h for h, _, _ in parts])
+        order = np.argsort(hashes, kind="stable")
+        items = np.concatenate([np.full(len(h), k, np.int32) for h, _, k in parts])
+        places = np.concatenate([np.arange(len(h), dtype=np.int32) for h, _, _ in parts])
+        words = np.concatenate([(ends[width:] - ends[:-width]).astype(np.int32) for _, ends, _ in parts])
+        sieve = np.zeros(1 << 18, bool)
+        sieve[(hashes & cls.SIEVE).astype(np.int64)] = True
+        return cls(hashes[order], items[order], places[order], words[order], sieve)
+
+    def met(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in mine, positions here) of equal hashes, all with all."""
+        at = np.flatnonzero(self.sieve[(mine & self.SIEVE).astype(np.int64)])
+        begin, end = np.searchsorted(self.hashes, mine[at], "left"), np.searchsorted(self.hashes, mine[at], "right")
+        some = end > begin
+        at, begin, n = at[some], begin[some], (end - begin)[some]
+        return np.repeat(at, n), np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+Held = tuple[int, int, int, bool, int, int]
+
 
 @dataclass
 class Items:
@@ -108,73 +207,204 @@ class Items:
     ids: list[int]
     values: list[list[str]]
     kinds: list[np.ndarray]
-    #: for each window width: sorted hashes, their items and places, and a filter over 16 bits of the hash
-    index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    #: for each reading and item, where its template words begin and the last ends
+    ends: list[dict[int, np.ndarray]]
+    index: dict[tuple[int, int], Windows] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
-        found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
-        out = cls([], [], [])
+        found: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, int]]] = defaultdict(list)
+        out = cls([], [], [], [])
         for item_id, text in rows:
-            words, codes, kinds = template(text)
-            if len(words) < SHORTEST:
+            t = Template([text])
+            if not t.words:
                 continue
-            width = min(WIDTH, len(words))
-            found[width].append((_HASHER.windows(codes, width), len(out.ids)))
+            ends = {}
+            for how in (WORDS, RUNS, FOLDED) if len(t.words) >= SHORTEST else (WHOLE,):
+                codes, begin = t.reading(how)
+                if how == WHOLE or len(codes) >= SHORTEST:
+                    width = len(codes) if how == WHOLE else min(WIDTH, max(SHORTEST, len(codes) // 3))
+                    found[how, width].append((_HASHER.windows(codes, width), begin, len(out.ids)))
+                    ends[how] = begin
             out.ids.append(item_id)
-            out.values.append([_value(w) for w in words])
-            out.kinds.append(kinds)
-        for width, parts in found.items():
-            hashes = np.concatenate([h for h, _ in parts])
-            item = np.concatenate([np.full(len(h), k) for h, k in parts])
-            place = np.concatenate([np.arange(len(h)) for h, _ in parts])
-            order = np.argsort(hashes, kind="stable")
-            sieve = np.zeros(1 << 16, bool)
-            sieve[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
-            out.index[width] = hashes[order], item[order], place[order], sieve
+            out.values.append([_value(w) for w in t.words])
+            out.kinds.append(t.kinds)
+            out.ends.append(ends)
+        out.index = {key: Windows.of(parts, key[1]) for key, parts in sorted(found.items())}
         return out
 
-    def held_by(self, text: str | None) -> list[tuple[int, int, int, bool, int, int]]:
+    def held_by(self, text: str | None) -> list[Held]:
         """(item id, words covered, words of the item, are all slots unchanged, first and last word's place) of each item held."""
-        words, codes, kinds = template(text)
-        met: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for width, (hashes, items, places, sieve) in self.index.items():
-            mine = _HASHER.windows(codes, width)
-            at = np.flatnonzero(sieve[(mine & np.uint64(0xFFFF)).astype(np.int64)])
-            begin, end = np.searchsorted(hashes, mine[at], "left"), np.searchsorted(hashes, mine[at], "right")
-            for k in np.flatnonzero(end > begin).tolist():
-                for j in range(begin[k], end[k]):
-                    met[int(items[j])].append((int(at[k]) - int(places[j]), int(places[j]), width))
-        out = []
-        for item, windows in sorted(met.items()):
-            if len(windows) * windows[0][2] < COVERED * len(self.values[item]):
+        return self.held_by_each([text])[0]
+
+    def held_by_each(self, texts: list[str | None]) -> list[list[Held]]:
+        """held_by of each text; texts are taken together up to TOGETHER characters."""
+        out: list[list[Held]] = []
+        some: list[str | None] = []
+        size = 0
+        for text in texts:
+            n = len(text or "")
+            if some and size + n > TOGETHER:
+                out += self._held_by_some(some)
+                some, size = [], 0
+            some.append(text)
+            size += n
+        return out + self._held_by_some(some)
+
+    def _held_by_some(self, texts: list[str | None]) -> list[list[Held]]:
+        t = Template(texts)
+        out: list[list[Held]] = [[] for _ in texts]
+        read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        met = []
+        for (how, width), windows in self.index.items():
+            if how not in read:
+                read[how] = t.reading(how)
+            codes, begin = read[how]
+            at, there = windows.met(_HASHER.windows(codes, width))
+            if not len(at):
+                continue
+            text = np.searchsorted(t.bounds, begin[at], "right") - 1
+            inside = begin[at + width] <= t.bounds[text + 1]
+            at, there, text = at[inside], there[inside], text[inside]
+            shape = np.broadcast_to(np.array([[how], [width]]), (2, len(at)))
+            met.append(np.stack((text, windows.items[there], at, windows.places[there], windows.words[there], *shape)))
+        if not met:
+            return out
+        rows = np.concatenate(met, 1)
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
+        cuts = np.flatnonzero(np.any(rows[:2, 1:] != rows[:2, :-1], 0)) + 1
+        for part in np.split(rows, cuts, 1):
+            if not part.shape[1]:
+                continue
+            text, item = part[:2, 0].tolist()
+            if part[4].sum() < COVERED * len(self.values[item]):
                 continue  # too few windows to cover enough, even if no two share a word
-            if row := self._agreeing(item, windows, words):
-                out.append(row)
+            if row := self._agreeing(item, self._pairs(item, part, read, int(t.bounds[text])), t.words, int(t.bounds[text])):
+                out[text].append(row)
         return out
 
-    def _agreeing(self, item: int, windows: list[tuple[int, int, int]], words: list[str]) -> tuple | None:
-        """The best stretch of windows at one offset between item and document whose slots agree."""
-        values, kinds = self.values[item], self.kinds[item]
+    def _pairs(self, item: int, windows: np.ndarray, read: dict[int, tuple[np.ndarray, np.ndarray]], start: int) -> list[Pair]:
+        """The pairs in some windows; where a run meets one of as many words, a pair for each word."""
+        out: set[Pair] = set()
+        for how, width in np.unique(windows[5:], axis=1).T.tolist():
+            _, _, at, place, *_ = windows[:, (windows[5] == how) & (windows[6] == width)]
+            step = np.arange(width)
+            both = np.unique(np.stack(((place[:, None] + step).ravel(), (at[:, None] + step).ravel())), axis=1)
+            ours, theirs = self.ends[item][how], read[how][1] - start
+            for a, b, c, d in np.stack((ours[both[0]], ours[both[0] + 1], theirs[both[1]], theirs[both[1] + 1]), 1).tolist():
+                if b - a == d - c:
+                    out.update((a + k, a + k + 1, c + k, c + k + 1) for k in range(b - a))
+                else:
+                    out.add((a, b, c, d))
+        return list(out)
+
+    def _agreeing(self, item: int, pairs: list[Pair], words: list[str], start: int) -> Held | None:
+        """The chain of pairs that covers most of the item and whose slots agree; else the best at one offset."""
         best = None
-        for offset, n in Counter(w[0] for w in windows).most_common():
-            if best and n * WIDTH <= best[1]:
-                break
-            covered = sorted({p + k for o, p, width in windows if o == offset for k in range(width)})
-            theirs = {p: _value(words[p + offset]) for p in covered}
-            slots = [p for p in covered if kinds[p] != LITERAL]
-            there, back = defaultdict(Counter), defaultdict(Counter)
-            for p in slots:
-                there[values[p]][theirs[p]] += 1
-                back[theirs[p]][values[p]] += 1
-            agree = sum(c.most_common(1)[0][1] for c in there.values()), sum(c.most_common(1)[0][1] for c in back.values())
-            if min(agree) < AGREEING * len(slots) or len(covered) < max(SHORTEST, COVERED * len(values)):
+        n = len(self.values[item])
+        for chain in _chains(pairs, n):
+            if best and sum(_cover(p) for s in chain for p in s) <= best[1]:
                 continue
-            row = (self.ids[item], len(covered), len(values), all(values[p] == theirs[p] for p in slots), covered[0] + offset, covered[-1] + offset)
-            if best is None or row[1] > best[1]:
+            if (row := self._held(item, chain, words, start)) and (best is None or row[1] > best[1]):
                 best = row
+        if best is None:
+            offsets: dict[int, list[Pair]] = defaultdict(list)
+            for p in sorted(pairs):
+                if p[1] - p[0] == p[3] - p[2] == 1:
+                    offsets[p[2] - p[0]].append(p)
+            for same in offsets.values():
+                if len(same) >= COVERED * n and (row := self._held(item, [same], words, start)) and (best is None or row[1] > best[1]):
+                    best = row
         return best
 
+    def _held(self, item: int, chain: list[list[Pair]], words: list[str], start: int) -> Held | None:
+        """The row of a chain; stretches whose slots disagree most are given up while the rest covers enough."""
+        values, kinds = self.values[item], self.kinds[item]
+        least = min(len(values), WIDTH)
+        chain = list(chain)
+        while chain:
+            covered = sum(_cover(p) for s in chain for p in s)
+            if covered < COVERED * len(values) or sum(p[1] - p[0] for s in chain for p in s) < least:
+                return None
+            slots = []
+            for k, stretch in enumerate(chain):
+                for a, b, c, d in stretch:
+                    if kinds[a] != LITERAL:
+                        slots.append((k, " ".join(values[a:b]), " ".join(map(_value, words[start + c : start + d]))))
+            there, back = defaultdict(Counter), defaultdict(Counter)
+            for _, ours, theirs in slots:
+                there[ours][theirs] += 1
+                back[theirs][ours] += 1
+            agree = sum(c.most_common(1)[0][1] for c in there.values()), sum(c.most_common(1)[0][1] for c in back.values())
+            unchanged = all(ours == theirs for _, ours, theirs in slots)
+            if min(agree) >= AGREEING * len(slots):
+                if len(values) < SHORTEST and not unchanged:
+                    return None
+                return self.ids[item], covered, len(values), unchanged, chain[0][0][2], chain[-1][-1][3] - 1
+            wrong = Counter(k for k, ours, theirs in slots if there[ours].most_common(1)[0][0] != theirs or back[theirs].most_common(1)[0][0] != ours)
+            del chain[wrong.most_common(1)[0][0]]
+        return None
+
+
+def _cover(pair: Pair) -> int:
+    """Words of the item that a pair covers: a run covers no more of them than it has words itself."""
+    return min(pair[1] - pair[0], pair[3] - pair[2])
+
+
+def _stretches(pairs: list[Pair]) -> list[list[Pair]]:
+    """Runs of pairs that follow on each other in item and document; of pairs with one beginning or one end the longest counts."""
+    begins: dict[tuple[int, int], Pair] = {}
+    ends: dict[tuple[int, int], Pair] = {}
+    for p in sorted(pairs, key=lambda p: (p[0] + p[2] - p[1] - p[3], p)):
+        if (p[0], p[2]) not in begins and (p[1], p[3]) not in ends:
+            begins[p[0], p[2]] = ends[p[1], p[3]] = p
+    out = []
+    for p in begins.values():
+        if (p[0], p[2]) in ends:
+            continue
+        run = [p]
+        while (p := begins.get((p[1], p[3]))) is not None:
+            run.append(p)
+        out.append(run)
+    return out
+
+
+def _chains(pairs: list[Pair], n: int) -> Iterator[list[list[Pair]]]:
+    """Chains of stretches in increasing places of item and document, those that cover most first; a stretch is in one at most.
+
+    From one stretch to the next, the offset between item and document moves by n words at most. What two of them share
+    belongs to the first.
+    """
+    runs = sorted(_stretches(pairs), key=lambda r: (r[-1][3], r[-1][1], r[0][2]))
+    total, back = [], []
+    lasts = [r[-1][3] for r in runs]
+    for k, r in enumerate(runs):
+        size = sum(map(_cover, r))
+        best, via = size, -1
+        begin, here = r[0][0], r[0][2]
+        for j in range(k - 1, bisect_left(lasts, here - 2 * n) - 1, -1):
+            last = runs[j][-1]
+            if last[1] >= r[-1][1] or last[3] >= r[-1][3] or abs((here - begin) - (last[3] - last[1])) > n:
+                continue
+            if (sum_ := total[j] + size - max(0, last[1] - begin, last[3] - here)) > best:
+                best, via = sum_, j
+        total.append(best)
+        back.append(via)
+    used: set[int] = set()
+    for k in sorted(range(len(runs)), key=lambda k: -total[k]):
+        chain = []
+        while k >= 0 and k not in used:
+            used.add(k)
+            chain.append(runs[k])
+            k = back[k]
+        out, a, c = [], 0, 0
+        for r in reversed(chain):
+            if rest := [p for p in r if p[0] >= a and p[2] >= c]:
+                out.append(rest)
+                a, c = rest[-1][1], rest[-1][3]
+        if out:
+            yield out
+
 
 def _passes(benchmark: DataFrame) -> Iterator[Items]:
     """The benchmark in parts of at most AT_ONCE words; one part unless it is larger. Null ids and texts are passed over."""
@@ -200,8 +430,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     unchanged tells whether all slots have the item's own values; first_word and last_word count the document's template
     words. One narrow pass for each AT_ONCE words of the benchmark, whose templates go to the executors as they are. Null
-    and empty texts hold nothing, items of fewer than SHORTEST template words are held by nothing; repeated rows of either
-    table give a row each.
+    and empty texts hold nothing, items without a template word are held by nothing; repeated rows of either table give a
+    row each.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -210,7 +440,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield arrow_rows(HELD, [(d, *held) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for held in items.held_by(t)])
+                yield arrow_rows(HELD, [(d, *row) for d, held in zip(b.column("doc_id").to_pylist(), items.held_by_each(b.column("text").to_pylist()), strict=True) for row in held])
 
         part = rows.mapInArrow(task(run, "templates"), HELD_SQL)
         out = part if out is None else out.unionByName(part)
@@ -224,7 +454,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not items.held_by(t) for t in b.column("text").to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not held for held in items.held_by_each(b.column("text").to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(task(run, "templates"), docs.schema)
     return docs

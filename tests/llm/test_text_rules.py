@@ -132,6 +132,29 @@ def test_scattered_edits_leave_windows_apart():
     assert [h[:3] for h in decontamination.Items.of([(7, " ".join(words))]).held_by(" ".join(edited))] == [(7, 32, 36)]
 
 
+@pytest.mark.parametrize(
+    ("text", "held"),
+    [
+        (" ".join([*ITEM.split()[:8], "slowly", *ITEM.split()[8:16], "indeed", *ITEM.split()[16:]]), True), (ITEM.replace("Anna", "Mary Ann"), True), (ITEM.replace("12", "twenty five"), True),
+        (ITEM.lower(), True), (ITEM.upper(), True), (f"{' '.join(ITEM.split()[:7])} {'other words ' * 20} {' '.join(ITEM.split()[8:14])}", False),
+        ("this is Too short, as said", True), ("too very short", False), ("too shorter", False),
+    ],
+)
+def test_words_put_in_and_case(text, held):
+    found = decontamination.Items.of([(7, ITEM), (8, "too short"), (9, "2 3"), (10, "?!")]).held_by(text)
+    assert [h[0] for h in found] == ([8 if "short" in text else 7] if held else [])
+
+
+def test_texts_read_together_stay_apart(monkeypatch):
+    items = decontamination.Items.of([(7, ITEM), (8, "too short")])
+    words = ITEM.split()
+    texts = [" ".join(words[:7]), " ".join(words[7:14]), None, ITEM, "too", "short", "", f"x {ITEM} too short", " ".join(words[14:])]
+    want = [items.held_by(t) for t in texts]
+    assert items.held_by_each(texts) == want and [[h[0] for h in x] for x in want] == [[], [], [], [7], [], [], [], [7, 8], []]
+    monkeypatch.setattr(decontamination, "TOGETHER", 1)
+    assert items.held_by_each(texts) == want
+
+
 def test_slots_that_disagree_are_no_match():
     item = "Anna met Ben and Anna saw Ben while Anna heard Ben as Anna left Ben"
     other = "Clara met Otto and Paul saw Emil while Hugo heard Karl as Rosa left Fritz"
