@@ -3,10 +3,13 @@
 A term is a word, the beginning of a longer word (STEMS letters), or such a beginning that at least two words of a text share;
 insults come in many inflected and compound forms, most of which no example has.
 
-What is bounded: the labelled examples (EXAMPLES of each label, those of the least hashes) and the terms (TERMS, the most
-telling of the examples' by chi-squared). What covers everything: the document frequencies, counted over all documents, and
-the scores. The index cuts the examples into blocks; each block holds the postings of its terms and their largest weights.
-A block whose bound lies below a query's k-th best similarity is skipped, so the k nearest are exact.
+What is bounded: the labelled examples (EXAMPLES of each label, those of the least hashes). What covers everything: the terms,
+all that the examples have; the document frequencies, counted over all documents; and the scores. How well a term tells the
+labels apart (phi, the root of chi-squared over the examples) is a factor of its weight and never leaves it out.
+
+Postings of rare terms are added up one by one. The common terms' postings lie in a dense table, cut into blocks of examples
+with the largest weight of each term; a block whose bound lies below a query's k-th best similarity is skipped, so the k
+nearest are exact.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, bounded_batches, table, task
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 128, 15, 128
+EXAMPLES, NEIGHBOURS, BLOCK = 2000, 15, 128
 STEMS = range(3, 9)
-LEAST_DOCS, LEAST_CHI2 = 10, 60.0
+#: Added to phi, so that terms which tell nothing still count where a text has no others.
+LEAST_PHI = 1e-4
+#: Terms in more than a COMMON-th of the examples are common, the DENSE most frequent at most.
+COMMON, DENSE = 32, 6000
+#: Texts, and characters, that are looked up together.
+PART, PART_CHARS = 64, 1 << 18
 #: Words whose terms a worker keeps in mind.
 KEPT = 300_000
 THRESHOLD, HELD_OUT = 0.3, 2
@@ -57,87 +66,206 @@ def _terms(text: str | None) -> Counter:
 
 
 class _Lookup:
-    """Positions of the indexed terms of texts; what a word leads to is kept for the words met most, the first ones."""
+    """Positions of the indexed terms of texts; what a word leads to is kept for the words met first, the frequent ones."""
 
     def __init__(self, terms: dict[str, int]) -> None:
         self.terms, self.known = terms, {}
-        #: stems that are indexed, alone or as shared by words
-        self.watched = {t[: t.index("-") + 1] for t in terms if "-" in t}
+        #: for each stem, the term for several words that share it
+        self.again = np.full(len(terms), -1, np.int64)
+        for t, at in terms.items():
+            if t.endswith("-") and (shared := terms.get(t + t, -1)) >= 0:
+                self.again[at] = shared
+
+    def _leads(self, word: str) -> tuple[int, tuple[int, ...]]:
+        get = self.terms.get
+        return get(word, -1), tuple(at for at in map(get, _stems(word)) if at is not None)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, how often), by text and term."""
+        known = self.known
+        words: list[int] = []
+        times: list[int] = []
+        stems: list[int] = []
+        n_words, n_stems = [], []
+        for text in texts:
+            found = _words(text)
+            leads = []
+            for w in found:
+                if (lead := known.get(w)) is None:
+                    lead = self._leads(w)
+                    if len(known) < KEPT:
+                        known[w] = lead
+                leads.append(lead)
+            before = len(stems)
+            words += [x[0] for x in leads]
+            times += found.values()
+            stems += chain.from_iterable([x[1] for x in leads])
+            n_words.append(len(leads))
+            n_stems.append(len(stems) - before)
+        size, row = max(1, len(self.terms)), np.arange(len(texts))
+        at, times_ = np.array(words, np.int64), np.array(times, np.int64)
+        keys = (np.repeat(row, n_words) * size + at)[at >= 0]
+        shared, n = np.unique(np.repeat(row, n_stems) * size + np.array(stems, np.int64), return_counts=True)
+        again = self.again[shared % size] if len(shared) else shared
+        several = (n > 1) & (again >= 0)
+        keys = np.concatenate((keys, shared, (shared // size * size + again)[several]))
+        counts = np.concatenate((times_[at >= 0], n, n[several]))
+        order = np.argsort(keys, kind="stable")
+        return keys[order] // size, keys[order] % size, counts[order]
+
+
+def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """texts in order, PART of them and PART_CHARS characters at a time (or one longer text)."""
+    part: list[str | None] = []
+    size = 0
+    for t in texts:
+        n = len(t or "")
+        if part and (len(part) == PART or size + n > PART_CHARS):
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += n
+    if part:
+        yield part
 
-    def _leads(self, word: str) -> tuple[int, tuple[str, ...]] | None:
-        at, stems = self.terms.get(word, -1), tuple(x for x in _stems(word) if x in self.watched)
-        return (at, stems) if at >= 0 or stems else None
 
-    def __call__(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        stems: dict[str, int] = {}
-        known = self.known
-        for w, n in _words(text).items():
-            try:
-                lead = known[w]
-            except KeyError:
-                lead = self._leads(w)
-                if len(known) < KEPT:
-                    known[w] = lead
-            if lead is not None:
-                if lead[0] >= 0:
-                    out[lead[0]] = n
-                for x in lead[1]:
-                    stems[x] = stems.get(x, 0) + 1
-        for x, n in stems.items():
-            if (at := self.terms.get(x, -1)) >= 0:
-                out[at] = n
-            if n > 1 and (at := self.terms.get(x + x, -1)) >= 0:
-                out[at] = n
-        return out
+@dataclass
+class Rows:
+    """Sparse vectors over the terms, one after the other: those of row r lie from starts[r] to starts[r + 1]."""
+
+    starts: np.ndarray
+    terms: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, n: int, row: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> Rows:
+        """Unit TF-IDF vectors of n rows, given by row."""
+        values = (1 + np.log(counts)) * weight[terms]
+        norm = np.sqrt(np.bincount(row, values * values, n))
+        return cls(np.searchsorted(row, np.arange(n + 1)), terms, (values / np.where(norm > 0, norm, 1)[row]).astype(np.float32))
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def __matmul__(self, dense: np.ndarray) -> np.ndarray:
+        pairs = [(self.terms[a:b], self.values[a:b]) for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]
+        return np.stack([v @ dense[t] for t, v in pairs]) if pairs else np.zeros((0, dense.shape[1]), np.float32)
+
+    def some(self, begin: int, end: int) -> Rows:
+        a, b = self.starts[begin], self.starts[end]
+        return Rows(self.starts[begin : end + 1] - a, self.terms[a:b], self.values[a:b])
+
+    def taken(self, order: np.ndarray) -> Rows:
+        sizes = np.diff(self.starts)[order]
+        at = _ranges(self.starts[:-1][order], sizes)
+        return Rows(np.append(0, np.cumsum(sizes)), self.terms[at], self.values[at])
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.starts))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] numbers; then those from starts[1]; and so on."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+@dataclass
+class _Ready:
+    """What a worker makes of a model once: the look-up and the dense table of common terms, with its bounds."""
+
+    lookup: _Lookup
+    #: each term's row in the dense table, -1 for rare ones
+    common: np.ndarray
+    dense: np.ndarray
+    bounds: np.ndarray
 
 
 @dataclass
 class Model:
-    """A fitted index and its calibration; a few MB at most, whatever the corpus."""
+    """A fitted index and its calibration; its size is that of the bounded examples, whatever the corpus."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
-    #: for each block: its terms, their postings as weights (terms x examples)
-    blocks: list[tuple[np.ndarray, np.ndarray]]
-    #: bounds[t, b]: the largest weight of term t in block b
-    bounds: np.ndarray
+    #: postings by term: those of term t lie from starts[t] to starts[t + 1]
+    starts: np.ndarray
+    examples: np.ndarray
+    values: np.ndarray
     prior: float
     votes: np.ndarray
     rates: np.ndarray
-    lookup: _Lookup | None = None
+    ready: _Ready | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"lookup": None}
+        return self.__dict__ | {"ready": None}
+
+    @property
+    def blocks(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each block of examples: its terms, their postings as weights (terms x examples)."""
+        out, term = [], np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
+        for begin in range(0, len(self.ids), BLOCK):
+            end = min(begin + BLOCK, len(self.ids))
+            here = (self.examples >= begin) & (self.examples < end)
+            there, row = np.unique(term[here], return_inverse=True)
+            postings = np.zeros((len(there), end - begin), np.float32)
+            postings[row, self.examples[here] - begin] = self.values[here]
+            out.append((there, postings))
+        return out
 
-    def weights(self, texts: list[str | None]) -> np.ndarray:
+    def _readied(self) -> _Ready:
+        if self.ready is None:
+            n, sizes = len(self.ids), np.diff(self.starts)
+            often = np.argsort(-sizes, kind="stable")[:DENSE]
+            often = np.sort(often[sizes[often] * COMMON > n])
+            common = np.full(len(self.terms), -1, np.int64)
+            common[often] = np.arange(len(often))
+            dense = np.zeros((len(often), n), np.float32)
+            at = _ranges(self.starts[:-1][often], sizes[often])
+            dense[np.repeat(np.arange(len(often)), sizes[often]), self.examples[at]] = self.values[at]
+            cuts = np.arange(0, n, BLOCK)
+            self.ready = _Ready(_Lookup(self.terms), common, dense, np.maximum.reduceat(dense, cuts, 1) if n else np.zeros((len(often), 0), np.float32))
+        return self.ready
+
+    def weights(self, texts: list[str | None]) -> Rows:
         """Unit TF-IDF vectors over the index's terms; zero where a text has none of them."""
-        out = np.zeros((len(texts), len(self.terms)), np.float32)
-        if self.lookup is None:
-            self.lookup = _Lookup(self.terms)
-        for k, text in enumerate(texts):
-            for t, n in self.lookup(text).items():
-                out[k, t] = n
-        return _unit(out, self.idf)
-
-    def nearest(self, queries: np.ndarray, k: int = NEIGHBOURS, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return Rows.of(len(texts), *self._readied().lookup(texts), self.weight)
+
+    def nearest(self, queries: Rows, k: int = NEIGHBOURS, leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(positions, similarities) of each query's k nearest examples, best first; -1 where fewer have a term in common.
 
-        Blocks are taken in the order of the bounds' sum; a query takes part in a block only while its bound there reaches
-        its k-th best. leave_out: for each query, the position of an example that must not be found.
+        leave_out: for each query, the position of an example that must not be found.
         """
-        n = len(queries)
+        parts = [self._nearest(queries.some(b, min(b + PART, len(queries))), k, None if leave_out is None else leave_out[b : b + PART]) for b in range(0, len(queries), PART)]
+        if not parts:
+            return np.zeros((0, k), np.int64), np.zeros((0, k), np.float32)
+        return np.concatenate([w for w, _ in parts]), np.concatenate([s for _, s in parts])
+
+    def _nearest(self, queries: Rows, k: int, leave_out: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks are taken in the order of the bounds' sum; a query takes part in a block only while its bound there reaches
+        its k-th best."""
+        n, size, ready = len(queries), len(self.ids), self._readied()
         best, where = np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
-        bounds = queries @ self.bounds
+        if not size or not len(queries.terms):
+            return where, best
+        row, column = queries.row, ready.common[queries.terms]
+        often, seldom = column >= 0, column < 0
+        table = np.zeros((n, len(ready.dense)), np.float32)
+        table[row[often], column[often]] = queries.values[often]
+        begins = self.starts[queries.terms[seldom]]
+        sizes = self.starts[queries.terms[seldom] + 1] - begins
+        at = _ranges(begins, sizes)
+        rare = np.bincount(np.repeat(row[seldom] * size, sizes) + self.examples[at], np.repeat(queries.values[seldom], sizes) * self.values[at], n * size)
+        rare = rare.astype(np.float32).reshape(n, size)
+        bounds = table @ ready.bounds + np.maximum.reduceat(rare, np.arange(0, size, BLOCK), 1)
         for b in np.argsort(-bounds.sum(0), kind="stable").tolist():
             active = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] + 1e-6 >= best[:, -1]))
             if not len(active):
                 continue
-            terms, postings = self.blocks[b]
-            some = queries[active][:, terms] @ postings
-            positions = np.arange(b * BLOCK, b * BLOCK + some.shape[1])
+            here = slice(b * BLOCK, min((b + 1) * BLOCK, size))
+            some = table[active] @ ready.dense[:, here] + rare[active, here]
+            positions = np.arange(here.start, here.stop)
             if leave_out is not None:
                 some[positions[None, :] == leave_out[active][:, None]] = 0
             both = np.concatenate((best[active], some), 1)
@@ -158,7 +286,8 @@ class Model:
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated scores, and the neighbours' positions and similarities."""
-        where, near = self.nearest(self.weights(texts))
+        parts = [self.nearest(self.weights(part)) for part in _parts(texts)] or [self.nearest(self.weights([]))]
+        where, near = np.concatenate([w for w, _ in parts]), np.concatenate([s for _, s in parts])
         vote = self.vote(where, near)
         found = (where >= 0).any(1)
         score = np.where(found, np.interp(vote, self.votes, self.rates), min(self.prior, THRESHOLD / 2))
@@ -171,12 +300,6 @@ def _top(values: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, order, 1)
 
 
-def _unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
-    norm = np.sqrt((w * w).sum(1, keepdims=True))
-    return (w / np.where(norm > 0, norm, 1)).astype(np.float32)
-
-
 def _monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression of y on x: the means of pooled neighbours, at their mean x."""
     order = np.argsort(x, kind="stable")
@@ -197,10 +320,10 @@ def _examples(docs: DataFrame, labels: DataFrame, learn: Column, limit: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").dropDuplicates(["doc_id"]), sizes
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, examples: int = EXAMPLES) -> Model:
     """Fit a model on labelled rows (doc_id, toxic) of docs (doc_id, text) for which learn holds.
 
-    The driver gets the examples' counts of the terms, so at most 2 * examples * terms numbers, and terms frequencies.
+    The driver gets the terms of the examples with their frequencies, and each example's counts, as Arrow tables.
     Null labels, labels other than 0 and 1 and those of unknown documents are passed over. Without examples of both labels,
     every score is the prior (0 with no label at all).
     """
@@ -223,26 +346,31 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, example
     picked = picked.withColumn("toxic", F.col("toxic").cast("int"))
     counted = picked.mapInArrow(task(terms_of), "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     n1, n0 = min(examples, sizes.get(1, 0)), min(examples, sizes.get(0, 0))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = n1 - a, n0 - b
-    chi2 = (n1 + n0) * F.pow(a * d - b * c, 2) / F.greatest((a + b) * (c + d) * n1 * n0, F.lit(1.0))
-    telling = counted.where(F.col("a") + F.col("b") >= LEAST_DOCS).select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
-    chosen = [r["term"] for r in telling.orderBy(F.desc("chi2"), "term").limit(terms).collect()] if n1 and n0 else []
-    index = {w: k for k, w in enumerate(chosen)}
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n, look = np.zeros(len(index) + 1, np.int64), 0, _Lookup(index)
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                seen[list(look(t))] += 1
-                n += 1
-        seen[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["term", "n"])
-
-    df = np.zeros(len(index) + 1)
-    for r in docs.select("text").mapInArrow(task(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.01
+    telling = counted.toArrow() if n1 and n0 else None
+    names = telling.column("term").to_pylist() if telling else []
+    index = {w: k for k, w in enumerate(names)}
+    weight = np.zeros(len(index))
+    if index:
+        a, b = (telling.column(x).to_numpy().astype(np.float64) for x in ("a", "b"))
+        c, d = n1 - a, n0 - b
+        phi = np.abs(a * d - b * c) / np.sqrt(np.maximum((a + b) * (c + d) * n1 * n0, 1.0))
+
+        def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen, n, look = np.zeros(len(index) + 1, np.int64), 0, _Lookup(index)
+            for batch in batches:
+                for part in _parts(batch.column("text").to_pylist()):
+                    seen[:-1] += np.bincount(look(part)[1], minlength=len(index))
+                    n += len(part)
+            seen[-1] = n
+            there = np.flatnonzero(seen)
+            for k in range(0, len(there), 50_000):
+                some = there[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["term", "n"])
+
+        df = np.zeros(len(index) + 1)
+        got = docs.select("text").mapInArrow(task(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        df[got.column("term").to_numpy()] = got.column("n").to_numpy()
+        weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 0.01) * (phi + LEAST_PHI)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
@@ -250,28 +378,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, example
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                found = list(look(r["text"]).items())
-                rows.append((r["doc_id"], r["toxic"], [t for t, _ in found], [n for _, n in found]))
+                _, at, n = look([r["text"]])
+                rows.append((r["doc_id"], r["toxic"], at, n))
             yield arrow_rows(schema, rows)
 
-    rows = picked.mapInArrow(task(vectors), "doc_id long, toxic int, at array<int>, n array<int>").collect() if index else []
-    counts = np.zeros((len(rows), len(index)), np.float32)
-    for k, r in enumerate(rows):
-        counts[k, r["at"]] = r["n"]
-    unit = _unit(counts, idf)
-    ids, toxic = np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.float64)
-    # examples of one leading term lie together, so that a block's bounds are high for few terms
-    order = np.lexsort((ids, unit.argmax(1), toxic)) if len(index) and len(rows) else np.arange(len(rows))
-    unit, ids, toxic = unit[order], ids[order], toxic[order]
-    blocks, bounds = [], np.zeros((len(index), -(-len(rows) // BLOCK)), np.float32)
-    for k in range(0, len(rows), BLOCK):
-        part = unit[k : k + BLOCK].T
-        there = np.flatnonzero(part.any(1))
-        blocks.append((there, np.ascontiguousarray(part[there])))
-        bounds[:, k // BLOCK] = part.max(1)
-    model = Model(index, idf, ids, toxic, blocks, bounds, prior, np.array([0.0, 1.0]), np.array([prior, prior]))
-    if len(rows):
-        where, near = model.nearest(unit, leave_out=np.arange(len(rows)))
+    ids, toxic, unit = np.empty(0, np.int64), np.empty(0), Rows(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+    if index:
+        rows = picked.mapInArrow(task(vectors), "doc_id long, toxic int, at array<int>, n array<int>").toArrow()
+        ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy().astype(np.float64)
+        sizes = rows.column("at").combine_chunks().value_lengths().to_numpy()
+        at, n = (rows.column(x).combine_chunks().flatten().to_numpy().astype(np.int64) for x in ("at", "n"))
+        unit = Rows.of(len(ids), np.repeat(np.arange(len(ids)), sizes), at, n, weight)
+        # examples of one leading term lie together, so that a block's bounds are high for few terms
+        leading = [unit.terms[a + unit.values[a:b].argmax()] if b > a else -1 for a, b in zip(unit.starts[:-1], unit.starts[1:], strict=True)]
+        order = np.lexsort((ids, leading, toxic))
+        ids, toxic, unit = ids[order], toxic[order], unit.taken(order)
+    by_term = np.argsort(unit.terms, kind="stable")
+    starts = np.searchsorted(unit.terms[by_term], np.arange(len(index) + 1))
+    model = Model(index, weight, ids, toxic, starts, unit.row[by_term].astype(np.int32), unit.values[by_term], prior, np.array([0.0, 1.0]), np.array([prior, prior]))
+    if len(ids):
+        where, near = model.nearest(unit, leave_out=np.arange(len(ids)))
         vote = model.vote(where, near)
         share = np.where(toxic > 0, prior / max(toxic.mean(), 1e-9), (1 - prior) / max(1 - toxic.mean(), 1e-9))
         votes, rates = _monotone(vote, toxic, share)

@@ -56,3 +56,18 @@ def test_few_or_odd_labels(spark, docs, odd, labels):
     model = toxicity.fit(odd, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, model).collect())
     assert toxicity.fit(docs([]), spark.createDataFrame(labels, "doc_id long, toxic int")).terms == {}
+
+
+def test_rare_words_count(spark):
+    few = [(k, "the grumblewort came by" if k < 3 else f"the day {'went' if k % 2 else 'came'} by") for k in range(30)]
+    made = spark.createDataFrame([*few, (100, "a grumblewort"), (101, "a day")], "doc_id long, text string")
+    model = toxicity.fit(made, spark.createDataFrame([(k, int(k < 3)) for k, _ in few], "doc_id long, toxic int"))
+    scores, where, _ = model.score(["a grumblewort", "a day", "qqq"])
+    assert {"grumblewort", "day", "went", "the"} <= set(model.terms)
+    assert scores[0] >= toxicity.THRESHOLD > scores[1] and (where[1] >= 0).any() and not (where[2] >= 0).any()
+
+
+def test_all_words_of_the_examples_are_terms(fitted):
+    model, docs, labels = fitted
+    some = docs.where(F.col("doc_id").isin([int(x) for x in model.ids[:20]])).select("text").collect()
+    assert all(w in model.terms for r in some for w in toxicity._terms(r["text"]))
