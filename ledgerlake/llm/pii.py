@@ -25,7 +25,9 @@ from .common import arrow_rows, bounded_batches, table, task
 
 KINDS = ("email", "ip", "card", "phone", "ssn")
 BASE_KINDS = KINDS[:4]
-GROUPS, PRECISION, SENTENCES = 6, 0.995, 4000
+PRECISION, SENTENCES = 0.995, 4000
+#: Proposals judged together.
+JUDGED = 20_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -88,10 +90,9 @@ _CUES = {
 _AGAINST = ("version", "page", "order", "date", "since", "total", "price", "release", "isbn", "item", "code", "figure", "between", "year")
 
 
-def candidates(text: str) -> list[Span]:
-    """Overlapping proposals, each a start, a kind's rank and an end. Linear in the text: a group begins at most GROUPS
-    runs, and groups of over 24 digits none."""
-    out: list[Span] = []
+def candidates(text: str) -> Iterator[Span]:
+    """Overlapping proposals, each a start, a kind's rank and an end. Linear in the text: a group begins runs of 19
+    digits at most, and groups of over 24 digits none."""
     if _DIGIT.search(text):
         for m in _STRETCH.finditer(text):
             if m.end() - m.start() < 7:
@@ -101,22 +102,22 @@ def candidates(text: str) -> list[Span]:
                 digits = 0
                 if size > 24:
                     continue
-                for j in range(i, min(i + GROUPS, len(groups))):
+                for j in range(i, len(groups)):
                     digits += len(_DIGIT.findall(text[groups[j][0] : groups[j][1]])) if groups[j][2] <= 24 else 99
                     if digits > 19:
                         break
                     end = groups[j][1]
                     if 7 <= digits <= 15:
-                        out.append((start, 3, end))
+                        yield start, 3, end
                     if j - i == 3 and digits <= 12:
-                        out.append((start, 1, end))
+                        yield start, 1, end
                     if digits >= 13:
-                        out.append((start, 2, end))
+                        yield start, 2, end
                     if digits == 9:
-                        out.append((start, 4, end))
+                        yield start, 4, end
     if " at" in text or "(at" in text or "[at" in text or "@" in text or " AT" in text:
-        out += [(m.start(), 0, m.end()) for m in _WORDED.finditer(text)]
-    return out
+        for m in _WORDED.finditer(text):
+            yield m.start(), 0, m.end()
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -153,14 +154,15 @@ def _sentence(rng: random.Random) -> tuple[str, list[Span]]:
         body = rng.choice("3456") + d(n - 2)
         check = next(c for c in "0123456789" if luhn(body + c))
         full, sep = body + check, rng.choice(("", " ", "-", "."))
-        return sep.join(full[k : k + 4] for k in range(0, n, 4)) if sep else full
+        size = rng.choice((4, 4, 4, 4, 2, 1))
+        return sep.join(full[k : k + size] for k in range(0, n, size)) if sep else full
 
     area = lambda: rng.choice("23456789") + d(2)
     truths = {
         0: lambda: f"{word()}{rng.choice(('.', '', '_'))}{word()}{rng.choice((' at ', ' (at) ', ' [at] ', '(at)', ' AT '))}{word()}{rng.choice((' dot ', ' (dot) ', ' DOT ', '[dot]'))}{rng.choice(('com', 'org', 'net'))}",
         1: lambda: ".".join((octet(), octet(), octet(), octet())),
         2: card,
-        3: lambda: rng.choice((f"+1 ({d(3)}) 555-{d(4)}", f"({area()}) {d(3)}-{d(4)}", f"{area()}-{d(3)}-{d(4)}", f"{area()}.{d(3)}.{d(4)}", f"+{rng.randint(2, 99)} {d(2)} {d(4)} {d(4)}", f"+1 {area()} {d(3)} {d(4)}")),
+        3: lambda: rng.choice((f"+1 ({d(3)}) 555-{d(4)}", f"({area()}) {d(3)}-{d(4)}", f"{area()}-{d(3)}-{d(4)}", f"{area()}.{d(3)}.{d(4)}", f"+{rng.randint(2, 99)} {d(2)} {d(4)} {d(4)}", f"+1 {area()} {d(3)} {d(4)}", f"00{rng.randint(20, 99)} (0) {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}")),
         4: lambda: f"{d(3)}-{d(2)}-{d(4)}",
     }
     noise = (
@@ -233,21 +235,34 @@ def select(text: str, base: list[Span], proposals: list[Span], chances: np.ndarr
 
 
 def find(texts: list[str | None], trees: Trees, threshold: float) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, added spans) of each text; the proposals of all texts are judged together."""
-    based, proposed, rows = [], [], []
-    for text in texts:
+    """(base spans, added spans) of each text; up to JUDGED proposals are judged together, and those below the threshold dropped."""
+    based: list[list[Span]] = []
+    likely: list[list[tuple[Span, float]]] = [[] for _ in texts]
+    waiting: list[tuple[int, Span]] = []
+    rows: list[list[float]] = []
+
+    def judge() -> None:
+        for (k, c), chance in zip(waiting, trees.chance(np.array(rows, np.float64)).tolist() if rows else (), strict=True):
+            if chance >= threshold:
+                likely[k].append((c, chance))
+        waiting.clear()
+        rows.clear()
+
+    for k, text in enumerate(texts):
         text = text or ""
         base = base_spans(text)
-        some = [c for c in candidates(text) if all(c[2] <= a or c[0] >= b for a, _, b in base)] if text else []
         based.append(base)
-        proposed.append(some)
-        rows += [features(text, c) for c in some]
-    chances = trees.chance(np.array(rows, np.float64)) if rows else np.empty(0)
-    out, at = [], 0
-    for text, base, some in zip(texts, based, proposed, strict=True):
-        out.append((base, select(text or "", base, some, chances[at : at + len(some)], threshold)))
-        at += len(some)
-    return out
+        taken = bytearray(len(text))
+        for a, _, b in base:
+            taken[a:b] = b"\1" * (b - a)
+        for c in candidates(text):
+            if not base or taken.find(1, c[0], c[2]) < 0:
+                waiting.append((k, c))
+                rows.append(features(text, c))
+                if len(rows) == JUDGED:
+                    judge()
+    judge()
+    return [(base, select(text or "", base, [c for c, _ in some], np.array([x for _, x in some]), threshold)) for text, base, some in zip(texts, based, likely, strict=True)]
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_())])))])

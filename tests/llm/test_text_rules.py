@@ -101,6 +101,12 @@ def test_personal_data_candidates(docs, odd):
     assert pii.personal_data(odd).count() == len(ODD) and pii.personal_data(docs([])).count() == 0
 
 
+def test_personal_data_in_many_groups():
+    phone, card = "call 0044 (0) 20 79 46 09 58", "card 4.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1"
+    assert (5, 3, 28) in set(pii.candidates(phone)) and (5, 2, 36) in set(pii.candidates(card))
+    assert (5, 3, 28) in pii.find([phone], *pii.model())[0][1]
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 10, (2000, 4)).astype(float)
