@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import os
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,11 +30,15 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all runs in one process (tests),
+    one set here; an error on a cluster."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-        found = spark.sparkContext.getCheckpointDir()
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))  # one process has one disk
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -138,22 +145,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of all words of a text in a few array passes.
 
-    A word's hash is a random-table polynomial over its bytes, then mixed; a window's hash is a polynomial over the
-    hashes of its words, then mixed. Two hashers of different seeds are independent.
+    Every place in a word has its own table of random numbers for its byte; a word's hash is their sum, mixed, so words that
+    differ anywhere collide with a chance of 2^-64, whatever their pattern. A sequence's hash is the sum of its words' hashes,
+    each times its place's odd factor, mixed. Tables and factors follow from the seed: hashers of different seeds are independent.
     """
 
-    CHUNK = 1 << 18
+    CHUNK, DEEP = 1 << 18, 64
 
     def __init__(self, seed: int, fold_case: bool = False) -> None:
         rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, _M64, 256, dtype=np.uint64, endpoint=True)
+        table = rng.integers(0, _M64, (self.DEEP, 256), dtype=np.uint64, endpoint=True)
         if fold_case:
-            self.table[65:91] = self.table[97:123]
-        base = int(rng.integers(1 << 40, 1 << 62)) * 2 + 1
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            self.powers = np.cumprod(np.full(self.CHUNK, base, np.uint64), dtype=np.uint64)
-            self.inverses = np.cumprod(np.full(self.CHUNK, self.inverse, np.uint64), dtype=np.uint64)
+            table[:, 65:91] = table[:, 97:123]
+        self.table = table.ravel()
+        self.salt = int(rng.integers(1, _M64, dtype=np.uint64, endpoint=True))
         self.space = np.zeros(256, bool)
         self.space[[32, *range(9, 14)]] = True
 
@@ -170,11 +175,10 @@ class WordHasher:
 
         def flush() -> None:
             raw = np.frombuffer(b"\n".join(some), np.uint8)
-            inside = ~self.space[raw]
-            begins = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+            begin, end = bounds(~self.space[raw])
             starts = np.cumsum([0, *(len(t) + 1 for t in some)])
-            counts.append(np.diff(np.searchsorted(begins, starts)))
-            out.append(self._some(raw.tobytes()))
+            counts.append(np.diff(np.searchsorted(begin, starts)))
+            out.append(self.mixed(self.sums(raw, begin), begin, end))
 
         for t in texts:
             if size + len(t) + 1 > self.CHUNK and some:
@@ -190,50 +194,65 @@ class WordHasher:
             flush()
         return np.concatenate(out), np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int64)
 
+    def values(self, raw: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The random number of each byte at its place in its word."""
+        out = self.table[(place & (self.DEEP - 1)) << 8 | raw]
+        far = np.flatnonzero(place >= self.DEEP)
+        if len(far):
+            out[far] = mix(out[far] + (place[far] // self.DEEP).astype(np.uint64) * np.uint64(self.salt | 1))
+        return out
+
+    def sums(self, raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Running sums of the bytes' numbers, one more than bytes; what lies between words counts for none of them."""
+        total = np.zeros(len(raw) + 1, np.uint64)
+        if len(begin):
+            first = begin[0]
+            place = np.arange(first, len(raw), dtype=np.int64) - np.repeat(begin, np.diff(begin, append=len(raw)))
+            np.cumsum(self.values(raw[first:], place), out=total[first + 1 :])
+        return total
+
+    def mixed(self, total: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix(total[end] - total[begin] + (end - begin).astype(np.uint64))
+
     def _some(self, data: bytes) -> np.ndarray:
         if len(data) > self.CHUNK:  # one word longer than a chunk
-            return self._long(data)
+            words = data.split()
+            return np.array([self._one(w) for w in words], np.uint64) if words else np.empty(0, np.uint64)
         raw = np.frombuffer(data, np.uint8)
-        inside = ~self.space[raw]
-        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-        begin, end = edges[::2], edges[1::2]
-        if not len(begin):
-            return np.empty(0, np.uint64)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.table[raw] * self.powers[: len(raw)], out=total[1:])
-        return mix((total[end] - total[begin]) * self.inverses[begin] + (end - begin).astype(np.uint64))
-
-    def _long(self, data: bytes) -> np.ndarray:
-        words = data.split()
-        return np.array([self._one(w) for w in words], np.uint64) if words else np.empty(0, np.uint64)
+        begin, end = bounds(~self.space[raw])
+        return self.mixed(self.sums(raw, begin), begin, end)
 
     def _one(self, word: bytes) -> int:
-        value, factor = 0, 1
+        value = len(word)
         for at in range(0, len(word), self.CHUNK):
             raw = np.frombuffer(word[at : at + self.CHUNK], np.uint8)
-            part = int((self.table[raw] * self.powers[: len(raw)]).sum(dtype=np.uint64))
-            value = (value + part * factor) & _M64
-            factor = factor * int(self.powers[len(raw) - 1]) & _M64
-        value = (value * self.inverse + len(word)) & _M64  # powers begin at the first, not the zeroth
-        return int(mix(np.array([value], np.uint64))[0])
+            value += int(self.values(raw, np.arange(at, at + len(raw))).sum(dtype=np.uint64))
+        return int(mix(np.array([value & _M64], np.uint64))[0])
+
+    def factors(self, n: int) -> np.ndarray:
+        """Odd factors of the first n places of a sequence."""
+        return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(self.salt)) | np.uint64(1)
 
     def windows(self, words: np.ndarray, width: int) -> np.ndarray:
         """Hashes of all runs of width consecutive words; empty where there are fewer."""
         n = len(words) - width + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        with np.errstate(over="ignore"):
-            out = np.zeros(n, np.uint64)
-            for k in range(width):
-                out = out * np.uint64(self.base) + words[k : k + n]
+        out = np.zeros(n, np.uint64)
+        for k, factor in enumerate(self.factors(width)):
+            out += words[k : k + n] * factor
         return mix(out)
 
     def whole(self, words: np.ndarray) -> int:
         """Hash of a word sequence of any length."""
-        value = len(words)
-        for w in words.tolist():
-            value = (value * self.base + w) & _M64
-        return int(mix(np.array([value], np.uint64))[0])
+        value = int((words * self.factors(len(words))).sum(dtype=np.uint64)) + len(words)
+        return int(mix(np.array([value & _M64], np.uint64))[0])
+
+
+def bounds(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of true values."""
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    return edges[::2], edges[1::2]
 
 
 def _parts(data: bytes, size: int) -> list[bytes]:

@@ -1,4 +1,8 @@
+import random
+
+import numpy as np
 import pyarrow as pa
+import pytest
 
 from ledgerlake.llm import common
 
@@ -24,3 +28,34 @@ def test_rows_of_no_columns_or_no_rows():
     schema = pa.schema([("a", pa.int64()), ("b", pa.string())])
     assert common.arrow_rows(schema, []).num_rows == 0
     assert common.arrow_rows(schema, [(1, None), (None, "x")]).to_pylist() == [{"a": 1, "b": None}, {"a": None, "b": "x"}]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("seed", [5, 11, 23, 29, 41])
+@pytest.mark.parametrize("n", [64, 1024, 1 << 17, 1 << 19])
+def test_patterned_words_do_not_collide(seed, n):
+    """Words that a polynomial modulo a power of two cannot tell apart, whatever its base."""
+    one = thue_morse(n)
+    other = one.translate(str.maketrans("ab", "ba"))
+    hasher = common.WordHasher(seed)
+    hashes = hasher.words(f"{one} {other} {one[:-1]} {one}".encode())
+    assert len(set(hashes.tolist())) == 3 and hashes[0] == hashes[3]
+    sequence = hasher.words(" ".join(one[:1024]).encode())
+    swapped = hasher.words(" ".join(other[:1024]).encode())
+    assert hasher.whole(sequence) != hasher.whole(swapped)
+    assert (hasher.windows(sequence, 1024) != hasher.windows(swapped, 1024)).all()
+
+
+def test_words_hash_alike_wherever_they_stand(monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab \n\té") for _ in range(rng.randint(0, 90))).encode() for _ in range(50)]
+    plain, folded = common.WordHasher(3), common.WordHasher(3, fold_case=True)
+    want = [plain.words(w)[0] for t in texts for w in t.split()]
+    assert plain.texts(texts)[0].tolist() == want
+    assert folded.words(b"ABc \xc3\x89")[0] == folded.words(b"abC")[0] != plain.words(b"ABC")[0]
+    monkeypatch.setattr(common.WordHasher, "CHUNK", 16)
+    hashes, begins = plain.texts(texts)
+    assert hashes.tolist() == want and np.diff(begins).tolist() == [len(t.split()) for t in texts]
