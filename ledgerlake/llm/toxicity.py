@@ -1,44 +1,43 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A term is a word, the beginning of a longer word (STEMS letters), or such a beginning that at least two words of a text share;
-insults come in many inflected and compound forms, most of which no example has.
+A term is a word, the beginning of a longer word (STEMS bytes), or such a beginning that at least two words of a text share;
+insults come in many inflected and compound forms, most of which no example has. Words are runs of letters, digits and
+underscores in lower case, found for many texts at once in a few array passes, and terms are known by 64-bit hashes.
 
 What is bounded: the labelled examples (EXAMPLES of each label, those of the least hashes). What covers everything: the terms,
 all that the examples have; the document frequencies, counted over all documents; and the scores. How well a term tells the
 labels apart (phi, the root of chi-squared over the examples) is a factor of its weight and never leaves it out.
 
-Postings of rare terms are added up one by one. The common terms' postings lie in a dense table, cut into blocks of examples
+Postings of rarer terms are added up one by one. The common terms' postings lie in a dense table, cut into blocks of examples
 with the largest weight of each term; a block whose bound lies below a query's k-th best similarity is skipped, so the k
 nearest are exact.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_batches, table, task
+from .common import WordHasher, arrow_rows, bounded_batches, bounds, mix, table, task, written
 
-EXAMPLES, NEIGHBOURS, BLOCK = 2000, 15, 128
+EXAMPLES, NEIGHBOURS, BLOCK = 1000, 15, 128
 STEMS = range(3, 9)
 #: Added to phi, so that terms which tell nothing still count where a text has no others.
 LEAST_PHI = 1e-4
 #: Terms in more than a COMMON-th of the examples are common, the DENSE most frequent at most.
-COMMON, DENSE = 32, 6000
+COMMON, DENSE = 16, 4000
 #: Texts, and characters, that are looked up together.
 PART, PART_CHARS = 64, 1 << 18
-#: Words whose terms a worker keeps in mind.
-KEPT = 300_000
 THRESHOLD, HELD_OUT = 0.3, 2
-_WORD = re.compile(r"\w+")
+_HASHER = WordHasher(29)
+#: What keeps the terms of words, of beginnings and of shared beginnings apart.
+_WORD, _STEM, _SHARED = (np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in (1, 2, 3))
+_LETTER = np.array([b >= 0x80 or chr(b).isalnum() or b == 95 for b in range(256)])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,71 +45,103 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT
 
 
-def _words(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
-
-
-def _stems(word: str) -> list[str]:
-    """The beginnings of a word, itself left out; the mark keeps them apart from words."""
-    return [f"{word[:n]}-" for n in STEMS if n < len(word)]
-
-
-def _terms(text: str | None) -> Counter:
-    """A text's terms and how often it has them."""
-    words = _words(text)
-    stems = Counter()
-    for w in words:
-        stems.update(_stems(w))
-    again = {f"{x}{x}": n for x, n in stems.items() if n > 1}
-    return words + stems + Counter(again)
+def _letters(raw: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 are in words: ASCII letters, digits and underscores, and all else past ASCII but Latin-1's and
+    general punctuation."""
+    inside = _LETTER[raw]
+    if len(raw) > 2 and (raw >= 0x80).any():
+        marks = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] & 0xFE == 0x80))
+        inside[(marks[:, None] + np.arange(3)).ravel()] = False
+        marks = np.flatnonzero((raw[:-1] == 0xC2) & (raw[1:] < 0xC0))
+        inside[(marks[:, None] + np.arange(2)).ravel()] = False
+    return inside
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, ascending; where one of each stands; each value's place among them)."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])[: len(values)]
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], place
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, ascending; how often each)."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[at], np.diff(at, append=len(keys))
+
+
+class Words:
+    """The words of some texts: each (text, distinct word) with its count, and the distinct words' terms."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        data = [(t or "").lower().encode() for t in texts]
+        raw = np.frombuffer(b"\n".join(data), np.uint8)
+        begin, end = bounds(_letters(raw))
+        total = _HASHER.sums(raw, begin)
+        starts = np.cumsum([0, *(len(d) + 1 for d in data)])
+        text = np.searchsorted(starts, begin, "right") - 1
+        _, one, word = _distinct(_HASHER.mixed(total, begin, end))
+        begin, end = begin[one], end[one]
+        size = max(1, len(one))
+        keys, self.times = _counted(text * size + word)
+        self.text, self.word = keys // size, keys % size
+        #: terms of the distinct words, and of their beginnings (0 where a word is no longer than that)
+        self.terms = mix(_HASHER.mixed(total, begin, end) ^ _WORD)
+        self.stems = np.zeros((len(STEMS), len(one)), np.uint64)
+        for row, n in zip(self.stems, STEMS, strict=True):
+            longer = np.flatnonzero(end - begin > n)
+            row[longer] = mix(total[begin[longer] + n] - total[begin[longer]] ^ _STEM)
+
+
+def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of all terms of some texts, by text."""
+    words = Words(texts)
+    known, _, place = _distinct(np.concatenate((words.terms, words.stems.ravel())))
+    size = max(1, len(known))
+    places = place.reshape(1 + len(STEMS), -1)
+    there = words.stems[:, words.word] > 0
+    keys = (words.text * size + places[1:, words.word])[there]
+    shared, n = _counted(keys)
+    several = n > 1
+    text = np.concatenate((words.text, shared // size, shared[several] // size))
+    stems = known[shared % size]
+    term = np.concatenate((words.terms[words.word], stems, mix(stems[several] ^ _SHARED)))
+    order = np.argsort(text, kind="stable")
+    return text[order], term[order], np.concatenate((words.times, n, n[several]))[order]
 
 
 class _Lookup:
-    """Positions of the indexed terms of texts; what a word leads to is kept for the words met first, the frequent ones."""
+    """Places of texts' terms among the indexed ones, which are ascending."""
 
-    def __init__(self, terms: dict[str, int]) -> None:
-        self.terms, self.known = terms, {}
+    def __init__(self, terms: np.ndarray) -> None:
+        self.terms = terms
         #: for each stem, the term for several words that share it
-        self.again = np.full(len(terms), -1, np.int64)
-        for t, at in terms.items():
-            if t.endswith("-") and (shared := terms.get(t + t, -1)) >= 0:
-                self.again[at] = shared
+        self.again = self.places(mix(terms ^ _SHARED))
 
-    def _leads(self, word: str) -> tuple[int, tuple[int, ...]]:
-        get = self.terms.get
-        return get(word, -1), tuple(at for at in map(get, _stems(word)) if at is not None)
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """Where each of terms is, -1 for those not indexed."""
+        if not len(self.terms):
+            return np.full(terms.shape, -1, np.int64)
+        asked, _, place = _distinct(terms.ravel())  # ascending, so that the search walks through memory
+        at = np.minimum(np.searchsorted(self.terms, asked), len(self.terms) - 1)
+        return np.where(self.terms[at] == asked, at, -1)[place].reshape(terms.shape)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, how often), by text and term."""
-        known = self.known
-        words: list[int] = []
-        times: list[int] = []
-        stems: list[int] = []
-        n_words, n_stems = [], []
-        for text in texts:
-            found = _words(text)
-            leads = []
-            for w in found:
-                if (lead := known.get(w)) is None:
-                    lead = self._leads(w)
-                    if len(known) < KEPT:
-                        known[w] = lead
-                leads.append(lead)
-            before = len(stems)
-            words += [x[0] for x in leads]
-            times += found.values()
-            stems += chain.from_iterable([x[1] for x in leads])
-            n_words.append(len(leads))
-            n_stems.append(len(stems) - before)
-        size, row = max(1, len(self.terms)), np.arange(len(texts))
-        at, times_ = np.array(words, np.int64), np.array(times, np.int64)
-        keys = (np.repeat(row, n_words) * size + at)[at >= 0]
-        shared, n = np.unique(np.repeat(row, n_stems) * size + np.array(stems, np.int64), return_counts=True)
+        """(text, place, count) of the indexed terms, by text and place."""
+        words = Words(texts)
+        size = max(1, len(self.terms))
+        own = self.places(words.terms)[words.word]
+        stems = self.places(words.stems)[:, words.word]
+        shared, n = _counted((words.text * size + stems)[stems >= 0])
         again = self.again[shared % size] if len(shared) else shared
         several = (n > 1) & (again >= 0)
-        keys = np.concatenate((keys, shared, (shared // size * size + again)[several]))
-        counts = np.concatenate((times_[at >= 0], n, n[several]))
-        order = np.argsort(keys, kind="stable")
+        keys = np.concatenate(((words.text * size + own)[own >= 0], shared, (shared // size * size + again)[several]))
+        counts = np.concatenate((words.times[own >= 0], n, n[several]))
+        order = np.argsort(keys)
         return keys[order] // size, keys[order] % size, counts[order]
 
 
@@ -185,7 +216,8 @@ class _Ready:
 class Model:
     """A fitted index and its calibration; its size is that of the bounded examples, whatever the corpus."""
 
-    terms: dict[str, int]
+    #: the indexed terms, ascending
+    terms: np.ndarray
     weight: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
@@ -290,7 +322,7 @@ class Model:
         where, near = np.concatenate([w for w, _ in parts]), np.concatenate([s for _, s in parts])
         vote = self.vote(where, near)
         found = (where >= 0).any(1)
-        score = np.where(found, np.interp(vote, self.votes, self.rates), min(self.prior, THRESHOLD / 2))
+        score = np.where(found, np.interp(vote, self.votes, self.rates), self.prior)
         return np.clip(score, 0, 1), where, near
 
 
@@ -313,11 +345,76 @@ def _monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
 
 
 def _examples(docs: DataFrame, labels: DataFrame, learn: Column, limit: int) -> tuple[DataFrame, dict[int, int]]:
-    """At most limit learnable rows (doc_id, toxic) of either label, by the least hashes, and each label's rows in all."""
-    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """At most limit learnable rows (doc_id, toxic, text) of either label, by the least hashes, written; each label's rows in all.
+
+    Of rows with one doc_id the least text counts; a doc_id labelled both ways is toxic.
+    """
+    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {int(r["toxic"]): r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picks = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").dropDuplicates(["doc_id"]), sizes
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id")
+    return written(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "examples"), sizes
+
+
+def _term_counts(picked: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, ascending; toxic examples that have each; others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, term, _ = _terms(b.column("text").to_pylist())
+            toxic = b.column("toxic").to_numpy()[text]
+            known, _, place = _distinct(term)
+            counts = [pa.array(np.bincount(place, toxic == y, len(known)).astype(np.int64)) for y in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), *counts], ["term", "a", "b"])
+
+    counted = picked.select("toxic", "text").mapInArrow(task(run), "term long, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    term = counted.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(term)
+    return term[order], *(counted.column(x).to_numpy()[order].astype(np.float64) for x in ("a", "b"))
+
+
+def _frequencies(docs: DataFrame, look: _Lookup) -> np.ndarray:
+    """In how many of all documents each indexed term is; the number of documents comes last."""
+    size = len(look.terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for part in _parts(batch.column("text").to_pylist()):
+                seen += np.bincount(look(part)[1], minlength=size + 1)
+                seen[-1] += len(part)
+        there = np.flatnonzero(seen)
+        for k in range(0, len(there), 50_000):
+            some = there[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["term", "n"])
+
+    got = docs.select("text").mapInArrow(task(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1)
+    out[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _vectors(picked: DataFrame, look: _Lookup, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, Rows]:
+    """(ids, labels, unit vectors) of the examples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, at, n = look(b.column("text").to_pylist())
+            starts = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(starts, pa.array(x.astype(np.int32))) for x in (at, n)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *lists], ["doc_id", "toxic", "at", "n"])
+
+    rows = picked.select("doc_id", "toxic", "text").mapInArrow(task(run), "doc_id long, toxic int, at array<int>, n array<int>").toArrow()
+    ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy().astype(np.float64)
+    if not len(ids):
+        return ids, toxic, Rows(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+    sizes = rows.column("at").combine_chunks().value_lengths().to_numpy()
+    at, n = (rows.column(x).combine_chunks().flatten().to_numpy().astype(np.int64) for x in ("at", "n"))
+    unit = Rows.of(len(ids), np.repeat(np.arange(len(ids)), sizes), at, n, weight)
+    # examples of one leading term lie together, so that a block's bounds are high for few terms
+    leading = [unit.terms[a + unit.values[a:b].argmax()] if b > a else -1 for a, b in zip(unit.starts[:-1], unit.starts[1:], strict=True)]
+    order = np.lexsort((ids, leading, toxic))
+    return ids[order], toxic[order], unit.taken(order)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, examples: int = EXAMPLES) -> Model:
@@ -325,77 +422,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, example
 
     The driver gets the terms of the examples with their frequencies, and each example's counts, as Arrow tables.
     Null labels, labels other than 0 and 1 and those of unknown documents are passed over. Without examples of both labels,
-    every score is the prior (0 with no label at all).
+    every score is the prior (0 with no label at all). The votes are calibrated on the examples, each left out in its turn.
     """
     bounded_batches(docs.sparkSession)
     picked, sizes = _examples(docs, labels, F.lit(True) if learn is None else learn, examples)
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.0
-
-    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
-        for b in batches:
-            for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                for w in _terms(t):
-                    seen.setdefault(w, [0, 0])[y] += 1
-        schema = pa.schema([("term", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
-        items = list(seen.items())
-        for k in range(0, len(items), 50_000):
-            yield arrow_rows(schema, [(w, y, n) for w, (n, y) in items[k : k + 50_000]])
-
-    picked = picked.withColumn("toxic", F.col("toxic").cast("int"))
-    counted = picked.mapInArrow(task(terms_of), "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    n1, n0 = min(examples, sizes.get(1, 0)), min(examples, sizes.get(0, 0))
-    telling = counted.toArrow() if n1 and n0 else None
-    names = telling.column("term").to_pylist() if telling else []
-    index = {w: k for k, w in enumerate(names)}
-    weight = np.zeros(len(index))
-    if index:
-        a, b = (telling.column(x).to_numpy().astype(np.float64) for x in ("a", "b"))
+    terms, a, b = _term_counts(picked) if len(sizes) == 2 else (np.empty(0, np.uint64), np.empty(0), np.empty(0))
+    look, weight = _Lookup(terms), np.zeros(len(terms))
+    ids, toxic, unit = np.empty(0, np.int64), np.empty(0), Rows(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+    if len(terms):
+        n1, n0 = min(examples, sizes[1]), min(examples, sizes[0])
         c, d = n1 - a, n0 - b
         phi = np.abs(a * d - b * c) / np.sqrt(np.maximum((a + b) * (c + d) * n1 * n0, 1.0))
-
-        def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen, n, look = np.zeros(len(index) + 1, np.int64), 0, _Lookup(index)
-            for batch in batches:
-                for part in _parts(batch.column("text").to_pylist()):
-                    seen[:-1] += np.bincount(look(part)[1], minlength=len(index))
-                    n += len(part)
-            seen[-1] = n
-            there = np.flatnonzero(seen)
-            for k in range(0, len(there), 50_000):
-                some = there[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["term", "n"])
-
-        df = np.zeros(len(index) + 1)
-        got = docs.select("text").mapInArrow(task(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        df[got.column("term").to_numpy()] = got.column("n").to_numpy()
-        weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 0.01) * (phi + LEAST_PHI)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
-        look = _Lookup(index)
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                _, at, n = look([r["text"]])
-                rows.append((r["doc_id"], r["toxic"], at, n))
-            yield arrow_rows(schema, rows)
-
-    ids, toxic, unit = np.empty(0, np.int64), np.empty(0), Rows(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
-    if index:
-        rows = picked.mapInArrow(task(vectors), "doc_id long, toxic int, at array<int>, n array<int>").toArrow()
-        ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy().astype(np.float64)
-        sizes = rows.column("at").combine_chunks().value_lengths().to_numpy()
-        at, n = (rows.column(x).combine_chunks().flatten().to_numpy().astype(np.int64) for x in ("at", "n"))
-        unit = Rows.of(len(ids), np.repeat(np.arange(len(ids)), sizes), at, n, weight)
-        # examples of one leading term lie together, so that a block's bounds are high for few terms
-        leading = [unit.terms[a + unit.values[a:b].argmax()] if b > a else -1 for a, b in zip(unit.starts[:-1], unit.starts[1:], strict=True)]
-        order = np.lexsort((ids, leading, toxic))
-        ids, toxic, unit = ids[order], toxic[order], unit.taken(order)
+        seen = _frequencies(docs, look)
+        weight = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 0.01) * (phi + LEAST_PHI)
+        ids, toxic, unit = _vectors(picked, look, weight)
     by_term = np.argsort(unit.terms, kind="stable")
-    starts = np.searchsorted(unit.terms[by_term], np.arange(len(index) + 1))
-    model = Model(index, weight, ids, toxic, starts, unit.row[by_term].astype(np.int32), unit.values[by_term], prior, np.array([0.0, 1.0]), np.array([prior, prior]))
+    starts = np.searchsorted(unit.terms[by_term], np.arange(len(terms) + 1))
+    model = Model(terms, weight, ids, toxic, starts, unit.row[by_term].astype(np.int32), unit.values[by_term], prior, np.array([0.0, 1.0]), np.array([prior, prior]))
     if len(ids):
         where, near = model.nearest(unit, leave_out=np.arange(len(ids)))
         vote = model.vote(where, near)
@@ -417,7 +462,7 @@ def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     """(doc_id, score, evidence) of each row of docs (doc_id, text); one narrow pass.
 
     evidence: the nearest examples with their similarity and label. A text without any indexed term, so an empty or null
-    one too, gets the prior, below the threshold, and no evidence. Equal texts get equal scores.
+    one too, gets the prior (the share of toxic rows among all learnable labels) and no evidence. Equal texts get equal scores.
     """
     bounded_batches(docs.sparkSession)
 

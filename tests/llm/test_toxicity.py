@@ -1,4 +1,8 @@
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,7 +59,74 @@ def test_odd_rows(fitted, docs, odd):
 def test_few_or_odd_labels(spark, docs, odd, labels):
     model = toxicity.fit(odd, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, model).collect())
-    assert toxicity.fit(docs([]), spark.createDataFrame(labels, "doc_id long, toxic int")).terms == {}
+    assert toxicity.fit(docs([]), spark.createDataFrame(labels, "doc_id long, toxic int")).terms.size == 0
+
+
+def plain_terms(text):
+    """Words, beginnings of longer ones in bytes, and beginnings that several words share."""
+    words = Counter(w.encode() for w in re.findall(r"\w+", (text or "").lower()))
+    stems = Counter(w[:n] for w in words for n in toxicity.STEMS if len(w) > n)
+    return Counter({("word", w): n for w, n in words.items()} | {("stem", s): n for s, n in stems.items()} | {("shared", s): n for s, n in stems.items() if n > 1})
+
+
+def made(seed, n):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeéü") for _ in range(rng.randint(1, 11))) for _ in range(120)] + ["vile", "vilest", "vileness"]
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) + (" vile vileness" if k % 3 == 0 else "") for k in range(n)]
+
+
+def test_neighbours_against_plain_cosine_over_all_terms(docs):
+    texts = made(4, 90)
+    labelled = {k: int(k % 3 == 0) for k in range(60)}
+    model = toxicity.fit(docs(list(enumerate(texts))), docs([]).sparkSession.createDataFrame(list(labelled.items()), "doc_id long, toxic int"))
+    terms = [plain_terms(t) for t in texts]
+    n1, n0 = sum(labelled.values()), len(labelled) - sum(labelled.values())
+
+    def weight(term):
+        a, b = (sum(term in terms[k] for k in labelled if labelled[k] == y) for y in (1, 0))
+        if not a + b:
+            return 0.0
+        phi = abs(a * (n0 - b) - b * (n1 - a)) / math.sqrt(max((a + b) * (n1 - a + n0 - b) * n1 * n0, 1))
+        return (math.log((1 + len(texts)) / (1 + sum(term in x for x in terms))) + 0.01) * (phi + toxicity.LEAST_PHI)
+
+    weights = {t: weight(t) for t in set().union(*terms)}
+    assert len(model.terms) == sum(w > 0 for w in weights.values())
+
+    def unit(counts):
+        out = {t: (1 + math.log(n)) * weights[t] for t, n in counts.items() if weights[t] > 0}
+        norm = math.sqrt(sum(v * v for v in out.values()))
+        return {t: v / norm for t, v in out.items()}
+
+    vectors = [unit(x) for x in terms]
+    where, near = model.nearest(model.weights(texts))
+    for k, query in enumerate(vectors):
+        every = {d: sum(v * vectors[d].get(t, 0) for t, v in query.items()) for d in labelled}
+        best = sorted(every.values(), reverse=True)[: near.shape[1]]
+        assert np.allclose(near[k], [max(0, x) for x in best], atol=1e-5)
+        assert all(p < 0 or abs(every[int(model.ids[p])] - s) < 1e-5 for p, s in zip(where[k], near[k], strict=True))
+
+
+def test_terms_of_texts_taken_together_stay_apart():
+    texts = [*made(5, 30), None, "", "«Wort», “word” it's a_b 9x", "é" * 40 + " " + "long" * 60]
+    together, alone = toxicity._terms(texts), [toxicity._terms([t]) for t in texts]
+    for k, (_, term, n) in enumerate(alone):
+        mine = together[0] == k
+        assert Counter(dict(zip(together[1][mine].tolist(), together[2][mine].tolist(), strict=True))) == Counter(dict(zip(term.tolist(), n.tolist(), strict=True)))
+        assert sorted(n.tolist()) == sorted(plain_terms(texts[k]).values())
+
+
+def test_held_out_recall_on_the_smaller_table(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet".replace("sf0.1", "sf0.01")) for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    rows = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("text", "toxic").collect()
+    hit, toxic = model.score([r["text"] for r in rows])[0] >= toxicity.THRESHOLD, np.array([r["toxic"] for r in rows]) == 1
+    assert (hit & toxic).sum() / toxic.sum() >= 0.9 and (hit & ~toxic).sum() / (~toxic).sum() < 0.1
+
+
+def test_rows_of_one_id_count_once(docs, spark):
+    rows = [(k, f"{'vile word' if k < 5 else 'mild word'} {k}") for k in range(10)] + [(0, "other text"), (0, "vile word 0")]
+    model = toxicity.fit(docs(rows), spark.createDataFrame([(k, int(k < 5)) for k in range(10)] + [(0, 0)], "doc_id long, toxic int"))
+    assert sorted(model.ids.tolist()) == list(range(10)) and model.toxic.sum() == 5
 
 
 def test_rare_words_count(spark):
@@ -63,11 +134,12 @@ def test_rare_words_count(spark):
     made = spark.createDataFrame([*few, (100, "a grumblewort"), (101, "a day")], "doc_id long, text string")
     model = toxicity.fit(made, spark.createDataFrame([(k, int(k < 3)) for k, _ in few], "doc_id long, toxic int"))
     scores, where, _ = model.score(["a grumblewort", "a day", "qqq"])
-    assert {"grumblewort", "day", "went", "the"} <= set(model.terms)
+    assert set(toxicity._terms(["grumblewort day went the"])[1]) <= set(model.terms)
     assert scores[0] >= toxicity.THRESHOLD > scores[1] and (where[1] >= 0).any() and not (where[2] >= 0).any()
+    assert scores[2] == model.prior == 0.1
 
 
 def test_all_words_of_the_examples_are_terms(fitted):
     model, docs, labels = fitted
     some = docs.where(F.col("doc_id").isin([int(x) for x in model.ids[:20]])).select("text").collect()
-    assert all(w in model.terms for r in some for w in toxicity._terms(r["text"]))
+    assert np.isin(toxicity._terms([r["text"] for r in some])[1], model.terms).all()
