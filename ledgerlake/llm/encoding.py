@@ -26,22 +26,24 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """Encodes texts; ids of space-separated pieces are kept, as most words come again.
+    """Encodes texts as the library does by itself; ids of space-separated pieces are kept, as most words come again.
 
     A byte-level pre-tokenizer never joins characters across a space that touches no other white space, so such a text's
-    ids are those of its pieces, each with its space in front, one after the other. Other texts are encoded whole.
-    The kept pieces are bounded in number and length.
+    ids are those of its pieces, each with its space in front, one after the other. Other texts, and those that hold a
+    marker (an added token's string), are encoded whole. markers_as_text reads markers as ordinary text; the library's
+    default gives them their own ids. The kept pieces are bounded in number and length.
     """
 
     KEPT, LONGEST = 800_000, 64
     _touching = re.compile(r" \s|\s ")
 
-    def __init__(self, vocabulary: str = DEFAULT_VOCABULARY) -> None:
+    def __init__(self, vocabulary: str = DEFAULT_VOCABULARY, markers_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = markers_as_text
+        self.markers = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         #: the same model, fed words in its own alphabet
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -107,8 +109,8 @@ class Encoder:
                     places.append(at)
             words = [pieces[k] for k in places]
             # spaces touch no other white space where no piece is empty or has any at an end; none such is ever kept
-            if self._touching.search(f"{head} {' '.join(words)} .") and (words or head != head.rstrip()):
-                found, head = [b""], text
+            if (self._touching.search(f"{head} {' '.join(words)} .") and (words or head != head.rstrip())) or any(m in text for m in self.markers if text):
+                found, head = [b""], text or ""
             elif words:
                 holes.append((found, places, words))
                 new.update(words)
@@ -129,6 +131,6 @@ keeps("encoder", lambda: encoder.cache_clear())
 
 
 @cache
-def encoder(vocabulary: str = DEFAULT_VOCABULARY) -> Encoder:
+def encoder(vocabulary: str = DEFAULT_VOCABULARY, markers_as_text: bool = False) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, markers_as_text)

@@ -144,8 +144,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, capacity:
     return written(docs.select("doc_id", "text").mapInArrow(task(run, "encoder"), PIECES_SQL), "pieces")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Give each piece of cut_pieces its sequence_id and offset.
+PACKED_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
+    """Give each piece of cut_pieces its sequence_id and offset; with keep_ids its ids too, little-endian 32-bit integers.
 
     The driver gets one count for each length, so at most capacity of them; the plan made of them is as bounded. A piece's
     rank among all of its length is its rank within its task plus the counts of the tasks before, from a window over
@@ -158,27 +161,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys, sequences, offsets = Plan(counts, capacity).arrays()
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = by_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.drop("ids").join(before, ["part", "length"])
-    out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    ranked = pieces.join(before, ["part", "length"])
+    told = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    more = ["ids"] if keep_ids else []
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = (b.column(c).to_numpy() for c in ("length", "rank"))
             key = length << 48 | rank
             at = np.searchsorted(keys, key, "right") - 1
-            columns = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequences[at] + (key - keys[at])), pa.array(offsets[at])], names)
+            placed = [pa.array(sequences[at] + (key - keys[at])), pa.array(offsets[at])]
+            yield pa.RecordBatch.from_arrays([*map(b.column, told), *placed, *map(b.column, more)], [*told, "sequence_id", "offset", *more])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("local_rank") + F.col("before")).alias("rank")).mapInArrow(task(place, "encoder"), out)
+    rank = (F.col("local_rank") + F.col("before")).alias("rank")
+    return ranked.select(*told, rank, *more).mapInArrow(task(place, "encoder"), PACKED_SQL + ", ids binary" * keep_ids)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY, keep_ids: bool = False) -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with keep_ids its ids.
 
     Empty and null texts give one piece of one id; repeated rows are packed each; an empty table gives no row.
     """
-    return pack(cut_pieces(docs, vocabulary, capacity, keep_ids=False), capacity)
+    return pack(cut_pieces(docs, vocabulary, capacity, keep_ids), capacity, keep_ids)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,6 @@ TEXTS = ["a  b", "  x", " x ", "a \n b", "a\n b", "x y  z", "it's 'll  we,ll.
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(DEFAULT_VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -26,10 +25,18 @@ def test_encoder_equals_the_library(plain):
     more = ["".join(rng.choice("ab ,.\n\té'1 ") for _ in range(rng.randint(0, 40))) for _ in range(400)]
     for texts in (TEXTS, more, TEXTS + more, [None]):
         assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [plain(t) for t in texts]
+    assert encode.markers == ["<|endoftext|>"] and plain("a <|endoftext|> b") == [64, 220, 50256, 275]
     encode.KEPT = 0
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(TEXTS)] == [plain(t) for t in TEXTS]
 
 
+def test_markers_as_text():
+    t = Tokenizer.from_file(DEFAULT_VOCABULARY)
+    t.encode_special_tokens = True
+    got = Encoder(markers_as_text=True)(TEXTS)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in TEXTS]
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 @pytest.mark.parametrize("n", [1, 7, 1000])
 def test_blocks_round_trip(planes, n):
@@ -96,6 +103,13 @@ def test_packing(docs, plain):
     total = sum(p["length"] for p in pieces)
     assert n <= -(-total // 512) * 1.02 + 2
     assert packing.pack_documents(docs([])).count() == 0
+    kept = {(p["doc_id"], p["piece"]): p for p in packing.pack_documents(docs(rows), capacity=512, keep_ids=True).collect()}
+    assert len(kept) == len(pieces)
+    for d, t in rows:
+        ids = np.array([*plain(t), 0], "<u4")
+        for p in pieces:
+            if p["doc_id"] == d:
+                assert np.array_equal(np.frombuffer(kept[d, p["piece"]]["ids"], "<u4"), ids[p["start"] : p["start"] + p["length"]])
 
 
 @pytest.mark.parametrize("seed", range(5))
