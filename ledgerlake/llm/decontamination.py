@@ -6,6 +6,10 @@ of the benchmark are hashed and joined with those of every document, so a questi
 changed still meets its template. Slots then have to agree: within an item, one value stands for one value throughout, and
 the other way round. A document holds an item where windows with agreeing slots cover COVERED of the item's words.
 
+The join is one of tables, so a benchmark may be of any size: a pass over the documents keeps the hashes that a sieve of the
+benchmark's lets through (PROBES bits of SIEVE_BITS at most; what it lets through wrongly, the join drops), these are joined
+with the benchmark's windows, and pairs of a document and an item whose windows could cover enough are compared in full.
+
 Words may be put in or left out: stretches of windows are chained over increasing places, and runs of numbers or of names
 also count as one, so that one name may stand for two. Windows of items under 3 * WIDTH words are a third of the item, SHORTEST
 words at least, and have to cover WIDTH words (the item, if it has fewer) together. Case doesn't decide: a third reading takes capitalised words as
@@ -17,20 +21,22 @@ from __future__ import annotations
 import string
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, arrow_rows, bounded_batches, keeps, table, task
+from .common import WordHasher, arrow_rows, bounded_batches, keeps, mix, table, task, written
 
 WIDTH, SHORTEST, COVERED, AGREEING = 8, 4, 0.5, 0.8
-#: Benchmark words sent to the executors at once, at about 100 bytes each; a larger benchmark takes several passes.
-AT_ONCE = 400_000
+#: Bits of the sieve for each benchmark window, the logarithms of the least and the largest sieve, its probes, and of a part of it.
+SIEVE_PER, SIEVE_BITS, PROBES, CHUNK_BITS = 32, (18, 28), 8, 18
 KEPT = 300_000
 #: Characters of the texts that are read together.
 TOGETHER = 1 << 16
@@ -160,40 +166,66 @@ def _value(word: str) -> str:
 
 
 _HASHER = WordHasher(41)
+_FACTORS = _HASHER.factors(WIDTH)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 #: A template word of an item and the one of a document that stands for it: first and past the last word there, and here.
 Pair = tuple[int, int, int, int]
 
 
+def window_keys(codes: np.ndarray, how: int, widths: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, keys of all windows of that width), the narrower first; a wider window's sum goes on from a narrower one's."""
+    wanted, sums = set(widths), np.zeros(len(codes), np.uint64)
+    for k in range(min(max(wanted), len(codes))):
+        sums = sums[: len(codes) - k]
+        sums += codes[k:] * _FACTORS[k]
+        if k + 1 in wanted:
+            yield k + 1, sums + mix(np.array([how * 64 + k + 1], np.uint64))
+
+
+class Sieve:
+    """Which keys may be among some: no key of theirs is ever held back."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.shift = bits, np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+
+    @staticmethod
+    def places(keys: np.ndarray, probe: int, shift: np.uint64) -> np.ndarray:
+        return ((mix(keys + np.uint64(probe)) if probe else keys) * _GOLDEN >> shift).astype(np.int64)
+
+    def passing(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys that pass; the later probes see what the first left."""
+        at: np.ndarray | None = None
+        for probe in range(PROBES):
+            place = self.places(keys if at is None else keys[at], probe, self.shift)
+            there = np.flatnonzero(self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            at = there if at is None else at[there]
+        return at
+
+
 @dataclass
 class Windows:
-    """Item windows of one reading and width: sorted hashes, their items, first words and words, and a filter over 18 bits."""
+    """Item windows of one reading and width: sorted keys, their items, first words and words."""
 
-    hashes: np.ndarray
+    keys: np.ndarray
     items: np.ndarray
     places: np.ndarray
     words: np.ndarray
-    sieve: np.ndarray
-
-    SIEVE = np.uint64((1 << 18) - 1)
 
     @classmethod
     def of(cls, parts: list[tuple[np.ndarray, np.ndarray, int]], width: int) -> Windows:
-        hashes = np.concatenate([h for h, _, _ in parts])
-        order = np.argsort(hashes, kind="stable")
+        keys = np.concatenate([h for h, _, _ in parts])
+        order = np.argsort(keys, kind="stable")
         items = np.concatenate([np.full(len(h), k, np.int32) for h, _, k in parts])
         places = np.concatenate([np.arange(len(h), dtype=np.int32) for h, _, _ in parts])
         words = np.concatenate([(ends[width:] - ends[:-width]).astype(np.int32) for _, ends, _ in parts])
-        sieve = np.zeros(1 << 18, bool)
-        sieve[(hashes & cls.SIEVE).astype(np.int64)] = True
-        return cls(hashes[order], items[order], places[order], words[order], sieve)
+        return cls(keys[order], items[order], places[order], words[order])
 
     def met(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in mine, positions here) of equal hashes, all with all."""
-        at = np.flatnonzero(self.sieve[(mine & self.SIEVE).astype(np.int64)])
-        begin, end = np.searchsorted(self.hashes, mine[at], "left"), np.searchsorted(self.hashes, mine[at], "right")
-        some = end > begin
-        at, begin, n = at[some], begin[some], (end - begin)[some]
+        """(positions in mine, positions here) of equal keys, all with all."""
+        begin, end = np.searchsorted(self.keys, mine, "left"), np.searchsorted(self.keys, mine, "right")
+        at = np.flatnonzero(end > begin)
+        begin, n = begin[at], (end - begin)[at]
         return np.repeat(at, n), np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
@@ -202,7 +234,7 @@ Held = tuple[int, int, int, bool, int, int]
 
 @dataclass
 class Items:
-    """Benchmark items that fit in one pass, indexed by their template windows."""
+    """Some benchmark items, indexed by their template windows."""
 
     ids: list[int]
     values: list[list[str]]
@@ -224,7 +256,7 @@ class Items:
                 codes, begin = t.reading(how)
                 if how == WHOLE or len(codes) >= SHORTEST:
                     width = len(codes) if how == WHOLE else min(WIDTH, max(SHORTEST, len(codes) // 3))
-                    found[how, width].append((_HASHER.windows(codes, width), begin, len(out.ids)))
+                    found[how, width] += [(keys, begin, len(out.ids)) for _, keys in window_keys(codes, how, [width])]
                     ends[how] = begin
             out.ids.append(item_id)
             out.values.append([_value(w) for w in t.words])
@@ -235,37 +267,20 @@ class Items:
 
     def held_by(self, text: str | None) -> list[Held]:
         """(item id, words covered, words of the item, are all slots unchanged, first and last word's place) of each item held."""
-        return self.held_by_each([text])[0]
-
-    def held_by_each(self, texts: list[str | None]) -> list[list[Held]]:
-        """held_by of each text; texts are taken together up to TOGETHER characters."""
-        out: list[list[Held]] = []
-        some: list[str | None] = []
-        size = 0
-        for text in texts:
-            n = len(text or "")
-            if some and size + n > TOGETHER:
-                out += self._held_by_some(some)
-                some, size = [], 0
-            some.append(text)
-            size += n
-        return out + self._held_by_some(some)
+        return self._held_by_some([text])[0]
 
     def _held_by_some(self, texts: list[str | None]) -> list[list[Held]]:
         t = Template(texts)
         out: list[list[Held]] = [[] for _ in texts]
         read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         met = []
-        for (how, width), windows in self.index.items():
-            if how not in read:
-                read[how] = t.reading(how)
-            codes, begin = read[how]
-            at, there = windows.met(_HASHER.windows(codes, width))
+        for how, width, keys, begin in _read(t, self.index, read):
+            windows = self.index[how, width]
+            at, there = windows.met(keys)
+            at, text, inside = _inside(t, begin, width, at)
+            there = there[inside]
             if not len(at):
                 continue
-            text = np.searchsorted(t.bounds, begin[at], "right") - 1
-            inside = begin[at + width] <= t.bounds[text + 1]
-            at, there, text = at[inside], there[inside], text[inside]
             shape = np.broadcast_to(np.array([[how], [width]]), (2, len(at)))
             met.append(np.stack((text, windows.items[there], at, windows.places[there], windows.words[there], *shape)))
         if not met:
@@ -346,6 +361,39 @@ class Items:
         return None
 
 
+def _read(t: Template, index: Iterable[tuple[int, int]], read: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(reading, width, keys, where template words begin) of all windows of some texts; read takes the readings."""
+    widths: dict[int, list[int]] = defaultdict(list)
+    for how, width in index:
+        widths[how].append(width)
+    for how, some in sorted(widths.items()):
+        codes, begin = read[how] = t.reading(how)
+        for width, keys in window_keys(codes, how, some):
+            yield how, width, keys, begin
+
+
+def _inside(t: Template, begin: np.ndarray, width: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows at some places, (those that lie in one text, that text, which they are of the given ones)."""
+    text = np.searchsorted(t.bounds, begin[at], "right") - 1
+    inside = begin[at + width] <= t.bounds[text + 1] if len(at) else np.empty(0, bool)
+    return at[inside], text[inside], inside
+
+
+def _together(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """texts in order, TOGETHER characters at a time."""
+    some: list[str | None] = []
+    size = 0
+    for text in texts:
+        n = len(text or "")
+        if some and size + n > TOGETHER:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += n
+    if some:
+        yield some
+
+
 def _cover(pair: Pair) -> int:
     """Words of the item that a pair covers: a run covers no more of them than it has words itself."""
     return min(pair[1] - pair[0], pair[3] - pair[2])
@@ -406,58 +454,143 @@ def _chains(pairs: list[Pair], n: int) -> Iterator[list[list[Pair]]]:
             yield out
 
 
-def _passes(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark in parts of at most AT_ONCE words; one part unless it is larger. Null ids and texts are passed over."""
-    part, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        n = len(r["text"].split())
-        if part and size + n > AT_ONCE:
-            yield Items.of(part)
-            part, size = [], 0
-        part.append((r["item_id"], r["text"]))
-        size += n
-    yield Items.of(part)
+WINDOWS = pa.schema([("key", pa.int64()), ("item", pa.int64()), ("how", pa.int32()), ("width", pa.int32()), ("words", pa.int32()), ("n_words", pa.int32())])
+WINDOWS_SQL = "key long, item long, how int, width int, words int, n_words int"
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """A written table (item, item_id, text, copies) of the distinct benchmark rows; null ids and texts are passed over."""
+    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    known = known.groupBy("item_id", "text").agg(F.count("*").alias("copies"))
+    return written(known.select(F.monotonically_increasing_id().alias("item"), "item_id", "text", "copies"), "items")
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """A written table of WINDOWS: every window of every item, with the words it covers and those that the item has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number = b.column("item").to_pylist()
+            these = Items.of(list(zip(range(len(number)), b.column("text").to_pylist(), strict=True)))
+            rows = []
+            for (how, width), w in these.index.items():
+                at = w.items.tolist()
+                rows += [(int(k), number[these.ids[i]], how, width, n, len(these.values[i])) for k, i, n in zip(w.keys.view(np.int64).tolist(), at, w.words.tolist(), strict=True)]
+            yield arrow_rows(WINDOWS, rows)
+
+    return written(items.select("item", "text").mapInArrow(task(run, "templates"), WINDOWS_SQL), "item-windows")
+
+
+def _sieve(windows: DataFrame) -> Sieve:
+    """The sieve of all windows' keys, put together from the tasks' parts; SIEVE_BITS bound what the driver gets."""
+    n = windows.count()
+    log = min(SIEVE_BITS[1], max(SIEVE_BITS[0], (SIEVE_PER * n - 1).bit_length() if n else 0))
+    shift, chunk = np.uint64(64 - log), 1 << CHUNK_BITS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            keys = b.column("key").to_numpy().view(np.uint64)
+            for probe in range(PROBES):
+                places = np.unique(Sieve.places(keys, probe, shift))
+                for k in np.unique(places >> CHUNK_BITS).tolist():
+                    here = places[places >> CHUNK_BITS == k] & (chunk - 1)
+                    np.bitwise_or.at(parts.setdefault(k, np.zeros(chunk // 8, np.uint8)), here >> 3, (1 << (here & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([p.tobytes() for p in parts.values()], pa.binary())], ["part", "bits"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()])
+        return pa.table({"part": group.column("part")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    bits = np.zeros((1 << log) // 8, np.uint8)
+    for r in windows.select("key").mapInArrow(task(mark), "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").toLocalIterator():
+        bits[r["part"] * chunk // 8 : (r["part"] + 1) * chunk // 8] = np.frombuffer(r["bits"], np.uint8)
+    return Sieve(bits)
+
+
+MET = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("keys", pa.list_(pa.int64()))])
+
+
+def _met(docs: DataFrame, sieve: Sieve, shapes: list[tuple[int, int]]) -> DataFrame:
+    """A written table (row, doc_id, text, keys) of the rows of docs with window keys that pass the sieve; one narrow pass.
+
+    row numbers the rows; as the table is written once, it is the same whenever it is read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            found: list[tuple] = []
+            ids, done = b.column("doc_id").to_pylist(), 0
+            for texts in _together(b.column("text").to_pylist()):
+                t, keys, owner = Template(texts), [], []
+                for _, width, mine, begin in _read(t, shapes, {}):
+                    at, text, _ = _inside(t, begin, width, sieve.passing(mine))
+                    keys.append(mine[at])
+                    owner.append(text)
+                if sum(map(len, keys)):
+                    some, whose = np.concatenate(keys).view(np.int64), np.concatenate(owner)
+                    for k in np.unique(whose).tolist():
+                        found.append((row, ids[done + k], texts[k], np.unique(some[whose == k])))
+                        row += 1
+                done += len(texts)
+            yield arrow_rows(MET, found)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''")
+    return written(rows.mapInArrow(task(run, "templates"), "row long, doc_id long, text string, keys array<long>"), "met")
 
 
 HELD = pa.schema(
-    [("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered_words", pa.int64()), ("item_words", pa.int64()), ("unchanged", pa.bool_()), ("first_word", pa.int64()), ("last_word", pa.int64())]
+    [("text", pa.string()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered_words", pa.int64()), ("item_words", pa.int64()), ("unchanged", pa.bool_()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("copies", pa.int64())]
 )
-HELD_SQL = "doc_id long, item_id long, covered_words long, item_words long, unchanged boolean, first_word long, last_word long"
+HELD_SQL = "text string, doc_id long, item_id long, covered_words long, item_words long, unchanged boolean, first_word long, last_word long, copies long"
+
+
+def _held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """HELD for each row of docs and distinct row of benchmark that it holds."""
+    bounded_batches(docs.sparkSession)
+    items = _items(benchmark)
+    windows = _item_windows(items)
+    shapes = sorted((r["how"], r["width"]) for r in windows.select("how", "width").distinct().collect())
+    met = _met(docs, _sieve(windows), shapes)
+    # a window of an item counts once, however often a document has it, so the sum bounds the words that could be covered
+    pairs = met.select("row", F.explode("keys").alias("key")).join(windows.select("key", "item", "words", "n_words"), "key")
+    pairs = pairs.groupBy("row", "item").agg(F.sum("words").alias("words"), F.max("n_words").alias("n_words")).where(F.col("words") >= COVERED * F.col("n_words"))
+    rows = pairs.select("row", "item").join(items.withColumnRenamed("text", "asked"), "item").join(met.select("row", "doc_id", "text"), "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for (_, doc_id, text), some in groupby(b.to_pylist(), lambda r: (r["row"], r["doc_id"], r["text"])):
+                asked = list(some)
+                copies = [r["copies"] for r in asked]
+                these = Items.of([(k, r["asked"]) for k, r in enumerate(asked)])
+                out += [(text, doc_id, asked[k]["item_id"], *held, copies[k]) for k, *held in these.held_by(text)]
+            yield arrow_rows(HELD, out)
+
+    return rows.select("row", "doc_id", "text", "item_id", "asked", "copies").mapInArrow(task(run, "templates"), HELD_SQL)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document of docs (doc_id, text) and item of benchmark (item_id, text) that it holds.
 
     unchanged tells whether all slots have the item's own values; first_word and last_word count the document's template
-    words. One narrow pass for each AT_ONCE words of the benchmark, whose templates go to the executors as they are. Null
-    and empty texts hold nothing, items without a template word are held by nothing; repeated rows of either table give a
-    row each.
+    words. Null and empty texts hold nothing, items without a template word are held by nothing; repeated rows of either
+    table give a row each; an empty table on either side gives no row.
     """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for items in _passes(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield arrow_rows(HELD, [(d, *row) for d, held in zip(b.column("doc_id").to_pylist(), items.held_by_each(b.column("text").to_pylist()), strict=True) for row in held])
-
-        part = rows.mapInArrow(task(run, "templates"), HELD_SQL)
-        out = part if out is None else out.unionByName(part)
-    return out
+    held = _held(docs, benchmark).drop("text")
+    return held.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that hold no item of benchmark."""
-    bounded_batches(docs.sparkSession)
-    for items in _passes(benchmark):
+    """The rows of docs, all columns, that hold no item of benchmark.
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not held for held in items.held_by_each(b.column("text").to_pylist())], pa.bool_()))
-
-        docs = docs.mapInArrow(task(run, "templates"), docs.schema)
-    return docs
+    What a row holds follows from its text alone, so rows go by their text's digest; the join with the digests of the texts
+    found is left to Spark, which sends them to all tasks only while its size check allows.
+    """
+    mark = "_".join(["digest", *docs.columns])  # no column of docs can have this name
+    gone = written(_held(docs, benchmark).select(F.sha2("text", 256).alias(mark)).distinct(), "contaminated")
+    return docs.join(gone, F.sha2(docs["text"], 256) == gone[mark], "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -221,16 +223,28 @@ def model(seed: int = 7) -> tuple[Trees, float]:
 
 
 def select(text: str, base: list[Span], proposals: list[Span], chances: np.ndarray, threshold: float) -> list[Span]:
-    """Proposals above the threshold, the likelier first, then the longer; none overlaps a base span or another."""
+    """Proposals above the threshold, the likelier first, then the longer; none overlaps a base span or another.
+
+    What is taken is kept as ascending stretches apart from each other, so one bisection tells whether a proposal is free.
+    """
     chosen: list[Span] = []
-    taken = sorted((s, e) for s, _, e in base)
+    begins: list[int] = []
+    ends: list[int] = []
+    for s, _, e in sorted(base):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            begins.append(s)
+            ends.append(e)
     for k in np.lexsort(([p[0] - p[2] for p in proposals], -chances)).tolist():
         if chances[k] < threshold:
             break
         s, _, e = proposals[k]
-        if all(e <= a or s >= b for a, b in taken):
+        at = bisect_right(ends, s)
+        if at == len(begins) or e <= begins[at]:
             chosen.append(proposals[k])
-            taken.append((s, e))
+            begins.insert(at, s)
+            ends.insert(at, e)
     return chosen
 
 
@@ -289,6 +303,40 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task(run), FOUND_SQL)
 
 
+def without(text: str, spans: list[Span]) -> str:
+    """text with each span replaced by <PII:kind>; of overlapping spans the earliest, then the first kind's, names the mark."""
+    out, at = [], 0
+    for s, rank, e in sorted(spans):
+        if s >= at:
+            out += [text[at:s], f"<PII:{KINDS[rank]}>"]
+        at = max(at, e)
+    return "".join((*out, text[at:]))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with each base span and each selected one in text replaced by <PII:kind>; one narrow pass.
+
+    n_chars, where there is such a column, is brought up to date for the texts that change. Null texts stay null; repeated
+    rows change alike; an empty table gives an empty one.
+    """
+    bounded_batches(docs.sparkSession)
+    trees, threshold = model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            found = [base + added for base, added in find(texts, trees, threshold)]
+            now = [without(t, spans) if spans else t for t, spans in zip(texts, found, strict=True)]
+            columns = dict(zip(b.schema.names, b.columns, strict=True))
+            columns["text"] = pa.array(now, b.schema.field("text").type)
+            if "n_chars" in columns:
+                old = columns["n_chars"]
+                columns["n_chars"] = pa.array([len(t) if spans else n for t, spans, n in zip(now, found, old.to_pylist(), strict=True)], old.type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=b.schema)
+
+    return docs.mapInArrow(task(run), docs.schema)
+
+
 DIGEST = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in BASE_KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
@@ -300,10 +348,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in batches:
             rows = []
             for doc_id, spans in zip(b.column("doc_id").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                told = [(s["base"], s["kind"], f"{s['kind']}:{s['start']}:{s['end']}") for s in spans]
-                base = ",".join(t for own, _, t in told if own)
-                counts = [sum(own and k == kind for own, k, _ in told) for kind in BASE_KINDS]
-                rows.append((doc_id, *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(t for _, _, t in told)))
+                told = [(s["base"], f"{s['kind']}:{s['start']}:{s['end']}") for s in spans]
+                base, counts = ",".join(t for own, t in told if own), Counter(s["kind"] for s in spans if s["base"])
+                rows.append((doc_id, *map(counts.__getitem__, BASE_KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(t for _, t in told)))
             yield arrow_rows(DIGEST, rows)
 
     return found.mapInArrow(task(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
