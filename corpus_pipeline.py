@@ -1,7 +1,10 @@
 """A corpus through five stages: toxicity, near duplicates, benchmark decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns
-of documents; the last returns the packed pieces.
+of documents; the last returns the packed pieces. Null and empty texts pass all stages (their toxicity is the share of toxic
+labels, they are like nothing, hold nothing and have no secret) and become one piece of the end id alone. Equal rows are judged
+alike, and of those of one doc_id all stay or all go; rows of null doc_id stay where their text may. An empty table gives an
+empty one. Ties: the least doc_id of near duplicates stays.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of 2048 tokens."""
-    return packing.pack_documents(docs)
+    """The documents' pieces, with their ids, in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [
