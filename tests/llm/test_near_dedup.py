@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from ledgerlake.llm import near_dedup as nd
@@ -66,6 +67,49 @@ def test_against_brute_force(docs, seed):
     assert got(nd.near_duplicates(docs(rows))) == brute(rows)
 
 
+def test_widespread_passages_and_repeated_ids(docs):
+    """A passage that most documents share, at every part of their length, and rows of one id with different texts."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(4000)]
+    passage = [rng.choice(words) for _ in range(60)]
+    rows = [(k, " ".join([*passage, *(rng.choice(words) for _ in range(rng.choice((3, 8, 15, 20, 30, 60, 200))))])) for k in range(120)]
+    rows += [(k, " ".join([*passage[: 30 + k % 30], "end"])) for k in range(200, 230)]
+    rows += [(3, rows[50][1]), (3, " ".join(words[:40])), (500, " ".join(words[:41])), (60, None), (61, ""), (3, None)]
+    assert got(nd.near_duplicates(docs(rows))) == brute(rows)
+    kept = {d for d, _, _, keep in brute(rows) if keep}
+    assert {r["doc_id"] for r in nd.without_near_duplicates(docs(rows)).collect()} == kept
+
+
+def test_what_nodes_keep_meets_wherever_enough_coordinates_agree(spark):
+    rng = np.random.default_rng(3)
+    signatures = rng.integers(0, 6, (60, nd.COORDINATES), dtype=np.uint32)
+    for k in range(0, 60, 3):  # pairs that agree in just the threshold, one more and one less
+        some = rng.permutation(nd.COORDINATES)[: nd.THRESHOLD + k % 3 - 1]
+        signatures[k + 1, some] = signatures[k, some]
+    nodes = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(signatures)], "node long, signature binary")
+    lists = {}
+    for r in nd._merged(nd._posted(nodes)).collect():
+        lists.setdefault(r["key"], set()).add(r["node"])
+    for a in range(60):
+        for b in range(a):
+            if (signatures[a] == signatures[b]).sum() >= nd.THRESHOLD:
+                assert any({a, b} <= some for some in lists.values())
+
+
+def test_a_lower_similarity_is_refused(docs):
+    with pytest.raises(ValueError):
+        nd.near_duplicates(docs([]), 74)
+
+
+@pytest.mark.parametrize("texts", [("a" * 9, "b"), ("x y z", "x y"), (" ".join("abcd"), " ".join("abc"))])
+def test_sets_of_patterned_words(texts):
+    """Words that a polynomial hash cannot tell apart make different sets."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    x, y = (nd.shingle_sets([f"{texts[0]} {w} {texts[1]} c d e f"])[0] for w in (one, other))
+    assert len(np.intersect1d(x, y)) < len(x)
+
+
 def test_odd_rows_and_empty_table(docs, odd):
     assert got(nd.near_duplicates(odd)) == brute(ODD)
     assert nd.near_duplicates(docs([])).count() == 0
