@@ -116,11 +116,12 @@ def _shared(runs: pa.Table) -> pa.Table:
     bucket = runs.column("bucket")[0].as_py()
     keys, row = _join(runs.column("keys"), "<u4")
     blocks = runs.column("block").to_numpy()
-    order = np.argsort(keys, kind="stable")
-    keys, row = keys[order], row[order]
+    both = keys.astype(np.uint64) << np.uint64(32) | row.astype(np.uint64)  # eight bytes a key, merged in place
+    both.sort()
+    keys = (both >> np.uint64(32)).astype(np.uint32)
     same = keys[1:] == keys[:-1]
     again = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    return _by_row(bucket, blocks, row[again], keys[again], None)
+    return _by_row(bucket, blocks, (both[again] & np.uint64(0xFFFFFFFF)).astype(np.int64), keys[again], None)
 
 
 def _by_row(bucket: int, blocks: np.ndarray, row: np.ndarray, keys: np.ndarray, checks: np.ndarray | None) -> pa.Table:
@@ -220,8 +221,9 @@ def _in_pairs(found: np.ndarray, checks: np.ndarray, told: np.ndarray, told_chec
 
 
 def _growth(total: int) -> int:
-    """How many times larger blocks are than at 4 GB: as the root of the corpus, 32 at most. A block sends a row to each bucket
-    that it has windows of, so in a large corpus larger blocks and buckets keep rows from holding a key or two each."""
+    """How many times larger blocks and buckets are than at 4 GB: as the root of the corpus, 32 at most. A block sends a row to
+    each bucket that it has windows of, so in a large corpus larger ones keep rows from holding a key or two each: at 100 TB
+    a row has some ten. 32 MB of text, and 2^25 windows at eight bytes and as much again to sort, are what a task holds."""
     return min(32, max(1, math.isqrt(total >> 32)))
 
 
@@ -243,7 +245,7 @@ def remove_repeats(docs: DataFrame, index: DataFrame | None = None, width: int =
     bounded_batches(docs.sparkSession)
     blocks, total = in_blocks(docs, block_chars)
     if buckets is None:
-        buckets = max(1, -(-total // 6 // (BUCKET_WINDOWS * min(8, _growth(total)))))
+        buckets = max(1, -(-total // 6 // (BUCKET_WINDOWS * _growth(total))))
     runs = blocks.groupBy("block").applyInArrow(lambda t: _runs(t, buckets, width), RUN_SQL)
     if index is not None:
         runs = runs.unionByName(index.select("bucket", F.lit(HISTORY).cast("long").alias("block"), "keys"))
