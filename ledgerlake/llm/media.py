@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, bounded_batches, per_row, table, task, written
 
-#: Boxes that hold boxes; stsd, dref and meta have a header of their own before theirs.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+#: Boxes that hold boxes; meta has four bytes of its own before them, but in some older files. stsd and dref are read as tables.
+NESTED = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf", b"meta"}
 #: Track handlers by name.
 HANDLERS = {b"soun": "audio", b"vide": "video", b"hint": "hint", b"meta": "metadata", b"text": "text"}
 SAMPLE, RATE, PER_CHUNK, SYNC_EVERY = 64, 8000, 32, 16
@@ -92,7 +92,8 @@ def walk(data: bytes, begin: int = 0, end: int | None = None, path: tuple[bytes,
             raise ValueError(f"box {kind!r} passes its parent's end")
         yield (*path, kind), body, begin + size
         if kind in NESTED:
-            yield from walk(data, body, begin + size, (*path, kind))
+            own = 4 if kind == b"meta" and data[body + 4 : body + 8] != b"hdlr" else 0
+            yield from walk(data, min(body + own, begin + size), begin + size, (*path, kind))
         begin += size
 
 
@@ -108,10 +109,25 @@ def _ints(data: bytes, at: int, n: int, kind: str, end: int) -> tuple[int, ...]:
 
 
 def tracks(data: bytes) -> list[dict]:
-    """For each track: codec, handler, time scale, duration, sample sizes and offsets, key samples and their byte ranges."""
+    """For each track: codec, handler, time scale, duration, sample sizes and offsets, key samples and their byte ranges.
+
+    Samples of fragments follow those of the track's own tables.
+    """
     found: list[dict] = []
+    fragments: list[tuple[int, int, int, bytes]] = []
+    extends: dict[int, tuple[int, ...]] = {}
+    moof = 0
     for path, at, end in walk(data):
         kind = path[-1]
+        if kind == b"moof":
+            moof = at - 8
+        elif path[:2] == (b"moof", b"traf"):
+            fragments.append((moof, at, end, kind))
+        elif kind == b"trex":
+            number, *defaults = _ints(data, at + 4, 5, "I", end)
+            extends[number] = tuple(defaults[1:])
+        elif kind == b"tkhd" and found:
+            found[-1]["id"] = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
         if kind == b"trak":
             found.append({"codec": "", "handler": "", "scale": 0, "duration": 0})
         elif not found or path[:2] != (b"moov", b"trak"):
@@ -146,9 +162,53 @@ def tracks(data: bytes) -> list[dict]:
             track["sync"] = _ints(data, at + 8, struct.unpack_from(">I", data, at + 4)[0], "I", end)
     for track in found:
         _ranges(track, len(data))
+    _add_fragments(data, {t["id"]: t for t in found if "id" in t}, fragments, extends)
     return found
 
 
+def _add_fragments(data: bytes, tracks: dict[int, dict], boxes: list[tuple[int, int, int, bytes]], extends: dict[int, tuple[int, ...]]) -> None:
+    """Samples of track fragments: sizes, durations and flags from trun, else tfhd, else trex; offsets from the fragment's base."""
+    track, header, offset, moof_end = None, {}, 0, {}
+    for moof, at, end, kind in boxes:
+        if kind == b"tfhd":
+            flags, number = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF, struct.unpack_from(">I", data, at + 4)[0]
+            place, header = at + 8, dict(zip(("duration", "size", "flags"), extends.get(number, (0, 0, 0)), strict=True))
+            base = moof if flags & 0x20000 else moof_end.get(moof, moof)
+            for bit, name, form in ((1, "base", "Q"), (2, "description", "I"), (8, "duration", "I"), (16, "size", "I"), (32, "flags", "I")):
+                if flags & bit:
+                    (header[name],) = _ints(data, place, 1, form, end)
+                    place += struct.calcsize(form)
+            base = header.get("base", base)
+            track, offset, start = tracks.get(number), base, base
+        elif kind == b"trun" and track is not None:
+            flags, n = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF, struct.unpack_from(">I", data, at + 4)[0]
+            place = at + 8
+            if flags & 1:
+                (ahead,) = _ints(data, place, 1, "i", end)
+                offset, place = start + ahead, place + 4
+            first = header["flags"]
+            if flags & 4:
+                (first,) = _ints(data, place, 1, "I", end)
+                place += 4
+            fields = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+            table = _ints(data, place, n * len(fields), "I", end)
+            begin = offset
+            for k in range(n):
+                sample = header | dict(zip(fields, table[k * len(fields) :], strict=False))
+                marks = first if k == 0 and flags & 4 else sample["flags"]
+                if not marks & 0x10000:  # not marked as depending on others
+                    track["keys"].append((offset, sample["size"]))
+                offset += sample["size"]
+                track["ticks"] = track.get("ticks", 0) + sample["duration"]
+            if offset > len(data):
+                raise ValueError("samples pass the end of the file")
+            track["n"] = track.get("n", 0) + n
+            track["spans"].append((begin, offset - begin))
+            moof_end[moof] = offset
+    for t in tracks.values():
+        t["duration"] = t["duration"] or t.get("ticks", 0)
+
+
 def _ranges(track: dict, total: int) -> None:
     """Byte ranges of chunks and key samples, from the sample tables alone."""
     n, sizes = track.get("n", 0), track.get("sizes", ())
@@ -177,25 +237,31 @@ def _ranges(track: dict, total: int) -> None:
 
 FEATURES = pa.schema(
     [
-        ("codec", pa.string()), ("handler", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("n_keyframes", pa.int64()),
+        ("codec", pa.string()), ("handler", pa.string()), ("n_tracks", pa.int64()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("n_keyframes", pa.int64()),
         ("keyframe_ranges", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))), ("error", pa.string()),
     ]
 )
-FEATURES_SQL = "codec string, handler string, duration_s double, n_samples long, n_keyframes long, keyframe_ranges array<struct<offset:long,length:long>>, error string"
+FEATURES_SQL = "codec string, handler string, n_tracks long, duration_s double, n_samples long, n_keyframes long, keyframe_ranges array<struct<offset:long,length:long>>, error string"
 
 
 def features(data: bytes | None) -> tuple:
-    """The FEATURES of a file's first track; nulls and an error for null bytes and malformed files, never an exception."""
+    """The FEATURES of a file's first video track, else its first; nulls and an error for null bytes and malformed files, never an
+    exception."""
     try:
         if data is None:
             raise ValueError("no bytes")
-        track = next(iter(tracks(data)), None)
-        if track is None:
-            raise ValueError("no track")
+        return described(tracks(data))
     except (ValueError, struct.error, IndexError) as e:
-        return None, None, None, None, None, None, str(e)
+        return None, None, None, None, None, None, None, str(e)
+
+
+def described(found: list[dict]) -> tuple:
+    """The FEATURES of a file's tracks."""
+    if not found:
+        raise ValueError("no track")
+    track = next((t for t in found if t["handler"] == "video"), found[0])
     seconds = track["duration"] / track["scale"] if track["scale"] else None
-    return track["codec"], track["handler"], seconds, track["n"], len(track["keys"]), [{"offset": a, "length": b} for a, b in track["keys"]], None
+    return track["codec"], track["handler"], len(found), seconds, track.get("n", 0), len(track["keys"]), [{"offset": a, "length": b} for a, b in track["keys"]], None
 
 
 def media_columns(df: DataFrame, content: str, key: str) -> DataFrame:
@@ -238,11 +304,12 @@ DIGEST = pa.schema(
 
 
 def _digest(key: int, n_bytes: int, media: bytes) -> tuple:
-    got = tracks(media)[0]
+    found = tracks(media)
+    got = found[0]
     payload = b"".join(media[a : a + b] for a, b in got["spans"])
-    row = features(media)
+    row = described(found)
     ranges = hashlib.md5(repr(got["keys"]).encode()).hexdigest()
-    feature = f"{row[0].strip()}/{row[1]}/{got['scale']}Hz/{got['duration']}t/{row[3]}u/{row[4]}k/{ranges}"
+    feature = f"{row[0].strip()}/{row[1]}/{got['scale']}Hz/{got['duration']}t/{row[4]}u/{row[5]}k/{ranges}"
     return key, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, *row
 
 

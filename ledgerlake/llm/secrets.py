@@ -7,6 +7,7 @@ and joins all findings back to every path (document) that has the blob.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,28 @@ RULES = BASE + ADDED
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+#: Elements of an array that are folded together. Appending copies what is there, so a fold over many elements goes by parts.
+AT_ONCE = 500
+
+
+def _fold(items: Column, state: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """(state, out) after all items: step(state, item) gives the next state and what to append, an array, to out."""
+    none = F.array().cast(f"array<{out}>")
+    pair = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(AT_ONCE)), lambda k: F.slice(items, k + 1, F.lit(AT_ONCE)))
+
+    def one(acc: Column, x: Column) -> Column:
+        then, more = step(acc["state"], x)
+        return pair(then, F.concat(acc["out"], more))
+
+    def part(acc: Column, some: Column) -> Column:
+        folded = F.array(F.aggregate(some, pair(acc["state"], none), one))  # an array of one, so that it is folded once
+        return F.transform(folded, lambda f: pair(f["state"], F.array_append(acc["out"], f["out"])))[0]
+
+    whole = F.aggregate(parts, pair(state, F.array().cast(f"array<array<{out}>>")), part)
+    return F.transform(F.array(whole), lambda w: pair(w["state"], F.flatten(w["out"])))[0]
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans in code points. The pieces between matches and the matches themselves give every start by their lengths."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -60,14 +83,15 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     pieces = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(matches))
     steps = F.arrays_zip(pieces.alias("piece"), matches.alias("match"), groups.alias("held"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
+    none = F.array().cast(SPAN)
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["piece"])
         end = start + F.length(x["match"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.length(x["held"]) >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return end, F.when(F.length(x["held"]) >= rule.least, F.array(span)).otherwise(none)
 
-    none = F.array().cast(SPAN)
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    found = _fold(steps, F.lit(0), "struct<start:int,rank:int,end:int,kind:string>", step)["out"]
     if rule.hints:
         seen = F.lower(text) if rule.fold else text
         hinted = F.lit(False)
@@ -80,18 +104,26 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
 def _scanned(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
     """A written table with a row for each distinct text: blob, the ledger's spans before, and a column of spans for each
     rule, null where the ledger had it."""
-    blobs = docs.groupBy("blob").agg(F.first("text").alias("text"))
     none, nothing = F.array().cast(SPAN), F.array().cast("array<string>")
+    known = None
     if ledger is None:
-        blobs = blobs.withColumns({"done": nothing, "before": none})
+        blobs = docs.groupBy("blob").agg(F.first("text").alias("text")).withColumns({"done": nothing, "before": none})
     else:
         versions = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
         current = ledger.where(F.coalesce(F.element_at(versions, F.col("kind")) == F.col("version"), F.lit(False)))
         current = current.groupBy("blob").agg(F.collect_set("kind").alias("done"), F.flatten(F.collect_list("spans")).alias("before"))
-        blobs = blobs.join(current, "blob", "left").withColumns({"done": F.coalesce("done", nothing), "before": F.coalesce("before", none)})
+        # digests meet the ledger first; only texts that some rule has not seen are moved, where Spark's size check allows by
+        # sending those digests to the texts
+        here = docs.select("blob").distinct().join(current, "blob", "left").withColumns({"done": F.coalesce("done", nothing), "before": F.coalesce("before", none)})
+        here = written(here, "ledger-state")
+        unseen = here.where(F.size("done") < len(rules))
+        known = here.where(F.size("done") >= len(rules)).select("blob", "before", *[F.lit(None).cast(SPAN).alias(r.kind) for r in rules])
+        texts = docs.join(unseen.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+        blobs = texts.join(unseen, "blob")
     found = [F.when(~F.array_contains("done", r.kind), _spans(F.col("text"), r, k)).alias(r.kind) for k, r in enumerate(rules)]
+    scanned = blobs.select("blob", "before", *found)
     # written, so that a rerun finds what was scanned, and joins with it deal both of their sides anew and can split a hot blob
-    return written(blobs.select("blob", "before", *found), "scanned")
+    return written(scanned if known is None else scanned.unionByName(known), "scanned")
 
 
 def _hits(scanned: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -128,15 +160,18 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     text = F.col("text")
     scanned = _scanned(docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", _blob(text)), None, rules)
-    hits = _hits(scanned, rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.concat(F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("<SECRET:"), s["kind"], F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], mark)).alias("out"))
-
-    clean = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    hit = F.col("__spans").isNotNull()
-    joined = docs.withColumn("__blob", _blob(text)).join(hits, "__blob", "left")
+    # no column of docs can have these names
+    blob, spans = ("_".join([name, *docs.columns]) for name in ("blob", "spans"))
+    hits = _hits(scanned, rules).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        mark = F.concat(F.substr(text, at + 1, F.greatest(s["start"] - at, F.lit(0))), F.lit("<SECRET:"), s["kind"], F.lit(">"))
+        return F.greatest(at, s["end"]), F.when(s["start"] < at, F.array().cast("array<string>")).otherwise(F.array(mark))
+
+    folded = F.transform(F.array(_fold(F.col(spans), F.lit(0), "string", step)), lambda f: F.concat(F.array_join(f["out"], ""), F.substr(text, f["state"] + 1, F.length(text))))
+    clean = folded[0]
+    hit = F.col(spans).isNotNull()
+    joined = docs.withColumn(blob, _blob(text)).join(hits, blob, "left")
     fixed = joined.withColumn("text", F.when(hit, clean).otherwise(text))
     if "n_chars" in docs.columns:
         fixed = fixed.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -36,6 +36,32 @@ def test_other_forms_of_boxes_and_tables():
     assert [data[a : a + b] for a, b in track["keys"]] == [b"ABCD", b"EFG", b"HIJ"]  # no stss: all are key samples
 
 
+def test_fragments():
+    full = lambda *x: struct.pack(f">{len(x)}I", *x)
+    stbl = box(b"stbl", box(b"stsd", full(0, 1) + box(b"avc1", bytes(70))) + box(b"stts", full(0, 0)) + box(b"stsc", full(0, 0)) + box(b"stsz", full(0, 0, 0)) + box(b"stco", full(0, 0)))
+    tkhd = lambda n: box(b"tkhd", full(0, 0, 0, n) + bytes(64))
+    mdia = lambda h: box(b"mdia", box(b"mdhd", full(0, 0, 0, 1000, 0) + bytes(4)) + box(b"hdlr", bytes(8) + h + bytes(12)) + box(b"minf", stbl))
+    trex = lambda n: box(b"trex", full(0, n, 1, 40, 3, 0x10000))
+    moov = box(b"moov", box(b"trak", tkhd(1) + mdia(b"soun")) + box(b"trak", tkhd(2) + mdia(b"vide")) + box(b"mvex", trex(1) + trex(2)) + box(b"meta", full(0) + box(b"hdlr", bytes(24))))
+
+    def moof(where):
+        # track 2: sizes of its own, the first sample a key one; track 1: all defaults of trex, after it
+        two = box(b"traf", box(b"tfhd", full(0x20000, 2)) + box(b"trun", full(0x205, 3, where, 0, 2, 4, 1)))
+        one = box(b"traf", box(b"tfhd", full(0x20020, 1, 0)) + box(b"trun", full(0x1, 2, where + 7)))
+        return box(b"moof", box(b"mfhd", full(0, 1)) + two + one)
+
+    size = len(moof(0))
+    part = moof(size + 8) + box(b"mdat", b"AABBBBCdddeee")
+    data = moov + part + part
+    sound, video = media.tracks(data)
+    read = lambda spans: [data[a : a + b] for a, b in spans]
+    assert (video["n"], video["duration"], read(video["keys"]), read(video["spans"])) == (6, 240, [b"AA", b"AA"], [b"AABBBBC"] * 2)
+    assert (sound["n"], read(sound["keys"]), read(sound["spans"])) == (4, [b"ddd", b"eee"] * 2, [b"dddeee"] * 2)
+    row = media.features(data)
+    assert row[:6] == ("avc1", "video", 2, 0.24, 6, 2) and row[7] is None
+    assert media.features(data[:-1] if len(data) else data)[7] is not None
+
+
 def test_malformed_files_give_errors(spark):
     good = media.build_container(bytes(640))
     rows = [(1, good), (2, None), (3, b""), (4, b"\0\0\0\4moov"), (5, good[:-9]), (6, b"junk" * 30), (7, good[:700])]
