@@ -52,9 +52,11 @@ def conflicting_keys(arrivals: DataFrame) -> DataFrame:
 
 def replay_evidence(arrivals: DataFrame) -> DataFrame:
     """Counts of admitted, repeated and conflicting arrivals, and whether a replay is safe; counted, not assumed."""
-    d = classify_arrivals(arrivals)
-    count = lambda x: F.count_if(F.col("disposition") == x)
-    return d.agg(count("admitted").alias("unique_transactions"), count("duplicate").alias("duplicate_transactions"), count("conflict").alias("conflicts"), (count("conflict") == 0).alias("replay_safe"))
+    sums = arrivals.groupBy(*TRANSACTION, "envelope_checksum").agg(F.count("*").alias("n"), F.min("arrival_seq").alias("first"))
+    per = sums.groupBy(*TRANSACTION).agg(F.sum("n").alias("n"), F.min_by("n", "first").alias("same"))  # those of the first arrival's checksum
+    zero = F.lit(0).cast("long")
+    out = per.agg(F.count("*").alias("unique_transactions"), F.coalesce(F.sum(F.col("same") - 1), zero).alias("duplicate_transactions"), F.coalesce(F.sum(F.col("n") - F.col("same")), zero).alias("conflicts"))
+    return out.withColumn("replay_safe", F.col("conflicts") == 0)
 
 
 def not_applied(envelopes: DataFrame, applied: DataFrame) -> DataFrame:
@@ -62,9 +64,34 @@ def not_applied(envelopes: DataFrame, applied: DataFrame) -> DataFrame:
     return envelopes.join(applied.select(*TRANSACTION), TRANSACTION, "left_anti")
 
 
+def admission(envelopes: DataFrame, dataset: str, required: DataFrame | None = None) -> DataFrame:
+    """envelopes with admission: skipped (of another dataset; these are counted), out_of_scope (of a source that a non-empty
+    required set lacks; passed over in silence) or admitted."""
+    rows, outside = envelopes, F.lit(False)
+    if required is not None:
+        rows = rows.join(required.select("source_id").distinct().withColumn("wanted", F.lit(True)), "source_id", "left")
+        outside = F.col("wanted").isNull() & F.lit(bool(required.take(1)))
+    code = F.when(~F.col("dataset_id").eqNullSafe(F.lit(dataset)), "skipped").when(outside, "out_of_scope").otherwise("admitted")
+    return rows.withColumn("admission", code).drop("wanted")
+
+
 # -- rollups --------------------------------------------------------------------------------------
 
 
+def transactions(changes: DataFrame) -> DataFrame:
+    """The one aggregate that rollups of an epoch share: a row for each transaction and relation, with its changes (n) and checksum.
+
+    epoch_totals, epoch_sources, epoch_tables and data_files read changes or this alike; staged, it is made once for all.
+    """
+    one = changes.groupBy("epoch_id", *TRANSACTION, "commit_lsn", "relation").agg(F.count("*").alias("n"), F.first("envelope_checksum").alias("envelope_checksum"))
+    return one
+
+
+def _events(rows: DataFrame) -> Column:
+    """How many changes some rows of changes, or of transactions, stand for."""
+    return F.sum("n") if "n" in rows.columns else F.count("*")
+
+
 def lsn_window(column: str = "commit_lsn") -> list[Column]:
     """First and last LSN by number, as they were spelt."""
     return [F.min_by(column, "lsn").alias("first_lsn"), F.max_by(column, "lsn").alias("last_lsn")]
@@ -72,14 +99,14 @@ def lsn_window(column: str = "commit_lsn") -> list[Column]:
 
 def epoch_totals(changes: DataFrame) -> DataFrame:
     """Per epoch: transactions, changes, and the XOR of checksums, each transaction's once."""
-    one = changes.groupBy("epoch_id", *TRANSACTION).agg(F.count("*").alias("n"), F.first("envelope_checksum").alias("sum"))
+    one = changes.groupBy("epoch_id", *TRANSACTION).agg(_events(changes).alias("n"), F.first("envelope_checksum").alias("sum"))
     return one.groupBy("epoch_id").agg(F.count("*").alias("transaction_count"), F.sum("n").alias("change_count"), F.bit_xor("sum").alias("checksum_rollup"))
 
 
 def epoch_sources(changes: DataFrame) -> DataFrame:
     """Per source: transactions, changes, checksum rollup and LSN window. An envelope has one spelling of its LSN, so that
     is part of the key, and the level that reads all changes is a hash aggregate without strings to carry."""
-    one = changes.groupBy("epoch_id", *TRANSACTION, "commit_lsn").agg(F.count("*").alias("n"), F.first("envelope_checksum").alias("sum"))
+    one = changes.groupBy("epoch_id", *TRANSACTION, "commit_lsn").agg(_events(changes).alias("n"), F.first("envelope_checksum").alias("sum"))
     return one.groupBy("epoch_id", "source_id").agg(F.count("*").alias("transaction_count"), F.sum("n").alias("change_count"), F.bit_xor("sum").alias("checksum_rollup"), *lsn_window())
 
 
@@ -88,7 +115,7 @@ def epoch_tables(changes: DataFrame, per_change: bool = False) -> DataFrame:
     keys = ["epoch_id", "relation"]
     if per_change:
         return changes.groupBy(*keys).agg(F.countDistinct(F.struct(*TRANSACTION)).alias("transaction_count"), F.count("*").alias("change_count"), F.bit_xor("envelope_checksum").alias("checksum_rollup"))
-    one = changes.groupBy(*keys, *TRANSACTION).agg(F.count("*").alias("n"), F.first("envelope_checksum").alias("sum"))
+    one = changes.groupBy(*keys, *TRANSACTION).agg(_events(changes).alias("n"), F.first("envelope_checksum").alias("sum"))
     return one.groupBy(*keys).agg(F.count("*").alias("transaction_count"), F.sum("n").alias("change_count"), F.bit_xor("sum").alias("checksum_rollup"))
 
 
@@ -105,7 +132,7 @@ def data_files(changes: DataFrame, dataset: str = "retail", buckets: int = BUCKE
     Three levels: transactions, then sources, then buckets; the bucket's hash is computed for sources only, not for changes.
     """
     keys = ["epoch_id", "relation"]
-    one = changes.groupBy(*keys, *TRANSACTION, "commit_lsn").agg(F.count("*").alias("n"), F.first("envelope_checksum").alias("sum"))
+    one = changes.groupBy(*keys, *TRANSACTION, "commit_lsn").agg(_events(changes).alias("n"), F.first("envelope_checksum").alias("sum"))
     per = one.groupBy(*keys, "source_id").agg(F.count("*").alias("t"), F.sum("n").alias("n"), F.bit_xor("sum").alias("sum"), *lsn_window(), F.min("lsn").alias("low"), F.max("lsn").alias("high"))
     files = per.withColumn("source_bucket", hashing.bucket(F.col("source_id"), buckets)).groupBy(*keys, "source_bucket").agg(
         F.array_join(F.sort_array(F.collect_set("source_id")), ",").alias("source_ids"), F.sum("t").alias("transaction_count"), F.sum("n").alias("change_count"), F.bit_xor("sum").alias("checksum_rollup"),
@@ -162,7 +189,7 @@ def epoch_summary(changes: DataFrame, required: DataFrame, quarantined: DataFram
     """One row for each epoch: totals, completeness, state and verification."""
     totals = epoch_totals(changes)
     epochs = totals.select("epoch_id")
-    need = required.select("source_id").crossJoin(F.broadcast(epochs))  # the required set is a configuration, an epoch one row
+    need = required.select("source_id").crossJoin(epochs)  # each epoch answers for each required source
     seen = changes.select("epoch_id", "source_id").distinct().withColumn("seen", F.lit(True))
     states = need.join(seen, ["epoch_id", "source_id"], "left").join(quarantined.select("source_id", F.lit(True).alias("bad")), "source_id", "left")
     state = F.when(F.col("bad"), "quarantined").when(F.col("seen"), "complete").otherwise("missing")
@@ -241,16 +268,24 @@ def gated(raw: DataFrame, epochs: DataFrame, verification: DataFrame, epoch_id:
 
 
 def consumer_decision(epochs: DataFrame, accept_gaps: bool = False) -> DataFrame:
-    """decision and the first reason against it of the full gate; epochs carry counts, state, policy and verification."""
+    """decision and the first reason against it of the full gate: identity, boundary, rollups, completeness, state,
+    verification's counts, gaps, verification.
+
+    epochs carry their counts, state, policy and manifest_digest, and their verification row's epoch
+    (verification_epoch_id), id, counts (verified_required_source_count, verified_missing_source_count) and status.
+    """
     counts = F.col("complete_source_count") + F.col("missing_source_count") + F.col("quarantined_source_count")
     expected = epoch_state(F.col("missing_source_count"), F.col("quarantined_source_count"), F.col("policy"))
     ladder = [
         (~names.clean(F.col("epoch_id")), "identity"),
+        (~F.coalesce(F.col("manifest_digest").rlike("^[0-9a-f]{64}$"), F.lit(False)), "manifest_digest"),
         (F.col("verification_id") != verification_id(F.lit("retail"), F.col("epoch_id"), F.col("checksum_rollup")), "verification_identity"),
+        (~F.col("verification_epoch_id").eqNullSafe(F.col("epoch_id")), "boundary"),
         (counts != F.col("required_source_count"), "rollup"),
         ((F.col("state") == "complete") & ((F.col("required_source_count") == 0) | (F.col("missing_source_count") > 0)), "completeness"),
         (F.col("state") != expected, "state"),
         (F.col("transaction_count") == 0, "empty"),
+        ((F.col("verified_required_source_count") != F.col("required_source_count")) | (F.col("verified_missing_source_count") != F.col("missing_source_count")), "verification_counts"),
         (~F.col("state").isin("complete", "complete_with_gaps"), "not_consumable_state"),
         ((F.col("state") == "complete_with_gaps") & F.lit(not accept_gaps), "gaps_not_accepted"),
         (F.col("checksum_status") != "match", "verification"),
@@ -320,14 +355,31 @@ def receipts_status(files: DataFrame, receipts: DataFrame) -> DataFrame:
 
 
 def epoch_metadata_violations(epochs: DataFrame, sources: DataFrame, tables: DataFrame, partitions: DataFrame) -> DataFrame:
-    """Ledger rows against each other: repeated rows, partitions of unknown sources, and rollups that don't add up."""
-    twice = lambda df, *k: df.groupBy(*k).count().where("count > 1").select("epoch_id", F.lit("duplicate_row").alias("violation"), F.concat_ws(":", *k[1:]).alias("subject"))
-    orphan = partitions.join(sources.select("epoch_id", "source_id"), ["epoch_id", "source_id"], "left_anti").select("epoch_id", F.lit("orphan_partition").alias("violation"), F.col("source_id").alias("subject")).distinct()
-    rolled = sources.groupBy("epoch_id").agg(F.sum("transaction_count").alias("t"), F.sum("change_count").alias("c"), F.bit_xor("checksum_rollup").alias("x"))
-    bad = epochs.join(rolled, "epoch_id", "left").select("epoch_id", F.explode(F.array_compact(F.array(
-        F.when(~F.col("t").eqNullSafe(F.col("transaction_count")), "transactions"), F.when(~F.col("c").eqNullSafe(F.col("change_count")), "changes"), F.when(~F.col("x").eqNullSafe(F.col("checksum_rollup")), "checksum")
-    ))).alias("subject")).select("epoch_id", F.lit("rollup").alias("violation"), "subject")
-    return twice(sources, "epoch_id", "source_id").unionByName(twice(tables, "epoch_id", "relation")).unionByName(orphan).unionByName(bad)
+    """(epoch_id, violation, subject) of ledger rows: blank fields, windows, repeated rows, unknown epochs and sources, rollups.
+
+    sources: epoch_id, source_id, first_lsn, last_lsn and rollups; tables: epoch_id, relation, change_count; partitions:
+    epoch_id, source_id, partition_id, first_lsn, last_lsn, event_count; epochs: epoch_id, transaction_count, change_count,
+    checksum_rollup. Rollups of a kind without a row in an epoch are not compared.
+    """
+    found = lambda df, code, subject: df.select("epoch_id", F.lit(code).alias("violation"), subject.cast("string").alias("subject"))
+    kinds = [("source", sources, ["source_id"]), ("table", tables, ["relation"]), ("partition", partitions, ["source_id", "partition_id"])]
+    known, out = epochs.select("epoch_id"), []
+    for kind, df, keys in kinds:
+        name = F.concat_ws(":", F.lit(kind), *[F.col(k).cast("string") for k in keys])
+        out.append(found(df.groupBy("epoch_id", *keys).count().where("count > 1"), "duplicate_row", name))
+        out.append(found(df.where(~names.clean(F.col("epoch_id")) | ~names.clean(F.col(keys[0]))), "unclean_field", name))
+        out.append(found(df.join(known, "epoch_id", "left_anti"), "epoch_boundary", name))
+        if "first_lsn" in df.columns:
+            first, last = lsn.parse(F.col("first_lsn")), lsn.parse(F.col("last_lsn"))
+            out.append(found(df.where(~F.coalesce((first > 0) & (first <= last), F.lit(False))), "lsn_window", name))
+    orphan = partitions.join(sources.select("epoch_id", "source_id"), ["epoch_id", "source_id"], "left_anti")
+    out.append(found(orphan.select("epoch_id", "source_id").distinct(), "orphan_partition", F.col("source_id")))
+    total = lambda df, n, *more: df.groupBy("epoch_id").agg(F.sum(n).alias("c"), *more)
+    of_sources = total(sources, "change_count", F.sum("transaction_count").alias("t"), F.bit_xor("checksum_rollup").alias("x"))
+    for kind, df, fields in (("source", of_sources, {"t": "transaction_count", "c": "change_count", "x": "checksum_rollup"}), ("table", total(tables, "change_count"), {"c": "change_count"}), ("partition", total(partitions, "event_count"), {"c": "change_count"})):
+        differs = F.array_compact(F.array(*[F.when(~F.col(a).eqNullSafe(F.col(b)), F.lit(f"{kind}:{b}")) for a, b in fields.items()]))
+        out.append(found(epochs.join(df, "epoch_id").select("epoch_id", F.explode(differs).alias("which")), "rollup", F.col("which")))
+    return reduce(DataFrame.unionByName, out)
 
 
 # -- maintenance ----------------------------------------------------------------------------------

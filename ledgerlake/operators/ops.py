@@ -11,6 +11,7 @@ RULES = [
     ("restart_ahead", 10, False, "restart_lsn > confirmed_lsn"), ("wal_unreserved", 20, False, "wal_status = 'unreserved'"), ("safe_wal_exhausted", 20, False, "safe_wal_bytes <= 0"), ("low_headroom", 20, False, "headroom_seconds <= 86400"),
     ("unsafe_tables", 25, True, "unsafe_tables > 0"), ("table_notes", 5, False, "table_notes > 0"), ("conflicts", 35, True, "conflicts > 0"), ("apply_errors", 15, False, "apply_errors > 0"),
     ("wraparound_critical", 35, True, "wraparound_percent >= 90"), ("wraparound", 20, False, "wraparound_percent >= 75 AND wraparound_percent < 90"), ("xmin_pinned", 20, False, "xmin_pinners > 0"), ("failover_disabled", 15, False, "NOT failover"),
+    ("failover_not_synced", 15, False, "failover AND NOT failover_synced"), ("inspection_incomplete", 10, False, "NOT inspection_complete"),
 ]
 
 

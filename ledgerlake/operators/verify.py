@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions import hashing, lsn
+from ledgerlake.functions import hashing, lsn, names
 
 SAMPLE = 20
 
@@ -70,3 +70,35 @@ def fan_in_compare(stream: DataFrame, lake: DataFrame, keys: list[str], fields:
     rows = s.join(t, keys, "full_outer").select(*keys, F.explode(F.array(*map(F.lit, fields))).alias("field"), "s", "t")
     rows = rows.select(*keys, "field", F.col("s")[F.col("field")].alias("stream_value"), F.col("t")[F.col("field")].alias("lake_value"))
     return rows.where(~F.col("stream_value").eqNullSafe(F.col("lake_value"))).withColumn("severity", F.when(F.col("field").isin(*warnings), "warning").otherwise("blocker"))
+
+
+def consistency_violations(epochs: DataFrame, sources: DataFrame, partitions: DataFrame) -> DataFrame:
+    """(epoch_id, violation, subject) of an epoch summary against itself, before it is compared with another.
+
+    epochs: epoch_id, state and source counts; sources: epoch_id, source_id, state, commit_lsn; partitions: epoch_id,
+    source_id, partition_id, first_lsn, last_lsn.
+    """
+    c = F.col
+    counts = c("complete_source_count") + c("missing_source_count") + c("quarantined_source_count")
+    per = sources.groupBy("epoch_id").agg(
+        F.count("*").alias("n"), F.count_if(c("state") == "complete").alias("s_complete"), F.count_if(c("state").isin("missing", "lagging")).alias("s_missing"), F.count_if(c("state") == "quarantined").alias("s_quarantined")
+    )
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    rows = epochs.join(per, "epoch_id", "left")
+    clean = (c("missing_source_count") == 0) & (c("quarantined_source_count") == 0) & (c("complete_source_count") == c("required_source_count"))
+    state = (
+        F.when(c("state") == "complete", clean).when(c("state") == "complete_with_gaps", (c("missing_source_count") > 0) & (c("quarantined_source_count") == 0)).when(c("state") == "quarantined", c("quarantined_source_count") > 0).otherwise(True)
+    )
+    rollup = (zero("s_complete") == c("complete_source_count")) & (zero("s_missing") == c("missing_source_count")) & (zero("s_quarantined") == c("quarantined_source_count"))
+    codes = F.array_compact(F.array(
+        F.when(counts != c("required_source_count"), F.lit("source_counts")), F.when(zero("n") != c("required_source_count"), F.lit("source_rows")), F.when(~rollup, F.lit("source_rollup")), F.when(~state, F.lit("state")),
+    ))
+    head = rows.select("epoch_id", F.explode(codes).alias("violation"), F.lit("").alias("subject"))
+    bad_lsn = sources.where(c("commit_lsn").isNotNull() & ~F.coalesce(lsn.parse(c("commit_lsn")) > 0, F.lit(False))).select("epoch_id", F.lit("source_lsn").alias("violation"), c("source_id").alias("subject"))
+    name = F.concat_ws(":", "source_id", c("partition_id").cast("string"))
+    first, last = lsn.parse(c("first_lsn")), lsn.parse(c("last_lsn"))
+    window = F.coalesce((first > 0) & (first <= last), F.lit(False))
+    each = F.array_compact(F.array(F.when(~names.clean(c("source_id")), F.lit("partition_source")), F.when(~window, F.lit("partition_window"))))
+    of_partitions = partitions.select("epoch_id", F.explode(each).alias("violation"), name.alias("subject"))
+    twice = partitions.groupBy("epoch_id", "source_id", "partition_id").count().where("count > 1").select("epoch_id", F.lit("repeated_partition").alias("violation"), name.alias("subject"))
+    return head.unionByName(bad_lsn).unionByName(of_partitions).unionByName(twice)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["source_id", "relation", "record_key"]
@@ -46,24 +46,42 @@ def versions(changes: DataFrame) -> DataFrame:
     return seq.where("operation <> 'delete'")
 
 
-def _later(a: str, b: str, equal: bool = False) -> Column:
-    x, y = F.struct(F.col(f"{a}.lsn"), F.col(f"{a}.total_order")), F.struct(F.col(f"{b}.lsn"), F.col(f"{b}.total_order"))
-    return x >= y if equal else x > y
+VERSION = [*KEY, "epoch_id", "transaction_id", "lsn", "total_order", "valid_from", "valid_to", "is_current", "idempotency_key", "close_epoch_id", "payload"]
 
 
-VERSION = [*KEY, "epoch_id", "transaction_id", "lsn", "total_order", "valid_from", "valid_to", "is_current", "idempotency_key", "close_epoch_id", "payload"]
+def next_existing(opened: DataFrame, target: DataFrame) -> DataFrame:
+    """opened with next_existing: the least valid_from of target's versions of its record that come later in the log.
+
+    Both sides go through one window a record, later rows first; a running minimum takes the place of a join by range. Of
+    equal positions the opened row comes first, so that only later ones count.
+    """
+    rest = [c for c in opened.columns if c not in KEY]
+    mine = opened.select(*KEY, "lsn", "total_order", F.lit(0).alias("side"), F.lit(None).cast("long").alias("valid_from"), F.struct(*rest).alias("row"))
+    theirs = target.select(*KEY, "lsn", "total_order", F.lit(1).alias("side"), F.col("valid_from"), F.lit(None).cast(mine.schema["row"].dataType).alias("row"))
+    by = Window.partitionBy(*KEY).orderBy(F.desc("lsn"), F.desc("total_order"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = mine.unionByName(theirs).withColumn("next_existing", F.min("valid_from").over(by))
+    return both.where("side = 0").select(*KEY, "row.*", "next_existing").select(*opened.columns, "next_existing")
 
 
-def merge_versions(target: DataFrame, changes: DataFrame) -> DataFrame:
+def merge_versions(target: DataFrame, changes: DataFrame, straddling: bool = False) -> DataFrame:
     """target (VERSION) after an epoch's changes.
 
-    Current versions of other epochs close at a record's first later change; new versions open unless their idempotency key
-    is there already, up to their next change in the epoch or the next version in the target, whichever is earlier. So a
-    replayed epoch changes nothing, and an older one that comes late fits in between.
+    Current versions of other epochs close at a record's first change of the epoch where that is later than they are; new
+    versions open unless their idempotency key is there already, up to their next change in the epoch or the next version
+    in the target, whichever is earlier. So a replayed epoch changes nothing, and an older one that comes late fits in
+    between. A version amid an epoch's changes, whose first change is earlier and another later, stays current beside the
+    last one that opens; with straddling it closes at the first change that is later than it is.
     """
     mine = usable(changes).select(*KEY, "epoch_id", "transaction_id", "lsn", "total_order", "commit_timestamp_ms", "operation", "idempotency_key", "payload")
-    first = mine.groupBy(*KEY).agg(F.min_by(F.struct("epoch_id", "lsn", "total_order", "commit_timestamp_ms"), F.struct("lsn", "total_order")).alias("first"))
-    t = target.alias("t").join(first, KEY, "left")
+    change = F.struct("epoch_id", "lsn", "total_order", "commit_timestamp_ms")
+    if straddling:
+        by = Window.partitionBy(*KEY).orderBy(F.desc("lsn"), F.desc("total_order"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        theirs = target.select(*KEY, "lsn", "total_order", F.lit(0).alias("side"), F.lit(None).cast("struct<epoch_id:string,lsn:bigint,total_order:int,commit_timestamp_ms:bigint>").alias("change"), F.struct(*[c for c in VERSION if c not in KEY]).alias("row"))
+        both = theirs.unionByName(mine.select(*KEY, "lsn", "total_order", F.lit(1).alias("side"), change.alias("change"), F.lit(None).cast(theirs.schema["row"].dataType).alias("row")))
+        t = both.withColumn("first", F.last("change", ignorenulls=True).over(by)).where("side = 0").select(*KEY, "row.*", "first")
+    else:
+        first = mine.groupBy(*KEY).agg(F.min_by(change, F.struct("lsn", "total_order")).alias("first"))
+        t = target.join(first, KEY, "left")
     closes = F.col("is_current") & F.col("first").isNotNull() & (F.col("epoch_id") != F.col("first.epoch_id")) & (F.struct("first.lsn", "first.total_order") > F.struct("lsn", "total_order"))
     closes = F.coalesce(closes, F.lit(False))
     kept = t.select(
@@ -71,8 +89,7 @@ def merge_versions(target: DataFrame, changes: DataFrame) -> DataFrame:
         (F.col("is_current") & ~closes).alias("is_current"), "idempotency_key", F.when(closes, F.col("first.epoch_id")).otherwise(F.col("close_epoch_id")).alias("close_epoch_id"), "payload",
     )
     opened = versions(mine).join(target.select(*KEY, "idempotency_key"), [*KEY, "idempotency_key"], "left_anti")
-    later = opened.alias("n").join(target.alias("t"), KEY).where(_later("t", "n")).groupBy(F.col("n.idempotency_key").alias("idempotency_key"), *KEY).agg(F.min("t.valid_from").alias("next_existing"))
-    opened = opened.join(later, [*KEY, "idempotency_key"], "left")
+    opened = next_existing(opened, target)
     end = F.least("next_ts", "next_existing")  # nulls don't count
     return kept.unionByName(
         opened.select(*KEY, "epoch_id", "transaction_id", "lsn", "total_order", F.col("commit_timestamp_ms").alias("valid_from"), end.alias("valid_to"), end.isNull().alias("is_current"), "idempotency_key", F.lit(None).cast("string").alias("close_epoch_id"), "payload")

@@ -14,15 +14,14 @@ INPUTS = {
         FROM {changes} GROUP BY epoch_id, source_id, transaction_id, lsn, commit_lsn, partition_id""",
     # current state: targets that hold an earlier and a later part of the log, so that changes win, lose and tie
     "log": "SELECT source_id, relation, record_key, operation, epoch_id, transaction_id, lsn, commit_timestamp_ms, total_order, idempotency_key, concat(status, ':', CAST(amount AS STRING)) AS payload FROM {changes}",
-    "old_log": "SELECT * FROM {log} WHERE relation = 'public.events' AND lsn % 48 = 0 AND operation <> 'delete'",
-    "target": """SELECT source_id, relation, record_key, 'epoch-0' AS epoch_id, transaction_id, CASE WHEN CAST(record_key AS BIGINT) % 5 = 0 THEN lsn + 100000000 ELSE lsn END AS lsn, commit_timestamp_ms, total_order, idempotency_key, payload
+    "old_log": "SELECT * FROM {log} WHERE lsn % 48 = 0 AND operation <> 'delete'",
+    "target": """SELECT source_id, relation, record_key, 'epoch-0' AS epoch_id, transaction_id, CASE WHEN ascii(right(record_key, 1)) % 5 = 0 THEN lsn + 100000000 ELSE lsn END AS lsn, commit_timestamp_ms, total_order, idempotency_key, payload
         FROM (SELECT *, row_number() OVER (PARTITION BY source_id, relation, record_key ORDER BY lsn, total_order) AS k FROM {old_log}) t WHERE k = 1""",
-    "event_log": "SELECT * FROM {log} WHERE relation = 'public.events'",
     "versions_before": """SELECT source_id, relation, record_key, 'epoch-0' AS epoch_id, concat('before-', record_key) AS transaction_id,
-        CASE WHEN CAST(record_key AS BIGINT) % 3 = 0 THEN lsn + 8 ELSE lsn - 8 END AS lsn, 1 AS total_order,
-        CASE WHEN CAST(record_key AS BIGINT) % 3 = 0 THEN commit_timestamp_ms + 1 - CASE WHEN CAST(record_key AS BIGINT) % 6 = 0 THEN 9999999 ELSE 0 END ELSE commit_timestamp_ms - 60000 END AS valid_from, CAST(NULL AS BIGINT) AS valid_to, true AS is_current,
+        CASE WHEN ascii(right(record_key, 1)) % 3 = 0 THEN lsn + 8 ELSE lsn - 8 END AS lsn, 1 AS total_order,
+        CASE WHEN ascii(right(record_key, 1)) % 3 = 0 THEN commit_timestamp_ms + 1 - CASE WHEN ascii(right(record_key, 1)) % 6 = 0 THEN 9999999 ELSE 0 END ELSE commit_timestamp_ms - 60000 END AS valid_from, CAST(NULL AS BIGINT) AS valid_to, true AS is_current,
         concat('before:', record_key) AS idempotency_key, CAST(NULL AS STRING) AS close_epoch_id, payload
-        FROM (SELECT *, row_number() OVER (PARTITION BY source_id, relation, record_key ORDER BY lsn, total_order) AS k FROM {event_log}) t WHERE k = CASE WHEN CAST(record_key AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY source_id, relation, record_key ORDER BY lsn, total_order) AS k FROM {log}) t WHERE k = CASE WHEN ascii(right(record_key, 1)) % 3 = 0 THEN 2 ELSE 1 END""",
     # verification
     "customer_target": """SELECT c_custkey, c_name, c_nationkey, c_mktsegment, CAST(floor(c_acctbal) AS BIGINT) + CASE WHEN c_custkey % 37 = 0 THEN 1 ELSE 0 END AS balance FROM {customer} WHERE c_custkey % 50 <> 0
         UNION ALL SELECT c_custkey + 1000000, c_name, c_nationkey, c_mktsegment, CAST(0 AS BIGINT) FROM {customer} WHERE c_custkey % 61 = 0""",
@@ -60,7 +59,7 @@ INPUTS = {
     "slots": """SELECT concat('source-', CAST(s_suppkey AS STRING)) AS source_id, s_suppkey % 29 <> 0 AS slot_present, CASE WHEN s_suppkey % 23 = 0 THEN 'other' ELSE 'pgoutput' END AS plugin, s_suppkey % 31 = 0 AS invalidated,
         CASE s_suppkey % 17 WHEN 0 THEN 'lost' WHEN 1 THEN 'unreserved' ELSE 'reserved' END AS wal_status, s_suppkey * 10 AS restart_lsn, s_suppkey * 10 + 5 - CASE WHEN s_suppkey % 13 = 0 THEN 9 ELSE 0 END AS confirmed_lsn,
         s_suppkey % 19 - 1 AS safe_wal_bytes, (s_suppkey % 11) * 20000 AS headroom_seconds, CASE WHEN s_suppkey % 12 = 0 THEN 2 ELSE 0 END AS unsafe_tables, s_suppkey % 2 AS table_notes, CASE WHEN s_suppkey % 37 = 0 THEN 1 ELSE 0 END AS conflicts,
-        CASE WHEN s_suppkey % 10 = 0 THEN 1 ELSE 0 END AS apply_errors, s_suppkey % 100 AS wraparound_percent, CASE WHEN s_suppkey % 9 = 0 THEN 1 ELSE 0 END AS xmin_pinners, s_suppkey % 3 <> 0 AS failover, s_suppkey % 4 <> 0 AS active FROM {supplier}""",
+        CASE WHEN s_suppkey % 10 = 0 THEN 1 ELSE 0 END AS apply_errors, s_suppkey % 100 AS wraparound_percent, CASE WHEN s_suppkey % 9 = 0 THEN 1 ELSE 0 END AS xmin_pinners, s_suppkey % 3 <> 0 AS failover, s_suppkey % 14 <> 1 AS failover_synced, s_suppkey % 21 <> 2 AS inspection_complete, s_suppkey % 4 <> 0 AS active FROM {supplier}""",
     "wal_samples": """SELECT concat('source-', CAST(o_custkey % 30 AS STRING)) AS source_id, o_orderkey AS seq, o_orderkey * 4096 - CASE WHEN o_orderkey % 53 = 0 THEN 900000000 ELSE 0 END AS lsn, o_orderkey * 2 AS seconds, (o_orderkey % 50) * 1000000 AS safe_bytes FROM {orders}""",
     "relations": """SELECT concat('public.p', CAST(p_partkey AS STRING)) AS relation, CASE p_partkey % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'full' WHEN 2 THEN 'index' ELSE 'nothing' END AS replica_identity, p_partkey % 3 <> 0 AS has_primary_key, p_partkey % 5 AS wide_columns, p_partkey * 7 AS fingerprint FROM {part}""",
     "relations_after": "SELECT relation, replica_identity, has_primary_key, wide_columns, CASE WHEN fingerprint % 77 = 0 THEN fingerprint + 1 ELSE fingerprint END AS fingerprint FROM {relations}",
@@ -75,7 +74,9 @@ INPUTS = {
         FROM (SELECT CAST(substr(transaction_id, 4) AS BIGINT) AS event_id, commit_lsn, lsn FROM {changes} WHERE relation = 'public.events') t""",
     "epoch_rows": """SELECT concat('epoch-', CAST(c_custkey AS STRING)) AS epoch_id, 10 AS required_source_count, 10 - m - q + CASE WHEN c_custkey % 17 = 0 THEN 1 ELSE 0 END AS complete_source_count, m AS missing_source_count, q AS quarantined_source_count,
         policy, CASE WHEN c_custkey % 7 = 0 THEN 'complete' WHEN q > 0 THEN 'quarantined' WHEN m = 0 THEN 'complete' WHEN policy = 'publish_with_gaps' THEN 'complete_with_gaps' ELSE 'open' END AS state, c_custkey % 11 AS transaction_count,
-        c_custkey * 1000003 AS checksum_rollup, CASE WHEN c_custkey % 13 = 0 THEN 'mismatch' ELSE 'match' END AS checksum_status, c_custkey % 19 = 0 AS misnamed
+        c_custkey * 1000003 AS checksum_rollup, CASE WHEN c_custkey % 13 = 0 THEN 'mismatch' ELSE 'match' END AS checksum_status, c_custkey % 19 = 0 AS misnamed,
+        concat('epoch-', CAST(c_custkey + CASE WHEN c_custkey % 23 = 0 THEN 1 ELSE 0 END AS STRING)) AS verification_epoch_id, CASE WHEN c_custkey % 29 = 0 THEN 'ab12' WHEN c_custkey % 31 = 0 THEN repeat('XY', 32) ELSE repeat('0f', 32) END AS manifest_digest,
+        10 + CASE WHEN c_custkey % 37 = 0 THEN 1 ELSE 0 END AS verified_required_source_count, m + CASE WHEN c_custkey % 41 = 0 THEN 1 ELSE 0 END AS verified_missing_source_count
         FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END AS m, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS q, CASE WHEN c_custkey % 2 = 0 THEN 'publish_with_gaps' ELSE 'wait_all_required' END AS policy FROM {customer}) t""",
     "runtime": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'starting' WHEN 1 THEN 'running' WHEN 2 THEN 'draining' WHEN 3 THEN 'stopped' ELSE 'failed' END AS phase,
         CASE user_id % 5 WHEN 0 THEN 'ready' WHEN 1 THEN 'degraded' WHEN 2 THEN 'backpressured' WHEN 3 THEN 'blocked' ELSE 'not_ready' END AS readiness, event_id % 2 = 0 AS accepting_work,
@@ -86,4 +87,39 @@ INPUTS = {
     "subtransactions": """SELECT concat('ord-', CAST(l_orderkey AS STRING)) AS transaction_id, l_linenumber * 10 + 0 AS total_order, CAST(l_suppkey % 3 AS INT) AS subtransaction_id, l_partkey AS payload FROM (SELECT l_orderkey, l_suppkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS l_linenumber FROM {lineitem}) t""",
     "commits": "SELECT concat('ord-', CAST(o_orderkey AS STRING)) AS transaction_id FROM {orders} WHERE o_orderkey % 10 <> 0",
     "aborted": """SELECT concat('ord-', CAST(o_orderkey AS STRING)) AS transaction_id, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE CAST(NULL AS INT) END AS subtransaction_id FROM {orders} WHERE o_orderkey % 9 = 0 OR o_orderkey % 11 = 0""",
+    # envelopes, manifests, chunks and markers with every fault that validation tells, planted by LSN
+    "sent_txns": """SELECT CASE WHEN lsn % 304 = 0 THEN concat(source_id, ' ') ELSE source_id END AS source_id, CASE WHEN lsn % 336 = 0 THEN '' ELSE database_id END AS database_id, CASE WHEN lsn % 368 = 0 THEN concat(' ', dataset_id) ELSE dataset_id END AS dataset_id,
+        CASE WHEN lsn % 544 = 0 THEN concat(transaction_id, ' ') ELSE transaction_id END AS transaction_id, CASE WHEN lsn % 176 = 0 THEN CAST(0 AS BIGINT) ELSE lsn END AS lsn,
+        CASE WHEN lsn % 464 = 0 THEN CAST(0 AS BIGINT) WHEN lsn % 496 = 0 THEN lsn + 1 WHEN lsn % 400 = 0 THEN CAST(NULL AS BIGINT) ELSE begin_lsn END AS begin_lsn, CASE WHEN lsn % 112 = 0 THEN CAST(0 AS BIGINT) ELSE commit_timestamp_ms END AS commit_timestamp_ms, CASE WHEN lsn % 592 = 0 THEN 2 ELSE 1 END AS protocol_version FROM {txns}""",
+    "sent_changes": """SELECT transaction_id, CASE WHEN lsn % 208 = 0 AND total_order = 2 THEN 1 ELSE total_order END AS total_order, CASE WHEN lsn % 432 = 0 THEN concat(idempotency_key, ' ') WHEN lsn % 656 = 0 THEN '' ELSE idempotency_key END AS idempotency_key,
+        CASE WHEN lsn % 688 = 0 THEN concat(transaction_id, 'x') ELSE transaction_id END AS change_transaction_id FROM {changes}""",
+    "sent_ddl": "SELECT transaction_id, total_order + CASE WHEN fingerprint_before % 48 = 0 THEN 0 ELSE 1000 END AS total_order FROM {ddl}",
+    "sent_versions": """SELECT DISTINCT transaction_id, CASE WHEN lsn % 784 = 0 THEN ' ' ELSE relation END AS relation, CASE WHEN lsn % 752 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS version FROM {changes}
+        UNION ALL SELECT transaction_id, relation, CAST(1 AS BIGINT) AS version FROM {changes} WHERE total_order = 1 AND lsn % 848 = 0""",
+    "plan_chunks": "SELECT transaction_id, lsn, commit_timestamp_ms, partition_id AS chunk_id, count(*) AS event_count, min(total_order) AS first_total_order, max(total_order) AS last_total_order FROM {changes} GROUP BY transaction_id, lsn, commit_timestamp_ms, partition_id",
+    "sent_chunks": """SELECT transaction_id, CASE WHEN lsn % 592 = 0 THEN 0 ELSE chunk_id END AS chunk_id, CASE WHEN lsn % 272 = 0 AND chunk_id % 2 = 0 THEN CAST(0 AS BIGINT) WHEN lsn % 656 = 0 THEN event_count + 5 ELSE event_count END AS event_count,
+        CASE WHEN lsn % 368 = 0 AND first_total_order = 1 THEN 0 WHEN lsn % 496 = 0 THEN last_total_order + 1 ELSE first_total_order END AS first_total_order, CASE WHEN lsn % 464 = 0 THEN 0 ELSE last_total_order END AS last_total_order FROM {plan_chunks}""",
+    "sent_manifests": """SELECT CASE WHEN lsn % 752 = 0 THEN concat(transaction_id, ' ') ELSE transaction_id END AS transaction_id, CASE WHEN lsn % 176 = 0 THEN CAST(0 AS BIGINT) ELSE lsn END AS lsn, CASE WHEN lsn % 112 = 0 THEN CAST(0 AS BIGINT) ELSE commit_timestamp_ms END AS commit_timestamp_ms,
+        CASE WHEN lsn % 688 = 0 THEN CAST(0 AS BIGINT) WHEN lsn % 304 = 0 THEN n - 1 ELSE n END AS global_event_count, CASE WHEN lsn % 432 = 0 THEN 'unspecified' WHEN lsn % 528 = 0 THEN CAST(NULL AS STRING) WHEN lsn % 32 = 0 THEN 'strict_chunked' ELSE 'partitioned' END AS boundary_mode
+        FROM (SELECT transaction_id, lsn, commit_timestamp_ms, count(*) AS n FROM {changes} GROUP BY transaction_id, lsn, commit_timestamp_ms) t""",
+    "sent_tables": """SELECT transaction_id, relation, CASE WHEN lsn % 848 = 0 THEN n + 1 WHEN lsn % 1040 = 0 THEN CAST(0 AS BIGINT) ELSE n END AS event_count FROM (SELECT transaction_id, lsn, relation, count(*) AS n FROM {changes} GROUP BY transaction_id, lsn, relation) t
+        UNION ALL SELECT transaction_id, relation, CAST(1 AS BIGINT) AS event_count FROM {changes} WHERE total_order = 1 AND lsn % 912 = 0""",
+    "epoch_chunks": """SELECT transaction_id, chunk_id, event_count + CASE WHEN lsn % 496 = 0 THEN 1 ELSE 0 END AS event_count, first_total_order + CASE WHEN lsn % 592 = 0 THEN 1000 ELSE 0 END AS first_total_order, last_total_order + CASE WHEN lsn % 656 = 0 THEN 1000 ELSE 0 END AS last_total_order FROM {plan_chunks}""",
+    "epoch_manifests": """SELECT CASE WHEN lsn % 752 = 0 THEN concat(transaction_id, '?') ELSE transaction_id END AS transaction_id, lsn + CASE WHEN lsn % 272 = 0 THEN 8 ELSE 0 END AS lsn, commit_timestamp_ms + CASE WHEN lsn % 368 = 0 THEN 1 ELSE 0 END AS commit_timestamp_ms, n + CASE WHEN lsn % 464 = 0 THEN 1 ELSE 0 END AS global_event_count
+        FROM (SELECT transaction_id, lsn, commit_timestamp_ms, count(*) AS n FROM {changes} GROUP BY transaction_id, lsn, commit_timestamp_ms) t""",
+    "delivered": """SELECT transaction_id, partition_id + CASE WHEN lsn % 464 = 0 THEN 100 ELSE 0 END AS chunk_id, CASE WHEN lsn % 496 = 0 THEN concat(transaction_id, '?') ELSE transaction_id END AS change_transaction_id, total_order + CASE WHEN lsn % 592 = 0 THEN 1 ELSE 0 END AS total_order,
+        CASE WHEN lsn % 656 = 0 THEN concat(idempotency_key, '?') ELSE idempotency_key END AS idempotency_key FROM {changes} WHERE NOT (lsn % 272 = 0 AND total_order = 1)
+        UNION ALL SELECT transaction_id, partition_id AS chunk_id, transaction_id AS change_transaction_id, total_order, idempotency_key FROM {changes} WHERE lsn % 368 = 0 AND total_order = 1""",
+    "tampered": "SELECT source_id, database_id, dataset_id, transaction_id, lsn, commit_timestamp_ms, total_order, relation, operation, record_key, amount + CASE WHEN lsn % 272 = 0 AND total_order = 1 THEN 1 ELSE 0 END AS amount, status, idempotency_key FROM {changes} WHERE NOT (lsn % 368 = 0 AND total_order = 2) AND lsn % 464 <> 0",
+    # cells of images: what is the key's, the amount's and the status's kind, and which images there are
+    "cells": """SELECT transaction_id, total_order, idempotency_key, relation, CASE WHEN lsn % 240 = 0 THEN 'truncate' WHEN lsn % 272 = 0 THEN 'merge' ELSE operation END AS operation, lsn % 304 <> 0 AND operation <> 'insert' AS has_before, lsn % 336 <> 0 AND operation <> 'delete' AS has_after, record_key, CAST(amount AS STRING) AS amount, status,
+        CASE WHEN lsn % 112 = 0 THEN 'null' WHEN lsn % 176 = 0 THEN 'unchanged' WHEN lsn % 208 = 0 THEN 'binary' ELSE 'text' END AS key_kind, CASE WHEN lsn % 368 = 0 THEN 'unchanged' ELSE 'text' END AS before_key_kind, lsn % 400 <> 0 AS has_key, lsn % 48 = 0 AS key_moved,
+        CASE WHEN lsn % 80 = 0 THEN 'unchanged' WHEN lsn % 64 = 0 THEN 'null' ELSE 'text' END AS amount_kind, CASE WHEN lsn % 32 = 0 THEN 'unchanged' ELSE 'text' END AS status_kind FROM {changes}""",
+    # source and partition rows of the epochs in epoch_rows, in keeping with their counts but where a fault is planted
+    "epoch_sources_stated": """SELECT epoch_id, concat('store-', CAST(n_nationkey AS STRING)) AS source_id, CASE WHEN n_nationkey < missing_source_count THEN CASE WHEN n_nationkey = 0 THEN 'missing' ELSE 'lagging' END WHEN n_nationkey < missing_source_count + quarantined_source_count THEN 'quarantined' ELSE 'complete' END AS state,
+        CASE WHEN n_nationkey = 5 AND transaction_count = 3 THEN '0/0' WHEN n_nationkey = 6 AND transaction_count = 4 THEN 'nonsense' WHEN n_nationkey = 7 THEN CAST(NULL AS STRING) ELSE '0/16B6C50' END AS commit_lsn
+        FROM {epoch_rows} JOIN {nation} ON n_nationkey < required_source_count - CASE WHEN transaction_count = 9 THEN 1 ELSE 0 END""",
+    "epoch_partitions_stated": """SELECT epoch_id, CASE WHEN transaction_count = 2 AND n_nationkey = 0 THEN ' store-0' WHEN transaction_count = 2 AND n_nationkey = 1 THEN '' ELSE concat('store-', CAST(n_nationkey AS STRING)) END AS source_id, CASE WHEN transaction_count = 5 THEN 0 ELSE n_nationkey % 2 END AS partition_id,
+        CASE WHEN transaction_count = 6 AND n_nationkey = 1 THEN CAST(NULL AS STRING) WHEN transaction_count = 7 AND n_nationkey = 2 THEN '0/0' WHEN transaction_count = 8 THEN '0/20' ELSE '0/10' END AS first_lsn, '0/18' AS last_lsn FROM {epoch_rows} JOIN {nation} ON n_nationkey < 3
+        UNION ALL SELECT epoch_id, 'store-0' AS source_id, 0 AS partition_id, '0/10' AS first_lsn, '0/18' AS last_lsn FROM {epoch_rows} WHERE transaction_count = 10""",
 }

@@ -8,6 +8,7 @@ from ledgerlake.functions import hashing
 from ledgerlake.operators import lake
 from ledgerlake.plans.registry import query
 from ledgerlake.plans.synth import EPOCHS
+from ledgerlake.storage import staged
 
 _ONE = "SELECT epoch_id, {keys}source_id, transaction_id, lsn, min(commit_lsn) AS commit_lsn, count(*) AS n, min(envelope_checksum) AS sum FROM {{changes}} GROUP BY epoch_id, {keys}source_id, transaction_id, lsn"
 ONE, BY_TABLE = _ONE.format(keys=""), _ONE.format(keys="relation, ")
@@ -120,19 +121,24 @@ def _summary_sql(quarantined: str, policy: str) -> str:
     FROM ({TOTALS}) e CROSS JOIN {{required}} r LEFT JOIN (SELECT DISTINCT epoch_id, source_id FROM {{changes}}) s ON s.epoch_id = e.epoch_id AND s.source_id = r.source_id LEFT JOIN {{{quarantined}}} q ON q.source_id = r.source_id GROUP BY ALL))"""
 
 
+def _summary(t, bad: str, policy: str):
+    """The epochs' summary; totals and seen sources come from one aggregate of the change log."""
+    return lake.epoch_summary(staged(lake.transactions(t("changes")), "transactions"), t("required"), t(bad), policy)
+
+
 @query("r25_epoch_state", _summary_sql("quarantined", "wait_all_required"))
 def _(t):
-    return lake.epoch_summary(t("changes"), t("required"), t("quarantined"), "wait_all_required")
+    return _summary(t, "quarantined", "wait_all_required")
 
 
 @query("r28_epoch_summary", _summary_sql("nobody", "publish_with_gaps"))
 def _(t):
-    return lake.epoch_summary(t("changes"), t("required"), t("nobody"), "publish_with_gaps")
+    return _summary(t, "nobody", "publish_with_gaps")
 
 
 @query("t3_straggler_policy", _summary_sql("nobody", "quarantine_on_gap"))
 def _(t):
-    return lake.epoch_summary(t("changes"), t("required"), t("nobody"), "quarantine_on_gap")
+    return _summary(t, "nobody", "quarantine_on_gap")
 
 
 _EXPECTED = "CASE WHEN quarantined_source_count > 0 THEN 'quarantined' WHEN missing_source_count = 0 THEN 'complete' WHEN policy = 'publish_with_gaps' THEN 'complete_with_gaps' ELSE 'open' END"
@@ -140,8 +146,8 @@ _EXPECTED = "CASE WHEN quarantined_source_count > 0 THEN 'quarantined' WHEN miss
 
 def _decision_sql(accept: bool) -> str:
     gaps = "" if accept else "WHEN state = 'complete_with_gaps' THEN 'gaps_not_accepted' "
-    return f"""SELECT epoch_id, CASE reason WHEN 'none' THEN 'consume' ELSE 'hold' END AS decision, reason FROM (SELECT epoch_id, CASE WHEN misnamed THEN 'verification_identity' WHEN complete_source_count + missing_source_count + quarantined_source_count <> required_source_count THEN 'rollup'
-      WHEN state = 'complete' AND missing_source_count > 0 THEN 'completeness' WHEN state <> {_EXPECTED} THEN 'state' WHEN transaction_count = 0 THEN 'empty' WHEN state NOT IN ('complete', 'complete_with_gaps') THEN 'not_consumable_state' {gaps}WHEN checksum_status <> 'match' THEN 'verification' ELSE 'none' END AS reason FROM {{epoch_rows}})"""
+    return f"""SELECT epoch_id, CASE reason WHEN 'none' THEN 'consume' ELSE 'hold' END AS decision, reason FROM (SELECT epoch_id, CASE WHEN NOT (length(manifest_digest) = 64 AND regexp_full_match(manifest_digest, '[0-9a-f]+')) THEN 'manifest_digest' WHEN misnamed THEN 'verification_identity' WHEN verification_epoch_id <> epoch_id THEN 'boundary' WHEN complete_source_count + missing_source_count + quarantined_source_count <> required_source_count THEN 'rollup'
+      WHEN state = 'complete' AND missing_source_count > 0 THEN 'completeness' WHEN state <> {_EXPECTED} THEN 'state' WHEN transaction_count = 0 THEN 'empty' WHEN verified_required_source_count <> required_source_count OR verified_missing_source_count <> missing_source_count THEN 'verification_counts' WHEN state NOT IN ('complete', 'complete_with_gaps') THEN 'not_consumable_state' {gaps}WHEN checksum_status <> 'match' THEN 'verification' ELSE 'none' END AS reason FROM {{epoch_rows}})"""
 
 
 def _decided(t, accept: bool):
@@ -192,8 +198,13 @@ def _(t):
 
 @query("p5_scope_filter", "SELECT source_id, count(*) AS in_scope FROM {changes} WHERE dataset_id = 'retail' AND source_id IN (SELECT source_id FROM {required} WHERE source_id < 'store-005') GROUP BY ALL")
 def _(t):
-    scope = t("required").where("source_id < 'store-005'")
-    return t("changes").where("dataset_id = 'retail'").join(scope, "source_id", "left_semi").groupBy("source_id").agg(F.count("*").alias("in_scope"))
+    rows = lake.admission(t("changes"), "retail", t("required").where("source_id < 'store-005'"))
+    return rows.where("admission = 'admitted'").groupBy("source_id").agg(F.count("*").alias("in_scope"))
+
+
+@query("p5_admission_counts", "SELECT CASE WHEN dataset_id <> 'retail' THEN 'skipped' WHEN source_id NOT IN (SELECT source_id FROM {required} WHERE source_id < 'store-005') THEN 'out_of_scope' ELSE 'admitted' END AS admission, count(*) AS n FROM {sent_txns} GROUP BY ALL")
+def _(t):
+    return lake.admission(t("sent_txns"), "retail", t("required").where("source_id < 'store-005'")).groupBy("admission").agg(F.count("*").alias("n"))
 
 
 LINES = f"""SELECT epoch_id, 0 AS rank, source_id AS key, 0 AS number, 'source=' || concat_ws('|', epoch_id, source_id, first_lsn, last_lsn, transaction_count, change_count, checksum_rollup) || chr(10) AS line FROM ({SOURCES})
@@ -203,7 +214,8 @@ LINES = f"""SELECT epoch_id, 0 AS rank, source_id AS key, 0 AS number, 'source='
 
 @query("r30_epoch_manifest_digest", f"SELECT epoch_id, sha256('raw_cdc_epoch_manifest_v1' || chr(10) || string_agg(line, '' ORDER BY rank, key, number)) AS manifest_digest FROM ({LINES}) GROUP BY ALL")
 def _(t):
-    return lake.manifest_digest(lake.epoch_sources(t("changes")), lake.epoch_tables(t("changes")), lake.epoch_partitions(t("manifest_partitions")))
+    one = staged(lake.transactions(t("changes")), "transactions")
+    return lake.manifest_digest(lake.epoch_sources(one), lake.epoch_tables(one), lake.epoch_partitions(t("manifest_partitions")))
 
 
 _F = lambda n, v: f"'{n}:' || strlen({v}) || ':' || {v} || chr(10)"
@@ -283,10 +295,44 @@ def _(t):
     return joined.where("source_bucket IS NULL OR done IS NULL").select("object_key", F.when(F.col("done").isNull(), "not_completed").otherwise("not_planned").alias("difference"))
 
 
-@query("p12_epoch_metadata_violations", f"SELECT epoch_id, 'rollup' AS violation, 'changes' AS subject FROM ({TOTALS}) UNION ALL SELECT DISTINCT epoch_id, 'orphan_partition', source_id FROM {{manifest_partitions}} WHERE source_id = 'store-001' UNION ALL SELECT epoch_id, 'rollup', x FROM ({TOTALS}) CROSS JOIN (VALUES ('transactions'), ('checksum')) v(x)")
-def _(t):
-    sources = lake.epoch_sources(t("changes")).where("source_id <> 'store-001'")
-    return lake.epoch_metadata_violations(lake.epoch_totals(t("changes")), sources, lake.epoch_tables(t("changes")), lake.epoch_partitions(t("manifest_partitions")))
+#: Ledger rows with every fault that their check tells: by source, relation and partition.
+_FAULTY_SOURCES = f"""SELECT epoch_id, CASE source_id WHEN 'store-002' THEN 'store-002 ' ELSE source_id END AS source_id, transaction_count, change_count, checksum_rollup, CASE source_id WHEN 'store-003' THEN last_lsn ELSE first_lsn END AS first_lsn,
+  CASE source_id WHEN 'store-003' THEN first_lsn WHEN 'store-004' THEN '0/0' WHEN 'store-005' THEN 'nonsense' ELSE last_lsn END AS last_lsn FROM ({SOURCES}) WHERE source_id <> 'store-001' UNION ALL SELECT epoch_id, source_id, 0, 0, 0, first_lsn, last_lsn FROM ({SOURCES}) WHERE source_id = 'store-006' UNION ALL SELECT 'epoch-x', source_id, 0, 0, 0, first_lsn, last_lsn FROM ({SOURCES}) WHERE source_id = 'store-007' AND epoch_id = '{EPOCHS[0]}'"""
+_FAULTY_TABLES = f"SELECT epoch_id, relation, change_count FROM ({TABLES}) UNION ALL SELECT epoch_id, relation, 1 FROM ({TABLES}) WHERE relation = 'public.orders' UNION ALL SELECT epoch_id, '', 0 FROM ({TABLES}) WHERE relation = 'public.orders'"
+_FAULTY_PARTITIONS = f"SELECT epoch_id, source_id, partition_id, event_count, first_lsn, last_lsn FROM ({PARTITIONS}) UNION ALL SELECT epoch_id, source_id, partition_id, 0, first_lsn, last_lsn FROM ({PARTITIONS}) WHERE source_id = 'store-003' AND partition_id = 3"
+_PARSED = "CASE WHEN regexp_full_match({0}, '[0-9A-F]{{1,8}}/[0-9A-F]{{1,8}}') THEN CAST('0x' || split_part({0}, '/', 1) AS BIGINT) * 4294967296 + CAST('0x' || split_part({0}, '/', 2) AS BIGINT) END".format
+
+
+def _ledger_sql(kind: str, rows: str, key: str, window: bool) -> str:
+    name = f"'{kind}:' || {key}"
+    first = key.split(" ")[0]
+    parts = [
+        f"SELECT epoch_id, 'duplicate_row' AS violation, {name} AS subject FROM ({rows}) GROUP BY ALL HAVING count(*) > 1", f"SELECT epoch_id, 'unclean_field', {name} FROM ({rows}) WHERE {first} = '' OR trim({first}) <> {first}",
+        f"SELECT epoch_id, 'epoch_boundary', {name} FROM ({rows}) WHERE epoch_id NOT IN (SELECT epoch_id FROM {{changes}})",
+    ]
+    if window:
+        a, b = _PARSED("first_lsn"), _PARSED("last_lsn")
+        parts.append(f"SELECT epoch_id, 'lsn_window', {name} FROM ({rows}) WHERE NOT coalesce({a} > 0 AND {a} <= {b}, false)")
+    return " UNION ALL ".join(parts)
+
+
+@query("p12_epoch_metadata_violations", f"""{_ledger_sql('source', _FAULTY_SOURCES, 'source_id', True)} UNION ALL {_ledger_sql('table', _FAULTY_TABLES, 'relation', False)} UNION ALL {_ledger_sql('partition', _FAULTY_PARTITIONS, "source_id || ':' || partition_id", True)}
+  UNION ALL SELECT DISTINCT epoch_id, 'orphan_partition', source_id FROM ({_FAULTY_PARTITIONS}) p WHERE NOT EXISTS (SELECT 1 FROM ({_FAULTY_SOURCES}) s WHERE s.epoch_id = p.epoch_id AND s.source_id = p.source_id)
+  UNION ALL SELECT epoch_id, 'rollup', w FROM (SELECT e.epoch_id, unnest([CASE WHEN s.t <> e.transaction_count THEN 'source:transaction_count' END, CASE WHEN s.c <> e.change_count THEN 'source:change_count' END, CASE WHEN s.x <> e.checksum_rollup THEN 'source:checksum_rollup' END, CASE WHEN k.c <> e.change_count THEN 'table:change_count' END, CASE WHEN p.c <> e.change_count THEN 'partition:change_count' END]) AS w
+    FROM ({TOTALS}) e JOIN (SELECT epoch_id, sum(transaction_count) AS t, sum(change_count) AS c, bit_xor(checksum_rollup) AS x FROM ({_FAULTY_SOURCES}) GROUP BY ALL) s USING (epoch_id) JOIN (SELECT epoch_id, sum(change_count) AS c FROM ({_FAULTY_TABLES}) GROUP BY ALL) k USING (epoch_id) JOIN (SELECT epoch_id, sum(event_count) AS c FROM ({_FAULTY_PARTITIONS}) GROUP BY ALL) p USING (epoch_id)) WHERE w IS NOT NULL""")
+def _(t):
+    one = staged(lake.transactions(t("changes")), "transactions")
+    whole, zero = lake.epoch_sources(one), F.lit(0).cast("long")
+    source, none = F.col("source_id"), {"transaction_count": zero, "change_count": zero, "checksum_rollup": zero}
+    swapped = {"first_lsn": F.when(source == "store-003", F.col("last_lsn")).otherwise(F.col("first_lsn")), "last_lsn": F.when(source == "store-003", F.col("first_lsn")).when(source == "store-004", "0/0").when(source == "store-005", "nonsense").otherwise(F.col("last_lsn"))}
+    sources = whole.where("source_id <> 'store-001'").withColumns({**swapped, "source_id": F.when(source == "store-002", "store-002 ").otherwise(source)})
+    sources = sources.unionByName(whole.where("source_id = 'store-006'").withColumns(none)).unionByName(whole.where((source == "store-007") & (F.col("epoch_id") == EPOCHS[0])).withColumns({**none, "epoch_id": F.lit("epoch-x")}))
+    tables = lake.epoch_tables(one).select("epoch_id", "relation", "change_count")
+    orders = tables.where("relation = 'public.orders'")
+    tables = tables.unionByName(orders.withColumn("change_count", F.lit(1).cast("long"))).unionByName(orders.withColumns({"relation": F.lit(""), "change_count": zero}))
+    partitions = lake.epoch_partitions(t("manifest_partitions"))
+    partitions = partitions.unionByName(partitions.where("source_id = 'store-003' AND partition_id = 3").withColumn("event_count", zero))
+    return lake.epoch_metadata_violations(lake.epoch_totals(one), sources, tables, partitions)
 
 
 @query("a28_maintenance_plan", "SELECT table_name, count(*) AS file_count, count(*) FILTER (size_bytes < 33554432) AS small_file_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, count(*) FILTER (size_bytes < 33554432) >= 5 AS compact, greatest(1, CAST(ceil(sum(size_bytes) / 268435456) AS BIGINT)) AS target_files FROM {files} GROUP BY ALL")
@@ -305,26 +351,26 @@ GATED = f"SELECT epoch_id FROM ({_summary_sql('nobody', 'publish_with_gaps')}) W
 
 @query("j1_consumable_epochs", GATED)
 def _(t):
-    s = lake.epoch_summary(t("changes"), t("required"), t("nobody"), "publish_with_gaps")
+    s = _summary(t, "nobody", "publish_with_gaps")
     return lake.consumable(s.drop("checksum_status"), s.select("epoch_id", "checksum_status"), accept_gaps=True).select("epoch_id")
 
 
 @query("r23_epoch_gate", f"SELECT 'ready' AS gate FROM ({GATED}) WHERE epoch_id = '{EPOCHS[0]}'")
 def _(t):
-    s = lake.epoch_summary(t("changes"), t("required"), t("nobody"), "publish_with_gaps")
+    s = _summary(t, "nobody", "publish_with_gaps")
     return lake.gate(s.drop("checksum_status"), s.select("epoch_id", "checksum_status"), EPOCHS[0], accept_gaps=True)
 
 
 @query("j14_dashboard_gate", f"SELECT epoch_id, state, transaction_count, change_count, 'ready' AS release_decision FROM ({_summary_sql('nobody', 'publish_with_gaps')}) WHERE epoch_id = '{EPOCHS[0]}'")
 def _(t):
-    s = lake.epoch_summary(t("changes"), t("required"), t("nobody"), "publish_with_gaps")
+    s = _summary(t, "nobody", "publish_with_gaps")
     gate = lake.gate(s.drop("checksum_status"), s.select("epoch_id", "checksum_status"), EPOCHS[0], accept_gaps=True)
     return s.where(F.col("epoch_id") == EPOCHS[0]).crossJoin(F.broadcast(gate)).select("epoch_id", "state", "transaction_count", "change_count", F.col("gate").alias("release_decision"))
 
 
 @query("j2_gated_raw_rows", f"SELECT relation, operation, count(*) AS n FROM {{changes}} WHERE epoch_id = '{EPOCHS[1]}' GROUP BY ALL")
 def _(t):
-    s = lake.epoch_summary(t("changes"), t("required"), t("nobody"), "publish_with_gaps")
+    s = _summary(t, "nobody", "publish_with_gaps")
     rows = lake.gated(t("changes"), s.drop("checksum_status"), s.select("epoch_id", "checksum_status"), EPOCHS[1], accept_gaps=True)
     return rows.groupBy("relation", "operation").agg(F.count("*").alias("n"))
 
@@ -332,9 +378,10 @@ def _(t):
 @query("r27_plan_raw_cdc_epoch", f"""SELECT f.epoch_id, relation, source_bucket, f.transaction_count, f.change_count, f.checksum_rollup, state FROM ({FILES}) f JOIN ({_summary_sql('nobody', 'wait_all_required')}) s ON s.epoch_id = f.epoch_id""")
 def _(t):
     first = lake.admitted(t("arrivals")).select("source_id", "transaction_id", "lsn", "envelope_checksum")
-    changes = t("changes").join(first, ["source_id", "transaction_id", "lsn", "envelope_checksum"], "left_semi")
-    s = lake.epoch_summary(changes, t("required"), t("nobody"), "wait_all_required").select("epoch_id", "state")
-    return lake.data_files(changes).join(s, "epoch_id").select("epoch_id", "relation", "source_bucket", "transaction_count", "change_count", "checksum_rollup", "state")
+    one = lake.transactions(t("changes")).join(first, ["source_id", "transaction_id", "lsn", "envelope_checksum"], "left_semi")
+    one = staged(one, "transactions")
+    s = lake.epoch_summary(one, t("required"), t("nobody"), "wait_all_required").select("epoch_id", "state")
+    return lake.data_files(one).join(s, "epoch_id").select("epoch_id", "relation", "source_bucket", "transaction_count", "change_count", "checksum_rollup", "state")
 
 
 @query("f7_fnv_bucket", f"SELECT source_id, CAST({FNV} AS BIGINT) AS fnv, CAST({FNV} % 16 AS INTEGER) AS bucket FROM (SELECT DISTINCT source_id FROM {{changes}})")

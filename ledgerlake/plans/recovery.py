@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import lake, recovery, views
-from ledgerlake.plans.lake import SOURCES, _summary_sql
+from ledgerlake.plans.lake import SOURCES, _summary, _summary_sql
 from ledgerlake.plans.registry import query
 from ledgerlake.plans.streams import _stream
 from ledgerlake.storage import ManifestTable, fresh_dir
@@ -23,7 +23,7 @@ def _(t):
 def _(t):
     out = None
     for bad, policy in (("nobody", "publish_with_gaps"), ("nobody", "wait_all_required"), ("quarantined", "wait_all_required")):
-        s = lake.epoch_summary(t("changes"), t("required"), t(bad), policy).select("epoch_id", "state", recovery.guidance(F.col("state")).alias("code"))
+        s = _summary(t, bad, policy).select("epoch_id", "state", recovery.guidance(F.col("state")).alias("code"))
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -38,10 +38,10 @@ def _(t):
     ))
 
 
-@query("r16_unmatched_changes", """SELECT source_id, relation, record_key, idempotency_key, operation FROM (SELECT *, lag(operation) OVER (PARTITION BY source_id, relation, record_key ORDER BY lsn, total_order) AS b FROM {event_log}) e
+@query("r16_unmatched_changes", """SELECT source_id, relation, record_key, idempotency_key, operation FROM (SELECT *, lag(operation) OVER (PARTITION BY source_id, relation, record_key ORDER BY lsn, total_order) AS b FROM {log}) e
   WHERE operation IN ('update', 'delete') AND (b = 'delete' OR (b IS NULL AND NOT EXISTS (SELECT 1 FROM {target} t WHERE t.source_id = e.source_id AND t.relation = e.relation AND t.record_key = e.record_key)))""")
 def _(t):
-    return recovery.unmatched_changes(t("event_log"), t("target"), views.KEY)
+    return recovery.unmatched_changes(t("log"), t("target"), views.KEY)
 
 
 @query("o4_sorted_ledger", f"SELECT epoch_id, string_agg(source_id, ',' ORDER BY source_id) AS source_ids FROM ({SOURCES}) GROUP BY ALL")
@@ -58,7 +58,7 @@ def _(t):
 def _(t):
     from ledgerlake.operators import protocol
 
-    table, bad = ManifestTable(t.spark, fresh_dir(t.spark, "segments")), ManifestTable(t.spark, fresh_dir(t.spark, "bad"))
+    table, bad = ManifestTable(t.spark, fresh_dir(t.spark, "segments"), "lsn"), ManifestTable(t.spark, fresh_dir(t.spark, "bad"))
     rows = t("subtransactions").select(F.col("subtransaction_id").cast("string").alias("source_id"), "transaction_id", F.col("total_order").cast("long").alias("lsn"), "subtransaction_id", "total_order", "payload")
     ingest.ingest(_stream(t, rows, 3, "segments", 2), table, bad, fresh_dir(t.spark, "progress"))
     return protocol.assemble(table.read(), t("commits"), t("aborted")).select("transaction_id", "total_order")

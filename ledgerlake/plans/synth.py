@@ -45,7 +45,7 @@ def _template(d: dict) -> dict[str, str]:
       UNION ALL
       SELECT t.*, rn + 1 AS total_order, 'public.lineitem' AS relation, 'insert' AS operation, concat(CAST(l_orderkey AS STRING), '-', CAST(rn AS STRING)) AS record_key,
         CAST(l_suppkey % 8 AS INT) AS partition_id, {d["long"]("floor(l_extendedprice)")} AS amount, l_returnflag AS status
-      FROM ({order}, l_orderkey, l_suppkey, l_extendedprice, l_returnflag, rn FROM orders JOIN ({lines}) l ON l_orderkey = o_orderkey) t"""
+      FROM (SELECT * FROM ({order}, o_orderkey FROM orders) o JOIN ({lines}) l ON l_orderkey = o_orderkey) t"""
     columns = "source_id, database_id, dataset_id, transaction_id, lsn, commit_lsn, commit_timestamp_ms, envelope_checksum, epoch_id, arrival_seq"
     plain = changes.replace("t.*", columns)
     return {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import lake, verify, views
-from ledgerlake.plans.lake import GATED
+from ledgerlake.plans.lake import GATED, _summary
 from ledgerlake.plans.registry import query
 from ledgerlake.plans.synth import EPOCHS
 
@@ -15,7 +15,7 @@ STATE_COLUMNS = "source_id, relation, record_key, epoch_id, transaction_id, lsn,
 
 
 def _gate(t, epoch: str):
-    s = lake.epoch_summary(t("changes"), t("required"), t("nobody"), "publish_with_gaps")
+    s = _summary(t, "nobody", "publish_with_gaps")
     return s.drop("checksum_status"), s.select("epoch_id", "checksum_status"), epoch
 
 
@@ -42,26 +42,26 @@ def _(t):
     return views.merge_current(t("target"), t("log"))
 
 
-@query("w2_first_change", f"SELECT source_id, relation, record_key, idempotency_key, operation FROM (SELECT *, row_number() OVER ({PART}) AS k FROM {{event_log}}) WHERE k = 1")
+@query("w2_first_change", f"SELECT source_id, relation, record_key, idempotency_key, operation FROM (SELECT *, row_number() OVER ({PART}) AS k FROM {{log}}) WHERE k = 1")
 def _(t):
     first = F.min_by(F.struct("idempotency_key", "operation"), F.struct("lsn", "total_order")).alias("f")
-    return views.usable(t("event_log")).groupBy(*views.KEY).agg(first).select(*views.KEY, "f.*")
+    return views.usable(t("log")).groupBy(*views.KEY).agg(first).select(*views.KEY, "f.*")
 
 
-@query("w3_next_commit_ts", f"SELECT idempotency_key, next_ts FROM (SELECT *, lead(commit_timestamp_ms) OVER ({PART}) AS next_ts FROM {{event_log}}) WHERE operation <> 'delete'")
+@query("w3_next_commit_ts", f"SELECT idempotency_key, next_ts FROM (SELECT *, lead(commit_timestamp_ms) OVER ({PART}) AS next_ts FROM {{log}}) WHERE operation <> 'delete'")
 def _(t):
-    return views.versions(t("event_log")).select("idempotency_key", "next_ts")
+    return views.versions(t("log")).select("idempotency_key", "next_ts")
 
 
-@query("w4_next_operation", f"SELECT idempotency_key, next_operation FROM (SELECT *, lead(operation) OVER ({PART}) AS next_operation FROM {{event_log}}) WHERE operation <> 'delete'")
+@query("w4_next_operation", f"SELECT idempotency_key, next_operation FROM (SELECT *, lead(operation) OVER ({PART}) AS next_operation FROM {{log}}) WHERE operation <> 'delete'")
 def _(t):
-    return views.versions(t("event_log")).select("idempotency_key", "next_operation")
+    return views.versions(t("log")).select("idempotency_key", "next_operation")
 
 
 VERSION_COLUMNS = "source_id, relation, record_key, epoch_id, transaction_id, lsn, total_order, valid_from, valid_to, is_current, idempotency_key, close_epoch_id, payload"
-FIRST = f"SELECT * FROM (SELECT *, row_number() OVER ({PART}) AS k FROM {{event_log}}) WHERE k = 1"
+FIRST = f"SELECT * FROM (SELECT *, row_number() OVER ({PART}) AS k FROM {{log}}) WHERE k = 1"
 OPENED = f"""SELECT n.*, (SELECT min(b.valid_from) FROM {{versions_before}} b WHERE b.source_id = n.source_id AND b.relation = n.relation AND b.record_key = n.record_key AND (b.lsn > n.lsn OR (b.lsn = n.lsn AND b.total_order > n.total_order))) AS next_existing
-  FROM (SELECT *, lead(commit_timestamp_ms) OVER ({PART}) AS next_ts FROM {{event_log}}) n WHERE operation <> 'delete'"""
+  FROM (SELECT *, lead(commit_timestamp_ms) OVER ({PART}) AS next_ts FROM {{log}}) n WHERE operation <> 'delete'"""
 SCD2 = f"""SELECT {VERSION_COLUMNS} FROM (
   SELECT b.source_id, b.relation, b.record_key, b.epoch_id, b.transaction_id, b.lsn, b.total_order, b.valid_from, CASE WHEN f.lsn IS NULL THEN b.valid_to ELSE f.commit_timestamp_ms END AS valid_to, f.lsn IS NULL AS is_current,
     b.idempotency_key, CASE WHEN f.lsn IS NULL THEN b.close_epoch_id ELSE f.epoch_id END AS close_epoch_id, b.payload
@@ -71,29 +71,29 @@ SCD2 = f"""SELECT {VERSION_COLUMNS} FROM (
 
 @query("r22_scd2", SCD2)
 def _(t):
-    return views.merge_versions(t("versions_before"), t("event_log"))
+    return views.merge_versions(t("versions_before"), t("log"))
 
 
 @query("j4_closed_versions", f"SELECT record_key, source_id, valid_to, close_epoch_id FROM ({SCD2}) WHERE close_epoch_id IS NOT NULL")
 def _(t):
-    return views.merge_versions(t("versions_before"), t("event_log")).where("close_epoch_id IS NOT NULL").select("record_key", "source_id", "valid_to", "close_epoch_id")
+    return views.merge_versions(t("versions_before"), t("log")).where("close_epoch_id IS NOT NULL").select("record_key", "source_id", "valid_to", "close_epoch_id")
 
 
 @query("j5_next_existing_version", f"SELECT idempotency_key, next_existing FROM ({OPENED}) WHERE next_existing IS NOT NULL")
 def _(t):
-    n, b = t("event_log").where("operation <> 'delete'").alias("n"), t("versions_before").alias("t")
-    return n.join(b, views.KEY).where("t.lsn > n.lsn OR (t.lsn = n.lsn AND t.total_order > n.total_order)").groupBy(F.col("n.idempotency_key").alias("idempotency_key")).agg(F.min("t.valid_from").alias("next_existing"))
+    found = views.next_existing(t("log").where("operation <> 'delete'"), t("versions_before"))
+    return found.where("next_existing IS NOT NULL").select("idempotency_key", "next_existing")
 
 
-@query("j6_versions_to_open", "SELECT idempotency_key FROM {event_log} WHERE operation <> 'delete' AND idempotency_key NOT IN (SELECT idempotency_key FROM {event_log} WHERE lsn % 64 = 0)")
+@query("j6_versions_to_open", "SELECT idempotency_key FROM {log} WHERE operation <> 'delete' AND idempotency_key NOT IN (SELECT idempotency_key FROM {log} WHERE lsn % 64 = 0)")
 def _(t):
-    return t("event_log").where("operation <> 'delete'").join(t("event_log").where("lsn % 64 = 0").select("idempotency_key"), "idempotency_key", "left_anti").select("idempotency_key")
+    return t("log").where("operation <> 'delete'").join(t("log").where("lsn % 64 = 0").select("idempotency_key"), "idempotency_key", "left_anti").select("idempotency_key")
 
 
 @query("r22_scd2_replayed", SCD2)
 def _(t):
-    once = views.merge_versions(t("versions_before"), t("event_log"))
-    return views.merge_versions(once, t("event_log"))
+    once = views.merge_versions(t("versions_before"), t("log"))
+    return views.merge_versions(once, t("log"))
 
 
 @query("r16_folded_images", """SELECT source_id, relation, record_key, amount, status FROM (SELECT source_id, relation, record_key, arg_max(operation, (lsn, total_order)) AS operation, arg_max(amount, lsn) FILTER (amount IS NOT NULL) AS amount, arg_max(status, lsn) FILTER (status IS NOT NULL) AS status
@@ -105,7 +105,7 @@ def _(t):
 
 @query("h19_interval_violations", f"SELECT source_id, relation, record_key, idempotency_key, valid_from, valid_to FROM ({SCD2}) WHERE valid_to < valid_from")
 def _(t):
-    return views.interval_violations(views.merge_versions(t("versions_before"), t("event_log")))
+    return views.interval_violations(views.merge_versions(t("versions_before"), t("log")))
 
 
 # -- verification ---------------------------------------------------------------------------------
@@ -176,6 +176,19 @@ def _(t):
     return verify.fan_in_compare(s, other, ["source_id"], ["changes", "total"])
 
 
+@query("r32_internal_consistency", """WITH s AS (SELECT epoch_id, count(*) AS n, count(*) FILTER (state = 'complete') AS a, count(*) FILTER (state IN ('missing', 'lagging')) AS b, count(*) FILTER (state = 'quarantined') AS q FROM {epoch_sources_stated} GROUP BY ALL)
+  SELECT epoch_id, 'source_counts' AS violation, '' AS subject FROM {epoch_rows} WHERE complete_source_count + missing_source_count + quarantined_source_count <> required_source_count
+  UNION ALL SELECT e.epoch_id, 'source_rows', '' FROM {epoch_rows} e LEFT JOIN s ON s.epoch_id = e.epoch_id WHERE coalesce(n, 0) <> required_source_count
+  UNION ALL SELECT e.epoch_id, 'source_rollup', '' FROM {epoch_rows} e LEFT JOIN s ON s.epoch_id = e.epoch_id WHERE coalesce(a, 0) <> complete_source_count OR coalesce(b, 0) <> missing_source_count OR coalesce(q, 0) <> quarantined_source_count
+  UNION ALL SELECT epoch_id, 'state', '' FROM {epoch_rows} WHERE NOT CASE state WHEN 'complete' THEN missing_source_count = 0 AND quarantined_source_count = 0 AND complete_source_count = required_source_count WHEN 'complete_with_gaps' THEN missing_source_count > 0 AND quarantined_source_count = 0 WHEN 'quarantined' THEN quarantined_source_count > 0 ELSE true END
+  UNION ALL SELECT epoch_id, 'source_lsn', source_id FROM {epoch_sources_stated} WHERE commit_lsn IN ('0/0', 'nonsense')
+  UNION ALL SELECT epoch_id, 'partition_source', source_id || ':' || partition_id FROM {epoch_partitions_stated} WHERE source_id = '' OR trim(source_id) <> source_id
+  UNION ALL SELECT epoch_id, 'partition_window', source_id || ':' || partition_id FROM {epoch_partitions_stated} WHERE first_lsn IS NULL OR first_lsn = '0/0' OR first_lsn > last_lsn
+  UNION ALL SELECT epoch_id, 'repeated_partition', source_id || ':' || partition_id FROM {epoch_partitions_stated} GROUP BY ALL HAVING count(*) > 1""")
+def _(t):
+    return verify.consistency_violations(t("epoch_rows"), t("epoch_sources_stated"), t("epoch_partitions_stated"))
+
+
 @query("j16_null_safe_key", "SELECT count(*) AS pairs FROM {moves} a JOIN {moves} b ON a.key_after IS NOT DISTINCT FROM b.key_after AND a.transaction_id = b.transaction_id")
 def _(t):
     m = t("moves")

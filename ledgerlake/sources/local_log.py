@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.storage import staged
+
 #: Longest body of a message, in bytes.
 LONGEST = 128 << 20
 
@@ -12,10 +14,17 @@ LONGEST = 128 << 20
 def frame(messages: DataFrame, depths: DataFrame | None = None) -> DataFrame:
     """messages (topic, key, body, seq) with offsets that go on from each topic's depth, and the body's crc32.
 
-    Bodies over LONGEST are an error. Offsets are counted in a topic's order, so one topic is one ordered partition.
+    Bodies over LONGEST are an error. Messages are dealt by ranges of (topic, seq) and staged, so a topic, however large, is
+    spread over tasks; an offset is the rank in a range plus the counts of the ranges before, which are small.
     """
-    at = F.row_number().over(Window.partitionBy("topic").orderBy("seq")) - 1
-    rows = messages if depths is None else messages.join(depths, "topic", "left")
+    dealt = messages.repartitionByRange("topic", "seq").withColumn("_part", F.spark_partition_id())
+    rows = staged(dealt, "ranges")
+    counts = rows.groupBy("topic", "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("topic").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("topic", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("topic", "_part").orderBy("seq")) - 1 + F.col("_before")
+    rows = rows.join(counts, ["topic", "_part"])
+    rows = rows if depths is None else rows.join(depths, "topic", "left")
     base = F.lit(0) if depths is None else F.coalesce("depth", F.lit(0))
     body = F.when(F.octet_length("body") > LONGEST, F.raise_error(F.lit("message body over the limit")).cast("string")).otherwise(F.col("body"))
     return rows.select("topic", (base + at).cast("long").alias("offset"), "key", body.alias("body"), F.crc32(F.col("body").cast("binary")).alias("crc"))

@@ -2,63 +2,143 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerlake.operators import lake
 from ledgerlake.storage import ManifestTable
 
 KEY = ["source_id", "transaction_id", "lsn"]
-
-
-def ingest(stream: DataFrame, table: ManifestTable, quarantine: ManifestTable, checkpoint: str, valid: str = "true", files_per_trigger: int | None = None) -> None:
-    """Drain stream into table, each KEY once; rows for which valid doesn't hold go to quarantine instead.
-
-    A batch that runs again after a failure has the same id and is published once. What earlier batches brought is
-    left out by a join with the table itself, so there is no state that a watermark would have to forget.
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def drain(stream: DataFrame, one: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Give each micro-batch of stream to one until nothing is left. How much a batch takes is the source's setting
+    (maxFilesPerTrigger, maxOffsetsPerTrigger): what is not taken waits at the source, and nothing else is in flight."""
+    conf = stream.sparkSession.conf
+    before = conf.get(NO_DATA)
+    conf.set(NO_DATA, "false")  # a batch without data, made to let state time out, would be followed by another one for ever
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(NO_DATA, before)  # the stream has its own copy by now
+    query.awaitTermination()
+    return query
+
+
+def ingest(stream: DataFrame, table: ManifestTable, quarantine: ManifestTable, checkpoint: str, valid: str = "true", checksum: str | None = None, order: str = "lsn") -> None:
+    """Drain stream into table, each KEY once, the first by order; rows for which valid doesn't hold go to quarantine instead.
+
+    With a checksum column, rows whose checksum isn't that of their KEY's first go to quarantine too; others that come again
+    are dropped. A batch that runs again after a failure has the same id and is published once. What earlier batches brought
+    is left out by a join with those of them whose LSN range (the table's range_column) touches the batch's, so there is no
+    state that a watermark would have to forget, and a batch does not read the whole history.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
         good = F.coalesce(F.expr(valid), F.lit(False))
-        new = batch.where(good).dropDuplicates(KEY)
+        first = Window.partitionBy(*KEY).orderBy(order)
+        mark = F.col(checksum) if checksum else F.lit(0)
+        rows = batch.where(good).withColumn("_at", F.row_number().over(first)).withColumn("_sum", F.first(mark).over(first))
         if batch_id and not table.committed(str(batch_id)):
-            new = new.join(table.read().select(*KEY), KEY, "left_anti")
-        quarantine.append(batch.where(~good), str(batch_id))
-        table.append(new, str(batch_id))
+            span = batch.agg(F.min("lsn").alias("low"), F.max("lsn").alias("high")).first()
+            old = table.read(span["low"], span["high"]).select(*KEY, (F.col(checksum) if checksum else F.lit(0)).alias("_old")) if span["low"] is not None else table.read().select(*KEY, F.lit(0).alias("_old"))
+            rows = rows.join(old, KEY, "left")
+        else:
+            rows = rows.withColumn("_old", F.lit(None).cast(rows.schema["_sum"].dataType))
+        conflict = mark != F.coalesce("_old", "_sum")
+        aside = batch.where(~good)
+        if checksum:
+            aside = aside.unionByName(rows.where(conflict).select(*batch.columns))
+        quarantine.append(aside, str(batch_id))
+        table.append(rows.where(F.col("_old").isNull() & (F.col("_at") == 1)).select(*batch.columns), str(batch_id))
+
+    drain(stream, one, checkpoint)
+
+
+def acknowledged(stream: DataFrame, table: ManifestTable, acks: ManifestTable, checkpoint: str, publish: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Publish each batch to table and then, once that is durable, its transactions (KEY) to acks.
+
+    A failure between the two leaves the batch unacknowledged: it runs again under its id, the table takes it once, and its
+    acknowledgement follows. publish runs after the table's commit and may fail (tests do).
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        table.append(batch, str(batch_id))
+        if publish:
+            publish(batch, batch_id)
+        durable = table.read().where(F.col("commit") == str(batch_id))
+        acks.append(durable.select(*KEY).distinct(), str(batch_id))
+
+    drain(stream, one, checkpoint)
+
+
+def epoch_progress(stream: DataFrame, table: ManifestTable, checkpoint: str) -> None:
+    """Count a stream's transactions by epoch and source: an epoch is a label, sealed by its sources and not by time.
+
+    Each batch publishes the groups that it changed with their counts so far; late rows change their epoch's again. The
+    state is a row for each epoch and source.
+    """
+    counted = stream.groupBy("epoch_id", "source_id").agg(F.count("*").alias("transaction_count"), F.max("lsn").alias("last_lsn"))
+    drain(counted, lambda batch, k: table.append(batch.withColumn("batch", F.lit(k)), str(k)) and None, checkpoint, "update")
+
 
-    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def epoch_states(table: ManifestTable, required: DataFrame, policy: str) -> DataFrame:
+    """(epoch_id, complete_source_count, missing_source_count, state) by what epoch_progress has published so far."""
+    seen = table.read().select("epoch_id", "source_id").distinct()
+    need = required.select("source_id").crossJoin(seen.select("epoch_id").distinct())
+    joined = need.join(seen.withColumn("seen", F.lit(True)), ["epoch_id", "source_id"], "left").groupBy("epoch_id").agg(F.count("seen").alias("complete_source_count"), F.count_if(F.col("seen").isNull()).alias("missing_source_count"))
+    return joined.withColumn("state", lake.epoch_state(F.col("missing_source_count"), F.lit(0), F.lit(policy)))
 
 
-STATE = "expected int, marked boolean, chunks string"
+STATE = "expected int, marked boolean, chunks string, decision string"
 OUT = "transaction_id string, expected_chunks int, arrived_chunks int, decision string"
+#: How long a decided transaction is remembered, so that messages delivered again are known; later ones meet the applied ledger.
+REMEMBERED_MS = 3_600_000
+DECIDED = ("globally_visible", "conflicting_redelivery")
 
 
 def _barrier(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    expected, marked, chunks = state.get if state.exists else (-1, False, "")
-    seen = set(filter(None, chunks.split(",")))
-    for batch in batches:
-        for kind, chunk, count in zip(batch["kind"], batch["chunk_id"], batch["chunk_count"], strict=True):
-            if kind == "chunk":
-                seen.add(str(chunk))
-            elif kind == "manifest":
-                expected = int(count)
-            else:
-                marked = True
-    state.update((expected, marked, ",".join(sorted(seen))))
-    decision = "held_commit_marker_missing" if not marked else "held_chunks_missing" if len(seen) < expected or expected < 0 else "globally_visible"
-    yield pd.DataFrame({"transaction_id": [key[0]], "expected_chunks": [expected], "arrived_chunks": [len(seen)], "decision": [decision]})
+    if state.hasTimedOut:
+        state.remove()
+        return
+    expected, marked, chunks, decision = state.get if state.exists else (-1, False, "{}", "")
+    seen = json.loads(chunks)
+    count = len(seen) if decision not in DECIDED else expected
+    if decision not in DECIDED:
+        conflict = False
+        for batch in batches:
+            came = batch.loc[batch["kind"] == "chunk", ["chunk_id", "checksum"]].drop_duplicates()
+            for chunk, checksum in zip(came["chunk_id"].astype(int).astype(str), came["checksum"].astype("int64"), strict=True):
+                conflict |= seen.setdefault(chunk, int(checksum)) != int(checksum)
+            told = batch.loc[batch["kind"] == "manifest", "chunk_count"]
+            expected = int(told.iloc[-1]) if len(told) else expected
+            marked |= bool((batch["kind"] == "commit").any())
+        count = len(seen)
+        whole = count >= expected >= 0
+        decision = "conflicting_redelivery" if conflict else "held_commit_marker_missing" if not marked else "globally_visible" if whole else "held_chunks_missing"
+    if decision in DECIDED:  # the chunks are forgotten at once, the decision after a while
+        state.update((count, True, "{}", decision))
+        state.setTimeoutDuration(REMEMBERED_MS)
+    else:
+        state.update((expected, marked, json.dumps(seen), decision))
+    yield pd.DataFrame({"transaction_id": [key[0]], "expected_chunks": [expected], "arrived_chunks": [count], "decision": [decision]})
 
 
 def barrier(messages: DataFrame) -> DataFrame:
     """The visibility of each transaction after each batch of its messages, in any order and repeated at will.
 
-    messages: transaction_id, kind (chunk, manifest or commit), chunk_id, chunk_count. The state of a transaction is its
-    chunk ids, so its size is bounded by its manifest.
+    messages: transaction_id, kind (chunk, manifest or commit), chunk_id, checksum, chunk_count. A chunk that comes again
+    with another checksum is a conflict. The state of an open transaction is its chunks' checksums, bounded by its manifest;
+    a decided one keeps its decision alone, for REMEMBERED_MS.
     """
-    return messages.groupBy("transaction_id").applyInPandasWithState(_barrier, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return messages.groupBy("transaction_id").applyInPandasWithState(_barrier, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -61,11 +61,12 @@ def test_verification_id(spark):
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=12), st.integers(1, 5))
 def test_chunks_reconstruct_their_transaction(spark, partitions, most):
-    rows = [("tx", k + 1, p, "insert", f"key-{k}") for k, p in enumerate(partitions)]
-    changes = spark.createDataFrame(rows, "transaction_id string, total_order int, partition_id int, operation string, idempotency_key string")
+    rows = [("tx", k + 1, p, "insert", f"key-{k}", "public.sales") for k, p in enumerate(partitions)]
+    changes = spark.createDataFrame(rows, "transaction_id string, total_order int, partition_id int, operation string, idempotency_key string, relation string")
+    txns = spark.createDataFrame([("tx", 16, 1)], "transaction_id string, lsn long, commit_timestamp_ms long")
     for chunks in (protocol.partition_chunks(changes), protocol.strict_chunks(changes, most)):
-        manifest = protocol.manifests(chunks, "partitioned")
-        assert manifest.first()["global_event_count"] == len(rows) and protocol.manifest_violations(manifest, chunks).count() == 0
+        manifest = protocol.manifests(chunks, "partitioned", txns)
+        assert manifest.first()["global_event_count"] == len(rows) and protocol.manifest_violations(manifest, chunks, protocol.affected_tables(changes)).count() == 0
         decided = protocol.barrier(chunks, chunks, changes.select("transaction_id").distinct())
         assert [r["decision"] for r in decided.collect()] == ["globally_visible"]
         back = protocol.reconstruct(changes, decided).orderBy("apply_position").collect()
