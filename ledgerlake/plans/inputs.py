@@ -71,7 +71,7 @@ INPUTS = {
     "files": """SELECT concat('raw.', l_shipmode_like) AS table_name, concat('raw/', l_shipmode_like, '/', CAST(l_suppkey AS STRING), CASE WHEN l_suppkey % 9 = 0 THEN '.tmp' ELSE '.parquet' END) AS object_key, CAST(sum(l_partkey) AS BIGINT) * 4000 AS size_bytes, CAST(max(l_orderkey) AS BIGINT) * 100000 AS modified_ms
         FROM (SELECT concat(l_returnflag, l_linestatus) AS l_shipmode_like, l_suppkey, l_partkey, l_orderkey FROM {lineitem}) t GROUP BY l_shipmode_like, l_suppkey""",
     "lsn_texts": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN commit_lsn WHEN 1 THEN concat('0000', commit_lsn) WHEN 2 THEN lower(commit_lsn) WHEN 3 THEN 'nonsense' WHEN 4 THEN '1/' WHEN 5 THEN CAST(NULL AS STRING) ELSE commit_lsn END AS text, lsn
-        FROM (SELECT CAST(substr(transaction_id, 4) AS BIGINT) AS event_id, commit_lsn, lsn FROM {changes} WHERE relation = 'public.events') t""",
+        FROM (SELECT lsn AS event_id, commit_lsn, lsn FROM {txns}) t""",
     "epoch_rows": """SELECT concat('epoch-', CAST(c_custkey AS STRING)) AS epoch_id, 10 AS required_source_count, 10 - m - q + CASE WHEN c_custkey % 17 = 0 THEN 1 ELSE 0 END AS complete_source_count, m AS missing_source_count, q AS quarantined_source_count,
         policy, CASE WHEN c_custkey % 7 = 0 THEN 'complete' WHEN q > 0 THEN 'quarantined' WHEN m = 0 THEN 'complete' WHEN policy = 'publish_with_gaps' THEN 'complete_with_gaps' ELSE 'open' END AS state, c_custkey % 11 AS transaction_count,
         c_custkey * 1000003 AS checksum_rollup, CASE WHEN c_custkey % 13 = 0 THEN 'mismatch' ELSE 'match' END AS checksum_status, c_custkey % 19 = 0 AS misnamed,

@@ -352,7 +352,7 @@ _SET = f"concat_ws(',', CASE WHEN operation = 'insert' AND has_key OR operation
 
 @query("r16_plan_apply", f"""SELECT idempotency_key, error, CASE WHEN error IS NOT NULL THEN 'error' WHEN operation = 'update' AND relation = 'public.events' AND cols = '' THEN 'no_op' ELSE operation END AS action, CASE WHEN error IS NULL AND operation IN ('insert', 'update') AND NOT (operation = 'update' AND relation = 'public.events' AND cols = '') THEN cols END AS set_columns,
     CASE WHEN error IS NULL AND {_LOOKS} AND NOT (operation = 'update' AND relation = 'public.events' AND cols = '') THEN coalesce(CASE WHEN operation = 'delete' OR has_before THEN CASE before_key_kind WHEN 'text' THEN 'before:' || record_key ELSE '' END ELSE CASE key_kind WHEN 'text' THEN {_AFTER_KEY} WHEN 'binary' THEN '<binary:' || strlen(record_key) || '>' ELSE '' END END, '') END AS key_value
-  FROM (SELECT *, CASE WHEN relation = 'public.events' THEN {_SET} ELSE {_SET.replace("THEN 'status' END)", "THEN 'status' END, NULL)")} END AS some, CASE WHEN relation = 'public.events' THEN {_SET} ELSE concat_ws(',', CASE WHEN operation = 'insert' AND has_key OR operation = 'update' AND {_MOVED} THEN 'id' END, CASE WHEN operation = 'insert' OR amount_kind <> 'unchanged' THEN 'amount' END, CASE WHEN operation = 'insert' OR status_kind <> 'unchanged' THEN 'status' END) END AS cols,
+  FROM (SELECT *, CASE WHEN relation = 'public.events' THEN {_SET} ELSE concat_ws(',', CASE WHEN operation = 'insert' AND has_key OR operation = 'update' AND {_MOVED} THEN 'id' END, CASE WHEN operation = 'insert' OR amount_kind <> 'unchanged' THEN 'amount' END, CASE WHEN operation = 'insert' OR status_kind <> 'unchanged' THEN 'status' END) END AS cols,
     CASE WHEN transaction_id IN (SELECT transaction_id FROM {{ddl}}) THEN 'ddl_barrier_required' WHEN NOT EXISTS (SELECT 1 FROM {{sent_versions}} v WHERE v.transaction_id = c.transaction_id AND v.relation = c.relation) THEN 'schema_version_missing' WHEN operation = 'merge' THEN 'unsupported_operation'
       WHEN operation IN ('insert', 'update') AND NOT has_after THEN 'missing_after_image' WHEN operation = 'delete' AND NOT has_before THEN 'missing_before_image' WHEN {_LOOKS} AND {_KEYS} AND {_KEY_KIND} = 'unchanged' THEN 'unchanged_key' WHEN {_LOOKS} AND NOT ({_KEYS}) THEN 'missing_key'
       WHEN operation = 'update' AND NOT {_SENT} THEN 'no_mutable_columns' END AS error FROM {{cells}} c)""")

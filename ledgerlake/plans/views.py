@@ -97,9 +97,9 @@ def _(t):
 
 
 @query("r16_folded_images", """SELECT source_id, relation, record_key, amount, status FROM (SELECT source_id, relation, record_key, arg_max(operation, (lsn, total_order)) AS operation, arg_max(amount, lsn) FILTER (amount IS NOT NULL) AS amount, arg_max(status, lsn) FILTER (status IS NOT NULL) AS status
-  FROM (SELECT * REPLACE (CASE WHEN lsn % 48 = 0 THEN NULL ELSE amount END AS amount, CASE WHEN lsn % 80 = 0 THEN NULL ELSE status END AS status) FROM {changes} WHERE relation = 'public.events') GROUP BY ALL) WHERE operation <> 'delete'""")
+  FROM (SELECT * REPLACE (CASE WHEN lsn % 48 = 0 THEN NULL ELSE amount END AS amount, CASE WHEN lsn % 80 = 0 THEN NULL ELSE status END AS status) FROM {changes}) GROUP BY ALL) WHERE operation <> 'delete'""")
 def _(t):
-    rows = t("changes").where("relation = 'public.events'").withColumns({"amount": F.expr("CASE WHEN lsn % 48 = 0 THEN NULL ELSE amount END"), "status": F.expr("CASE WHEN lsn % 80 = 0 THEN NULL ELSE status END")})
+    rows = t("changes").withColumns({"amount": F.expr("CASE WHEN lsn % 48 = 0 THEN NULL ELSE amount END"), "status": F.expr("CASE WHEN lsn % 80 = 0 THEN NULL ELSE status END")})
     return views.fold_images(rows, ["amount", "status"])
 
 
