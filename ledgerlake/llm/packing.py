@@ -36,6 +36,8 @@ class Plan:
         #: pairs[s]: ordered pairs of available lengths whose sum is s; kept up as lengths run out
         self.pairs = np.rint(np.convolve(there, there))[: capacity + 1].astype(np.int64)
         self.there = self.left > 0
+        #: triples[s]: ordered triples of available lengths whose sum is s; made anew after a length has run out
+        self._triples: np.ndarray | None = None
         longest = capacity
         while True:
             while longest and not self.left[longest]:
@@ -55,8 +57,14 @@ class Plan:
             for n in lengths[self.left[lengths] == 0]:
                 self._gone(int(n))
 
+    @property
+    def triples(self) -> np.ndarray:
+        if self._triples is None:
+            self._triples = np.rint(np.convolve(self.pairs.astype(np.float64), self.there.astype(np.float64)))[: self.capacity + 1]
+        return self._triples
+
     def _gone(self, n: int) -> None:
-        self.there[n] = False
+        self.there[n], self._triples = False, None
         lengths = np.flatnonzero(self.there)
         lengths = lengths[lengths + n <= self.capacity]
         self.pairs[lengths + n] -= 2
@@ -83,6 +91,8 @@ class Plan:
             return None
 
         def triple() -> list[int] | None:
+            if not self.triples[gap]:
+                return None
             b = np.arange(gap - 2, (gap + 2) // 3 - 1, -1)  # the longest of three is a third of the gap at least
             if not len(b):
                 return None

@@ -10,7 +10,8 @@ runs; they never change. Three rounds follow, and each moves integers only:
 3. Blocks remove the words under windows that start earlier elsewhere or in the block itself.
 
 A passage that a third of all documents share appears once a block, not once a document, so no bucket grows with it.
-A bucket and 32 bits find a window, 64 more verify it: over 100 bits at 10^6 windows a bucket, however many there are.
+A bucket and 32 bits find a window, 64 more of an independent hash verify it: over 100 bits at 10^6 windows a bucket, however
+many there are; both hashes add up random numbers of each byte at its place, so no pattern makes them collide together.
 ``compact`` merges a batch's runs into the index, so that later batches are checked against all earlier ones.
 """
 

@@ -167,3 +167,27 @@ def test_token_counts(docs, odd):
         entries = {bytes(to_byte[c] for c in e) for e in json.load(f)["model"]["vocab"] if all(c in to_byte for c in e)}
     for word in ("hello", "antidisestablishmentarianism", "naïve", "x9$%", "ингредиент"):
         assert m.count(b" " + word.encode()) == greedy(b" " + word.encode(), entries)
+
+
+def test_token_counts_of_texts_are_the_sums_of_their_words(docs):
+    import json
+
+    to_byte = token_counts.byte_alphabet()
+    with open(DEFAULT_VOCABULARY, encoding="utf-8") as f:
+        entries = {bytes(to_byte[c] for c in e) for e in json.load(f)["model"]["vocab"] if all(c in to_byte for c in e)}
+    rng = random.Random(7)
+    stock = ["hello", "Donaudampfschiff", "x9$%", "naïve", "ингредиент", "a,b", "\U0001f600", "the", "zzzzqqq"]
+    rows = [(k, "".join(rng.choice(stock) + rng.choice((" ", "  ", "\n", "\t ")) for _ in range(rng.randint(0, 30)))) for k in range(60)]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs(rows)).collect()}
+    assert got == {k: sum(greedy(b" " + w, entries) for w in t.encode().split()) for k, t in rows}
+
+
+def test_triples_are_indexed():
+    counts = np.zeros(51, np.int64)
+    counts[[30, 3, 7, 10, 40]] = 2
+    plan = packing.Plan(counts, 50)
+    assert plan.sequences == 4 and sum(n * times for n, _, times, _, _ in plan.intervals) == 180
+    there = (counts > 0).astype(int)
+    fresh = packing.Plan(np.zeros(51, np.int64), 50)
+    fresh.there, fresh.pairs = counts > 0, np.convolve(there, there)[:51]
+    assert fresh.triples.astype(int).tolist() == [sum(a + b + c == s for a in np.flatnonzero(there) for b in np.flatnonzero(there) for c in np.flatnonzero(there)) for s in range(51)]
