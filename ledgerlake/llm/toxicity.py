@@ -29,6 +29,8 @@ EXAMPLES, NEIGHBOURS, BLOCK = 1000, 15, 128
 STEMS = range(3, 9)
 #: Added to phi, so that terms which tell nothing still count where a text has no others.
 LEAST_PHI = 1e-4
+#: Examples that tell nothing, added to those of each term, and to each level of votes.
+UNTOLD, LEVELLED = 8.0, 2.0
 #: Terms in more than a COMMON-th of the examples are common, the DENSE most frequent at most.
 COMMON, DENSE = 16, 4000
 #: Texts, and characters, that are looked up together.
@@ -332,8 +334,8 @@ def _top(values: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, order, 1)
 
 
-def _monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression of y on x: the means of pooled neighbours, at their mean x."""
+def _monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression of y on x: the means of pooled neighbours, at their mean x, drawn to the prior by LEVELLED examples."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []
     for xi, yi, wi in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
@@ -341,7 +343,8 @@ def _monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
+    drawn = np.array([(p[1] + LEVELLED * prior) / (p[2] + LEVELLED) for p in pools])
+    return np.array([p[0] / p[2] for p in pools]), np.maximum.accumulate(drawn)
 
 
 def _examples(docs: DataFrame, labels: DataFrame, learn: Column, limit: int) -> tuple[DataFrame, dict[int, int]]:
@@ -417,6 +420,15 @@ def _vectors(picked: DataFrame, look: _Lookup, weight: np.ndarray) -> tuple[np.n
     return ids[order], toxic[order], unit.taken(order)
 
 
+def _phi(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How well terms tell the labels apart, that a of n1 and b of n0 examples have; UNTOLD more that tell nothing are added
+    to each term's examples, so that one which only a few examples have does not weigh more than it can show."""
+    n, seen = n1 + n0, a + b
+    off = np.abs(a - seen * n1 / n)
+    spread = (seen + UNTOLD) * np.maximum(n - seen, 1) / n * (n1 / n) * (n0 / n)
+    return off / np.sqrt(spread * n)
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, examples: int = EXAMPLES) -> Model:
     """Fit a model on labelled rows (doc_id, toxic) of docs (doc_id, text) for which learn holds.
 
@@ -433,8 +445,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, example
     ids, toxic, unit = np.empty(0, np.int64), np.empty(0), Rows(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
     if len(terms):
         n1, n0 = min(examples, sizes[1]), min(examples, sizes[0])
-        c, d = n1 - a, n0 - b
-        phi = np.abs(a * d - b * c) / np.sqrt(np.maximum((a + b) * (c + d) * n1 * n0, 1.0))
+        phi = _phi(a, b, n1, n0)
         seen = _frequencies(docs, look)
         weight = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 0.01) * (phi + LEAST_PHI)
         ids, toxic, unit = _vectors(picked, look, weight)
@@ -445,7 +456,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, example
         where, near = model.nearest(unit, leave_out=np.arange(len(ids)))
         vote = model.vote(where, near)
         share = np.where(toxic > 0, prior / max(toxic.mean(), 1e-9), (1 - prior) / max(1 - toxic.mean(), 1e-9))
-        votes, rates = _monotone(vote, toxic, share)
+        votes, rates = _monotone(vote, toxic, share, prior)
         # a little of the vote itself keeps the order within pools
         model.votes = np.concatenate(([-1e-9], votes, [1 + 1e-9]))
         model.rates = 0.98 * np.concatenate((rates[:1], rates, rates[-1:])) + 0.02 * np.clip(model.votes, 0, 1)

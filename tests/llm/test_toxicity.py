@@ -86,7 +86,9 @@ def test_neighbours_against_plain_cosine_over_all_terms(docs):
         a, b = (sum(term in terms[k] for k in labelled if labelled[k] == y) for y in (1, 0))
         if not a + b:
             return 0.0
-        phi = abs(a * (n0 - b) - b * (n1 - a)) / math.sqrt(max((a + b) * (n1 - a + n0 - b) * n1 * n0, 1))
+        n, seen = n1 + n0, a + b
+        variance = (seen + toxicity.UNTOLD) * max(n - seen, 1) * n1 * n0 / n**2
+        phi = abs(a - seen * n1 / n) / math.sqrt(variance)
         return (math.log((1 + len(texts)) / (1 + sum(term in x for x in terms))) + 0.01) * (phi + toxicity.LEAST_PHI)
 
     weights = {t: weight(t) for t in set().union(*terms)}
