@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,29 +74,39 @@ def merge_versions(target: DataFrame, changes: DataFrame, straddling: bool = Fal
     in the target, whichever is earlier. So a replayed epoch changes nothing, and an older one that comes late fits in
     between. A version amid an epoch's changes, whose first change is earlier and another later, stays current beside the
     last one that opens; with straddling it closes at the first change that is later than it is.
+
+    Both tables go through one shuffle by record, the versions as rows of the log beside the changes; windows take the place
+    of joins. Versions that lie by record already, such as an earlier merge's, are not moved again.
     """
-    mine = usable(changes).select(*KEY, "epoch_id", "transaction_id", "lsn", "total_order", "commit_timestamp_ms", "operation", "idempotency_key", "payload")
-    change = F.struct("epoch_id", "lsn", "total_order", "commit_timestamp_ms")
+    told = ["epoch_id", "transaction_id", "lsn", "total_order", "idempotency_key", "payload"]
+    record = [f"record.{c}" for c in KEY]  # a union lies by record where both sides' columns are alike to their qualifiers, so they get new names
+    by = [F.col(f"`{c}`") for c in record]
+    none, named = F.lit(None).cast, [F.col(c).alias(n) for c, n in zip(KEY, record, strict=True)]
+    mine = usable(changes).select(*named, *told, F.col("commit_timestamp_ms").alias("at"), "operation", none("long").alias("valid_to"), none("boolean").alias("is_current"), none("string").alias("close_epoch_id"), F.lit(0).alias("side"))
+    theirs = target.select(*named, *told, F.col("valid_from").alias("at"), none("string").alias("operation"), "valid_to", "is_current", "close_epoch_id", F.lit(1).alias("side"))
+    both = theirs.repartition(*by).unionByName(mine.repartition(*by))
+    change, version = F.col("side") == 0, F.col("side") == 1
+    known = reduce(and_, (c.isNotNull() for c in by))  # as in a join, a null is like nothing
+    there = F.max(F.when(version & known & F.col("idempotency_key").isNotNull(), True)).over(Window.partitionBy(*by, "idempotency_key"))
+    both = both.withColumn("there", F.coalesce(there, F.lit(False)))
+    later = Window.partitionBy(*by).orderBy(F.desc("lsn"), F.desc("total_order"), "side")  # of equal positions changes come first, so that only later versions count
+    before, here = later.rowsBetween(Window.unboundedPreceding, -1), later.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumns({"next": F.last(F.when(change, F.struct("at")), ignorenulls=True).over(before), "next_existing": F.min(F.when(version, F.col("at"))).over(here)})
+    position = F.struct("epoch_id", "lsn", "total_order", "at")
     if straddling:
-        by = Window.partitionBy(*KEY).orderBy(F.desc("lsn"), F.desc("total_order"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        theirs = target.select(*KEY, "lsn", "total_order", F.lit(0).alias("side"), F.lit(None).cast("struct<epoch_id:string,lsn:bigint,total_order:int,commit_timestamp_ms:bigint>").alias("change"), F.struct(*[c for c in VERSION if c not in KEY]).alias("row"))
-        both = theirs.unionByName(mine.select(*KEY, "lsn", "total_order", F.lit(1).alias("side"), change.alias("change"), F.lit(None).cast(theirs.schema["row"].dataType).alias("row")))
-        t = both.withColumn("first", F.last("change", ignorenulls=True).over(by)).where("side = 0").select(*KEY, "row.*", "first")
+        versions_first = Window.partitionBy(*by).orderBy(F.desc("lsn"), F.desc("total_order"), F.desc("side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        first = F.last(F.when(change, position), ignorenulls=True).over(versions_first)
     else:
-        first = mine.groupBy(*KEY).agg(F.min_by(change, F.struct("lsn", "total_order")).alias("first"))
-        t = target.join(first, KEY, "left")
+        first = F.when(known, F.min_by(position, F.when(change, F.struct("lsn", "total_order"))).over(Window.partitionBy(*by)))
+    both = both.withColumn("first", first)
     closes = F.col("is_current") & F.col("first").isNotNull() & (F.col("epoch_id") != F.col("first.epoch_id")) & (F.struct("first.lsn", "first.total_order") > F.struct("lsn", "total_order"))
     closes = F.coalesce(closes, F.lit(False))
-    kept = t.select(
-        *KEY, "epoch_id", "transaction_id", "lsn", "total_order", "valid_from", F.when(closes, F.col("first.commit_timestamp_ms")).otherwise(F.col("valid_to")).alias("valid_to"),
-        (F.col("is_current") & ~closes).alias("is_current"), "idempotency_key", F.when(closes, F.col("first.epoch_id")).otherwise(F.col("close_epoch_id")).alias("close_epoch_id"), "payload",
+    end = F.least("next.at", "next_existing")  # nulls don't count
+    return both.where(version | ((F.col("operation") != "delete") & ~F.col("there"))).select(
+        *[c.alias(n) for c, n in zip(by, KEY, strict=True)], "epoch_id", "transaction_id", "lsn", "total_order", F.col("at").alias("valid_from"),
+        F.when(change, end).when(closes, F.col("first.at")).otherwise(F.col("valid_to")).alias("valid_to"), F.when(change, end.isNull()).otherwise(F.col("is_current") & ~closes).alias("is_current"),
+        "idempotency_key", F.when(closes, F.col("first.epoch_id")).otherwise(F.col("close_epoch_id")).alias("close_epoch_id"), "payload",
     )
-    opened = versions(mine).join(target.select(*KEY, "idempotency_key"), [*KEY, "idempotency_key"], "left_anti")
-    opened = next_existing(opened, target)
-    end = F.least("next_ts", "next_existing")  # nulls don't count
-    return kept.unionByName(
-        opened.select(*KEY, "epoch_id", "transaction_id", "lsn", "total_order", F.col("commit_timestamp_ms").alias("valid_from"), end.alias("valid_to"), end.isNull().alias("is_current"), "idempotency_key", F.lit(None).cast("string").alias("close_epoch_id"), "payload")
-    )
 
 
 def interval_violations(versions: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Golden rows, replays, late epochs and the gate."""
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -64,6 +66,37 @@ def test_older_epoch_that_comes_late_fits_in_between(spark):
     assert versions(in_order) == versions(reversed_) == [("k", 16000, 32000, False), ("k", 32000, None, True)]
 
 
+def test_merged_versions_against_every_pair(spark):
+    rng = random.Random(5)
+    key = lambda: (rng.choice(["s", "s", None]), "r", rng.choice("ab"))
+    changes = []
+    for n, order in sorted({(rng.randint(0, 9), rng.randint(1, 3)) for _ in range(60)}):  # a place of the log is one change's
+        changes.append((*key(), rng.choice(["insert", "update", "delete"]), "e1", f"t{n}", n, rng.randint(0, 99), order, rng.choice([None, f"c{n}.{order}"]), "new"))
+    keys = [(c[:3], c[9]) for c in changes if rng.random() < 0.4]
+    target = [(*k, rng.choice(["e0", "e1"]), "t", rng.randint(0, 9), rng.randint(1, 3), rng.randint(0, 99), None, rng.random() < 0.7, i, None, "old") for k, i in [*keys, *((key(), f"o{n}") for n in range(30))]]
+    same = lambda a, b: None not in a[:3] and a[:3] == b[:3]
+    want = []
+    for t in target:
+        first = min((c for c in changes if same(t, c)), key=lambda c: (c[6], c[8]), default=None)
+        closes = t[9] and first and first[4] != t[3] and (first[6], first[8]) > t[5:7]
+        want.append((*t[:8], first[7], False, t[10], first[4], t[12]) if closes else t)
+    for c in changes:
+        if c[3] != "delete" and not any(same(c, t) and c[9] is not None and c[9] == t[10] for t in target):
+            after = min((x for x in changes if x[:3] == c[:3] and (x[6], x[8]) > (c[6], c[8])), key=lambda x: (x[6], x[8]), default=None)
+            ends = ([after[7]] if after else []) + [t[7] for t in target if t[:3] == c[:3] and t[5:7] > (c[6], c[8])]
+            want.append((*c[:3], c[4], c[5], c[6], c[8], c[7], min(ends, default=None), not ends, c[9], None, c[10]))
+    got = views.merge_versions(spark.createDataFrame(target, VERSIONS), spark.createDataFrame(changes, LOG))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_replayed_merge_moves_each_table_once(spark):
+    target, log = spark.createDataFrame([], VERSIONS), golden(spark)
+    again = views.merge_versions(views.merge_versions(target, log), log)
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # the versions' and the log's, which its second merge finds again
+    assert "Join" not in plan
+
+
 def test_current_state_is_current_versions(spark):
     current = views.merge_current(empty_state(spark), golden(spark))
     kept = views.merge_versions(spark.createDataFrame([], VERSIONS), golden(spark)).where("is_current")
