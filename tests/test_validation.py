@@ -183,6 +183,43 @@ def test_barrier_state_is_forgotten():
     assert send(("manifest", None, None, 1), ("chunk", 0, 1, None), ("chunk", 0, 2, None)) == ["conflicting_redelivery"]
 
 
+def test_barrier_transactions_share_states(spark, tmp_path):
+    rows, want = [], {}
+    for k in range(600):
+        tx = f"tx-{k}"
+        rows += [(tx, "chunk", c, 2**59 + k, None) for c in range(3) if k % 3 or c < 2] + [(tx, "manifest", None, None, 3)]
+        rows += [(tx, "chunk", 0, 2**59 + k + 1, None)] if k % 7 == 0 else []
+        rows += [(tx, "commit", None, None, None)] if k % 5 else []
+        want[tx] = "conflicting_redelivery" if k % 7 == 0 else "held_commit_marker_missing" if k % 5 == 0 else "held_chunks_missing" if k % 3 == 0 else "globally_visible"
+    df = spark.createDataFrame(rows, "transaction_id string, kind string, chunk_id int, checksum long, chunk_count int")
+    for _ in range(2):  # all is delivered twice
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/messages")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/messages")
+    found = []
+    ended = ingest.drain(ingest.barrier(stream), lambda batch, k: found.append({r["transaction_id"]: r["decision"] for r in batch.collect()}), f"{tmp_path}/progress", "update")
+    assert found == [want, want]
+    assert 0 < ended.lastProgress["stateOperators"][0]["numRowsTotal"] <= ingest.BUCKETS
+
+
+def test_barrier_bucket_decides_and_forgets_as_one_transaction_does():
+    rng, shared, alone = random.Random(4), State(), {f"tx-{k}": State() for k in range(20)}
+    shared.getCurrentProcessingTimeMs = lambda: now
+    for now in range(1, 30):
+        sent = [(rng.choice(list(alone)), *rng.choice([("chunk", rng.randint(0, 2), rng.randint(10, 10 + (rng.random() < 0.1)), None), ("manifest", None, None, 3), ("commit", None, None, None)])) for _ in range(30)]
+        df = pd.DataFrame(sent, columns=["transaction_id", "kind", "chunk_id", "checksum", "chunk_count"])
+        df["checksum"] = [None if x[3] is None else str(x[3]) for x in sent]
+        got = pd.concat(ingest._bucket((0,), iter([df[:11], df[11:]]), shared))
+        each = pd.concat(out for tx, some in df.groupby("transaction_id") for out in ingest._barrier((tx,), iter([some]), alone[tx]))
+        assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, each.to_numpy().tolist()))
+    assert set(each["decision"]) >= {"globally_visible", "conflicting_redelivery"}
+    decided = {tx for tx, state in alone.items() if state.get[3] in ingest.DECIDED}
+    now, shared.hasTimedOut = 30 + ingest.REMEMBERED_MS, True
+    assert list(ingest._bucket((0,), iter([]), shared)) == [] and shared.exists == (len(decided) < len(alone))
+    shared.hasTimedOut = False
+    again = pd.DataFrame([(tx, "commit", None, None, None) for tx in sorted(decided)], columns=df.columns)
+    assert set(pd.concat(ingest._bucket((0,), iter([again]), shared))["decision"]) == {"held_chunks_missing"}
+
+
 def test_manifests_of_good_transactions_break_no_rule(spark):
     rows = [("s", "d", "x", "tx", 16, "0/10", 5, k + 1, k % 2, "r", f"key-{k}") for k in range(5)]
     changes = spark.createDataFrame(rows, "source_id string, database_id string, dataset_id string, transaction_id string, lsn long, commit_lsn string, commit_timestamp_ms long, total_order int, partition_id int, relation string, idempotency_key string")
