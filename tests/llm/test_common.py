@@ -59,3 +59,10 @@ def test_words_hash_alike_wherever_they_stand(monkeypatch):
     monkeypatch.setattr(common.WordHasher, "CHUNK", 16)
     hashes, begins = plain.texts(texts)
     assert hashes.tolist() == want and np.diff(begins).tolist() == [len(t.split()) for t in texts]
+
+
+def test_writing_a_table_gives_back_the_drivers_free_memory(spark, monkeypatch):
+    done, plain = [], common.trim_driver
+    monkeypatch.setattr(common, "trim_driver", lambda s: done.append(plain(s)))
+    assert common.written(spark.range(3), "three").count() == 3
+    assert done == [True]

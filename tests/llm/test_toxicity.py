@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import ODD
 from pyspark.sql import functions as F
@@ -145,3 +147,28 @@ def test_all_words_of_the_examples_are_terms(fitted):
     model, docs, labels = fitted
     some = docs.where(F.col("doc_id").isin([int(x) for x in model.ids[:20]])).select("text").collect()
     assert np.isin(toxicity._terms([r["text"] for r in some])[1], model.terms).all()
+
+
+def test_fitting_holds_little_beside_the_model(spark):
+    n, terms = 300, 4000
+    model = toxicity.Model(np.arange(terms, dtype=np.uint64), np.ones(terms), np.arange(n), np.ones(n), np.arange(terms + 1) * n, np.tile(np.arange(n, dtype=np.int32), terms), np.ones(n * terms, np.float32), 0.5, np.array([0.0, 1.0]), np.array([0.5, 0.5]))
+    tracemalloc.start()
+    dense = model._readied().dense
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dense.shape == (terms, n) and (dense == 1).all() and peak < 2 * dense.nbytes
+    docs = spark.createDataFrame([(1, "good day"), (2, "bad day")], "doc_id long, text string")
+    assert toxicity.fit(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")).ready is None
+
+
+def test_unit_vectors_in_parts_are_those_of_all_rows_at_once():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 6, 700)
+    at = [np.sort(rng.choice(50, k, replace=False)).astype(np.int32) for k in sizes]
+    counts = [rng.integers(1, 9, k).astype(np.int32) for k in sizes]
+    rows = pa.table({"at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(counts, pa.list_(pa.int32()))})
+    weight = rng.random(50)
+    want = toxicity.Rows.of(700, np.repeat(np.arange(700), sizes), np.concatenate(at), np.concatenate(counts).astype(np.int64), weight)
+    for some in (rows, pa.concat_tables([rows[:333], rows[333:]])):
+        got = toxicity._units(some, weight)
+        assert all(np.array_equal(a, b) for a, b in zip((got.starts, got.terms, got.values), (want.starts, want.terms, want.values), strict=True))
